@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusaudit.checks.registry import QUERIES, Query
 
-SUBJECTS = ["web", "conversations", "catalogs"]
+SUBJECTS = ["web", "conversations", "catalogs", "crawlers"]
 
 
 def load_queries() -> dict[str, Query]:
