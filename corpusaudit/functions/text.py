@@ -91,9 +91,9 @@ def shorten(col: Column, width: int) -> Column:
 
 
 def whole_word_pattern(keywords: Iterable[str]) -> str:
-    """Case-insensitive pattern that matches any keyword between word boundaries."""
+    """Case-insensitive pattern that matches any keyword between (Unicode) word boundaries."""
     quoted = ["\\Q" + k + "\\E" if not k.replace(" ", "").isalnum() else k for k in keywords]
-    return r"(?i)\b(" + "|".join(quoted) + r")\b"
+    return r"(?iuU)\b(" + "|".join(quoted) + r")\b"
 
 
 def slug(col: Column) -> Column:
