@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusaudit.checks.registry import QUERIES, Query
 
-SUBJECTS = ["web", "conversations", "catalogs", "crawlers", "consent", "terms"]
+SUBJECTS = ["web", "conversations", "catalogs", "crawlers", "consent", "terms", "measures", "tables", "flows"]
 
 
 def load_queries() -> dict[str, Query]:
