@@ -10,6 +10,7 @@ from corpusaudit.functions import dates
 from corpusaudit.operators import catalog as ct
 from corpusaudit.operators import licenses as lic
 from corpusaudit.operators import quality
+from corpusaudit.session import spread
 
 LICENSE_TEXT = (
     r"Apache License, Version 2\.0|MIT License|GNU General Public License, version 3|CC BY-NC 4\.0"
@@ -100,7 +101,7 @@ def catalog(spark, sf_dir):
         names, lambda n: F.struct(n.alias("license"), F.when(n == "Custom", urls).alias("license_url"))
     )
     empty = F.array().cast("array<string>")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         uid.alias("uid"),
         F.col("source").alias("collection"),
         F.concat(F.lit("set "), uid % 50).alias("dataset_name"),

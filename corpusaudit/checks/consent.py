@@ -217,13 +217,18 @@ sums AS (SELECT service, sum(tokens) FILTER (split = 'head') AS h, sum(tokens) F
 tot AS (SELECT (h + 900000000)::DOUBLE AS total, h::DOUBLE AS head, 900000000::DOUBLE AS rest FROM sums WHERE service = 'all'),
 fracs AS (SELECT service, CASE WHEN service = 'all' THEN head / total ELSE h / head END AS head_frac,
     CASE WHEN service = 'all' THEN rest / total ELSE r / rest END AS rand_frac FROM sums, tot),
-parts AS (
+sums_by_day AS (
   SELECT service, period,
     sum(CASE WHEN split = 'rand' AND status IN ('all', 'some') THEN tokens ELSE 0 END)
       / nullif(sum(CASE WHEN split = 'rand' THEN tokens ELSE 0 END), 0) AS random,
     sum(CASE WHEN split = 'head' AND status IN ('all', 'some') THEN tokens ELSE 0 END)
       / nullif(sum(CASE WHEN split = 'head' THEN tokens ELSE 0 END), 0) AS head
-  FROM split_counts WHERE agent = 'GPTBot' GROUP BY ALL)"""
+  FROM split_counts WHERE agent = 'GPTBot' GROUP BY ALL),
+-- the periods of an estimate are those of the random sample
+span AS (SELECT service, min(period) AS a, max(period) AS b FROM split_counts
+         WHERE agent = 'GPTBot' AND split = 'rand' GROUP BY service),
+grid AS (SELECT service, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS period FROM span),
+parts AS (SELECT service, period, random, head FROM grid LEFT JOIN sums_by_day USING (service, period))"""
 
 
 def members(spark, sf_dir):

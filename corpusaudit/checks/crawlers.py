@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusaudit.checks.registry import query, table
 from corpusaudit.functions import urls
 from corpusaudit.operators import robots
+from corpusaudit.session import spread
 
 PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
 # Eight kinds of file; the page's own path is one of the rules.
@@ -56,7 +57,7 @@ together AS (
 
 
 def robots_files(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
     path = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1)
     host = urls.netloc(F.col("url"))
     kind = F.col("page_id") % 8

@@ -12,7 +12,7 @@ from corpusaudit.functions import urls
 from corpusaudit.operators import domains, forecast, html, robots, temporal
 from corpusaudit.plans import consent as consent_plan
 from corpusaudit.plans import domain_tokens as token_plan
-from corpusaudit.session import shared_folder
+from corpusaudit.session import shared_folder, spread
 from corpusaudit.sources import readers, writers
 from corpusaudit.streaming import jobs
 
@@ -72,7 +72,7 @@ def forecast_alignment(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    return html.extract_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    return html.extract_text(spread(table(spark, sf_dir, "pages")), "html", ["page_id", "url"])
 
 
 @query(
@@ -397,16 +397,35 @@ def consent_period_table(spark, sf_dir):
     return consent.text_period(out)
 
 
-@query()
+@query(
+    f"""WITH {consent.FILLED}, split AS (SELECT url, CASE WHEN row_number() OVER (ORDER BY tokens DESC, url) <= 8 THEN 'head' ELSE 'rand' END AS split FROM tokens),
+    member AS (SELECT url, split, tokens, unnest(['kind' || (user_id % 4), 'all']) AS service FROM split JOIN tokens USING (url) JOIN sites USING (url)),
+    sums AS (SELECT service, coalesce(sum(tokens) FILTER (split = 'head'), 0)::DOUBLE AS h, coalesce(sum(tokens) FILTER (split = 'rand'), 0)::DOUBLE AS r FROM member GROUP BY service),
+    whole AS (SELECT h AS head, {dims.CORPUS_TOKENS['c4']} - h AS rest FROM sums WHERE service = 'all'),
+    fracs AS (SELECT service, CASE WHEN service = 'all' THEN head / {dims.CORPUS_TOKENS['c4']} ELSE h / head END AS hf,
+      CASE WHEN service = 'all' THEN rest / {dims.CORPUS_TOKENS['c4']} ELSE r / rest END AS rf FROM sums, whole),
+    rows AS (SELECT m.split, m.service, f.period, f.status, m.tokens FROM filled f JOIN member m USING (url) WHERE f.agent = 'GPTBot'),
+    d AS (SELECT service, period,
+      sum(CASE WHEN split = 'rand' AND status = 'all' THEN tokens ELSE 0 END) / nullif(sum(CASE WHEN split = 'rand' THEN tokens ELSE 0 END), 0) AS random,
+      sum(CASE WHEN split = 'head' AND status = 'all' THEN tokens ELSE 0 END) / nullif(sum(CASE WHEN split = 'head' THEN tokens ELSE 0 END), 0) AS head
+      FROM rows GROUP BY ALL),
+    span AS (SELECT service, min(period) AS a, max(period) AS b FROM rows WHERE split = 'rand' GROUP BY service),
+    grid AS (SELECT service, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS period FROM span)
+    SELECT service, period::VARCHAR AS period, round(random, 6) AS random, round(d.head, 6) AS head,
+      round(rf * random, 6) AS rand_portion, round(hf * d.head, 6) AS head_portion, round(rf * random + hf * d.head, 6) AS full_corpus
+    FROM grid LEFT JOIN d USING (service, period) JOIN fracs USING (service)"""
+)
 def corpus_estimate_job(spark, sf_dir):
     """Head and random split by rank, services, forward fill and estimate in one job."""
-    settings = consent_plan.ConsentSettings(consent.START, consent.END, "day", head_size=40)
+    settings = consent_plan.ConsentSettings(consent.START, consent.END, "day", head_size=8)
     tokens = consent.tokens(spark, sf_dir)
     every = tokens.withColumn("corpus", F.lit("c4"))
     facts = consent.snapshots(spark, sf_dir).withColumnRenamed("ts", "snap_date")
     sites = consent.sites(spark, sf_dir)
     services = sites.select("url", F.array(F.concat(F.lit("kind"), F.col("user_id") % 4)).alias("services"))
-    return consent_plan.corpus_estimate(facts, sites, services, every, "c4", "GPTBot", settings)
+    out = consent_plan.corpus_estimate(facts, sites, services, every, "c4", "GPTBot", settings)
+    parts = ("random", "head", "rand_portion", "head_portion", "full_corpus")
+    return out.select("service", F.col("period").cast("string").alias("period"), *[F.round(c, 6).alias(c) for c in parts])
 
 
 @query(

@@ -11,6 +11,7 @@ from corpusaudit.functions import text as tx
 from corpusaudit.functions import urls
 from corpusaudit.operators import sites as st
 from corpusaudit.operators import tos
+from corpusaudit.session import spread
 
 # Three policies per snapshot; codes by remainder, some of them missing.
 VERDICTS = """
@@ -220,7 +221,7 @@ def privacy_prefilter(spark, sf_dir):
 
 def _keywords(topic: str) -> str:
     words = "|".join(w.replace(".", r"\.").replace("'", "''") for w in dims.TOPIC_KEYWORDS[topic])
-    return rf"(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({words})([^\p{{L}}\p{{M}}\p{{N}}_]|$)"
+    return rf"(?i)(^|[^\p{{L}}\p{{N}}_])({words})([^\p{{L}}\p{{N}}_]|$)"
 
 
 @query(
@@ -228,7 +229,7 @@ def _keywords(topic: str) -> str:
     FROM documents"""
 )
 def keyword_relevance(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id",
         *[

@@ -7,20 +7,30 @@ classes explicitly so that results do not depend on the regex dialect.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes of the strip / splitlines / word rules.
 SPACE_CLASS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def split_lines(col: Column) -> Column:
@@ -90,10 +100,22 @@ def shorten(col: Column, width: int) -> Column:
     return F.when(F.length(col) > width, F.concat(F.substring(col, 1, width), F.lit("..."))).otherwise(col)
 
 
-def whole_word_pattern(keywords: Iterable[str]) -> str:
-    """Case-insensitive pattern that matches any keyword between (Unicode) word boundaries."""
-    quoted = ["\\Q" + k + "\\E" if not k.replace(" ", "").isalnum() else k for k in keywords]
-    return r"(?iuU)\b(" + "|".join(quoted) + r")\b"
+def fold_case(col: Column) -> Column:
+    """Lower case, with the long s as s, so that plain comparison ignores case."""
+    return F.replace(F.lower(col), F.lit("\u017f"), F.lit("s"))
+
+
+def has_whole_word(folded: Column, keywords: Iterable[str]) -> Column:
+    """Does a case-folded text contain any keyword between word boundaries?
+
+    A substring search rules out most keywords; the boundary is checked only where one occurs.
+    """
+    letter = r"[a-z0-9_\p{L}\p{N}]"
+    out = F.lit(False)
+    for word in dict.fromkeys(k.lower() for k in keywords):
+        bounded = f"(?<!{letter}){re.escape(word)}(?!{letter})"
+        out = out | (F.contains(folded, F.lit(word)) & folded.rlike(bounded))
+    return out
 
 
 def slug(col: Column) -> Column:

@@ -42,10 +42,11 @@ def clean_lines(body: Column) -> Column:
 
 
 def _group(agents: Column, rules: Column) -> Column:
-    return F.struct(
-        agents.alias("agents"),
-        F.transform(agents, F.lower).alias("keys"),
-        rules.alias("rules"),
+    return tx.let(
+        agents,
+        lambda a: F.struct(
+            a.alias("agents"), F.transform(a, lambda name: F.lower(name)).alias("keys"), rules.alias("rules")
+        ),
     )
 
 
@@ -61,26 +62,34 @@ def rule_groups(body: Column, grouping: str = "reference") -> Column:
     rules_in = lambda ls: F.filter(ls, lambda x: x.rlike(RULE_LINE))
     if grouping == "rfc9309":
         relevant = F.filter(lines, lambda x: x.rlike(AGENT_LINE) | x.rlike(RULE_LINE))
-        joined = F.array_join(relevant, "\n")
         marked = F.regexp_replace(
-            joined, "(?im)^((?!user-agent:)[^\n]*)\n(?=user-agent:)", "$1\u0001"
+            F.array_join(relevant, "\n"), "(?im)^((?!user-agent:)[^\n]*)\n(?=user-agent:)", "$1\u0001"
         )
         return F.transform(
             F.split(marked, "\u0001"),
-            lambda piece: _group(agents_in(F.split(piece, "\n")), rules_in(F.split(piece, "\n"))),
+            lambda piece: tx.let(F.split(piece, "\n"), lambda ls: _group(agents_in(ls), rules_in(ls))),
         )
     if grouping != "reference":
         raise ValueError("grouping must be 'reference' or 'rfc9309'")
-    joined = F.array_join(lines, "\n")
-    cut = F.length(F.get(F.split(joined, RULE_OR_SITEMAP, 2), F.lit(0)))
-    head = F.split(joined.substr(F.lit(1), cut), "\n")
-    pieces = F.split(joined.substr(cut + 1, F.length(joined)), "(?im)\n(?=user-agent:)")
-    stack = F.array(_group(agents_in(head), rules_in(F.split(F.get(pieces, F.lit(0)), "\n"))))
-    later = F.transform(
-        F.slice(pieces, 2, 1_000_000_000),
-        lambda piece: _group(agents_in(F.split(piece, "\n")), rules_in(F.split(piece, "\n"))),
-    )
-    return F.concat(stack, later)
+
+    def grouped(joined: Column) -> Column:
+        return tx.let(F.length(F.get(F.split(joined, RULE_OR_SITEMAP, 2), F.lit(0))), lambda cut: halves(joined, cut))
+
+    def halves(joined: Column, cut: Column) -> Column:
+        head = F.split(joined.substr(F.lit(1), cut), "\n")
+        tail = F.split(joined.substr(cut + 1, F.length(joined)), "(?im)\n(?=user-agent:)")
+        return tx.let(
+            tail,
+            lambda pieces: F.concat(
+                F.array(_group(agents_in(head), rules_in(F.split(F.get(pieces, F.lit(0)), "\n")))),
+                F.transform(
+                    F.slice(pieces, 2, 1_000_000_000),
+                    lambda p: tx.let(F.split(p, "\n"), lambda ls: _group(agents_in(ls), rules_in(ls))),
+                ),
+            ),
+        )
+
+    return tx.let(F.array_join(lines, "\n"), grouped)
 
 
 def parse(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "reference") -> DataFrame:
@@ -129,10 +138,14 @@ def parse_errors(snapshots: DataFrame, keys: Sequence[str], body: str) -> DataFr
 def judge_rules(disallow: Column, allow: Column) -> Column:
     """``all`` / ``some`` / ``none`` from the ordered paths of one agent; paths with ``?`` are ignored."""
     plain = lambda paths: F.filter(paths, lambda p: ~F.contains(p, F.lit("?")))
-    denied, granted = plain(disallow), plain(allow)
-    nothing = (F.size(denied) == 0) | (denied == F.array(F.lit(""))) | (denied == granted)
-    everything = F.exists(denied, lambda p: tx.strip(p) == "/") & (F.size(granted) == 0)
-    return F.when(nothing, F.lit("none")).when(everything, F.lit("all")).otherwise(F.lit("some"))
+
+    def verdict(paths: Column) -> Column:
+        denied, granted = paths["denied"], paths["granted"]
+        nothing = (F.size(denied) == 0) | (denied == F.array(F.lit(""))) | (denied == granted)
+        everything = F.exists(denied, lambda p: tx.strip(p) == "/") & (F.size(granted) == 0)
+        return F.when(nothing, F.lit("none")).when(everything, F.lit("all")).otherwise(F.lit("some"))
+
+    return tx.let(F.struct(plain(disallow).alias("denied"), plain(allow).alias("granted")), verdict)
 
 
 def judge_rule_table(rules: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
@@ -157,20 +170,19 @@ def judgements(body: Column, grouping: str = "reference") -> Column:
         keys = F.array_distinct(F.flatten(gs["keys"]))
 
         def status(key: Column) -> Column:
-            lines = F.flatten(
+            mine = F.flatten(
                 F.transform(
                     F.filter(gs, lambda g: F.array_contains(g["keys"], key)), lambda g: g["rules"]
                 )
             )
-            paths = lambda kind: F.transform(
+            paths = lambda lines, kind: F.transform(
                 F.filter(lines, lambda x: x.rlike(f"(?i)^{kind}:")), _value
             )
-            return judge_rules(paths("disallow"), paths("allow"))
+            return tx.let(mine, lambda ls: judge_rules(paths(ls, "disallow"), paths(ls, "allow")))
 
         return F.transform(keys, lambda k: F.struct(k.alias("key"), status(k).alias("value")))
 
-    # one-element transform: the groups are computed once and bound to a lambda variable
-    return F.map_from_entries(F.flatten(F.transform(F.array(groups), judged)))
+    return F.map_from_entries(tx.let(groups, judged))
 
 
 def with_judgements(

@@ -17,7 +17,7 @@ OPEN = "Unrestricted Use"
 
 def mentions_topic(body: Column, topic: str) -> Column:
     """Does the text contain a keyword of the topic as a whole word, in any case?"""
-    return F.coalesce(body.rlike(tx.whole_word_pattern(dims.TOPIC_KEYWORDS[topic])), F.lit(False))
+    return F.coalesce(tx.has_whole_word(tx.fold_case(body), dims.TOPIC_KEYWORDS[topic]), F.lit(False))
 
 
 def without_privacy_pages(pages: DataFrame, domain: str, is_privacy: Column) -> DataFrame:

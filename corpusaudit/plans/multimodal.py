@@ -27,7 +27,6 @@ def unify(text: DataFrame, speech: DataFrame, video: DataFrame) -> DataFrame:
     tokens = ct.total_tokens(
         metrics("Num Dialogs"), metrics("Mean Dialog Turns"), metrics("Mean Inputs Length"), metrics("Mean Targets Length")
     )
-    repo = F.coalesce(meta("GitHub Date"), meta("Github Date"))
     parts = {
         "Text": text.select(
             id_,
@@ -39,7 +38,7 @@ def unify(text: DataFrame, speech: DataFrame, video: DataFrame) -> DataFrame:
             F.col("`Model Generated`").alias("model_generated"),
             _licenses().alias("licenses"),
             tokens.alias("total_tokens"),
-            dates.earliest_year(meta("S2 Date"), meta("HF Date"), repo).alias("year"),
+            dates.earliest_year(meta("S2 Date"), meta("HF Date"), meta("GitHub Date")).alias("year"),
         ),
         "Speech": speech.select(
             id_,

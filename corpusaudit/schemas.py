@@ -30,7 +30,6 @@ TEXT_METRICS = _struct(
 INFERRED = _struct(
     ("HF Date", _S),
     ("S2 Date", _S),
-    ("Github Date", _S),
     ("GitHub Date", _S),
     ("PwC Date", _S),
     ("HF Yaml License", _S),

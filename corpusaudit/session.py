@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per column expression: plans with many expressions build much faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -56,3 +58,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, for tables a job writes and reads back."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores on a table that was read in fewer splits than there are cores.
+
+    For work that is heavy per row (regular expressions over long texts, page parsing). Large tables
+    come in more splits than there are cores and are left as they are. Only for tables as read: a
+    plan with shuffles would have to run to tell its partitions.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

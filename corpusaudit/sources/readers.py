@@ -19,16 +19,14 @@ from corpusaudit.functions import text as tx
 TEMPLATE_FILES = "_template"
 
 
-def _ddl(schema: T.StructType) -> str:
-    return schema.simpleString()
-
-
 def read_summaries(spark: SparkSession, folder: str, schema: T.StructType = schemas.TEXT_SUMMARY) -> DataFrame:
     """One row per dataset from files that hold ``{uid: record}``; template files are skipped."""
     files = spark.read.text(f"{folder}/*.json", wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), "value"
     )
-    records = F.from_json("value", f"map<string,{_ddl(schema)}>")
+    # the key of the repository date occurs in two spellings; column names ignore case
+    one_spelling = F.regexp_replace("value", '"Github Date"', '"GitHub Date"')
+    records = F.from_json(one_spelling, T.MapType(T.StringType(), schema))
     return (
         files.filter(~F.contains("file", F.lit(TEMPLATE_FILES)))
         .select(F.explode(records).alias("_uid", "record"))
@@ -37,7 +35,7 @@ def read_summaries(spark: SparkSession, folder: str, schema: T.StructType = sche
 
 
 def catalog_columns(summaries: DataFrame) -> DataFrame:
-    """The short column names the catalog operators use; '' becomes NULL, both date spellings count."""
+    """The short column names the catalog operators use; '' becomes NULL."""
     c = lambda name: F.nullif(F.col(name), F.lit(""))
     meta = lambda name: F.nullif(F.col(f"`Inferred Metadata`.`{name}`"), F.lit(""))
     licenses = F.transform(
@@ -66,7 +64,7 @@ def catalog_columns(summaries: DataFrame) -> DataFrame:
         meta("PwC License Name").alias("papers_license"),
         meta("HF Date").alias("hub_date"),
         meta("S2 Date").alias("paper_date"),
-        F.coalesce(meta("GitHub Date"), meta("Github Date")).alias("repo_date"),
+        meta("GitHub Date").alias("repo_date"),
     )
 
 
