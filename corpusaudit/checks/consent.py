@@ -85,6 +85,12 @@ def filled(spark, sf_dir):
     )
 
 
+def intervals(spark, sf_dir):
+    return temporal.status_intervals(
+        snapshots(spark, sf_dir), sites(spark, sf_dir), START, END, "day", tie="event_id"
+    )
+
+
 def counts(spark, sf_dir):
     return temporal.period_counts_from_changes(
         snapshots(spark, sf_dir),
@@ -245,13 +251,15 @@ def members(spark, sf_dir):
 )
 def split_service_counts(spark, sf_dir):
     return text_period(
-        temporal.split_counts(filled(spark, sf_dir), members(spark, sf_dir), tokens(spark, sf_dir))
+        temporal.split_counts(
+            intervals(spark, sf_dir), members(spark, sf_dir), tokens(spark, sf_dir), END, "day"
+        )
     )
 
 
 def estimate(spark, sf_dir):
     member, weight = members(spark, sf_dir), tokens(spark, sf_dir)
-    by_split = temporal.split_counts(filled(spark, sf_dir), member, weight)
+    by_split = temporal.split_counts(intervals(spark, sf_dir), member, weight, END, "day")
     head = member.filter("split = 'head' AND service = 'all'").join(weight, "url").agg(F.sum("tokens")).scalar()
     fractions = temporal.token_fractions(weight, member, head + 900000000)
     return temporal.restriction_estimate(by_split, fractions, "GPTBot", ["all", "some"], "day")

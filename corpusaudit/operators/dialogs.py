@@ -392,41 +392,47 @@ def tree_rows(
     such a parent are dropped; a reply to a dropped message attaches to the last kept one before
     it. Trees of one message are dropped.
     """
-    base = rows.select(
+    links = rows.select(
         F.col(tree).alias("dialog"),
         F.col(message).alias("_id"),
         F.col(parent).alias("_parent"),
         F.col(order).alias("_ord"),
-        _role(F.col(role), ("user", "prompter"), ()).alias("from"),
-        F.replace(tx.strip(F.col(body)), F.lit('"'), F.lit("")).alias("text"),
-        F.col(dataset).alias("dataset"),
     )
-    opens = base.groupBy("dialog").agg(F.min("_ord").alias("_open"), F.count("*").alias("_size"))
-    known = base.select("dialog", F.col("_id").alias("_parent"), F.col("_ord").alias("_at"))
+    opens = links.groupBy("dialog").agg(F.min("_ord").alias("_open"), F.count("*").alias("_size"))
+    known = links.select("dialog", F.col("_id").alias("_parent"), F.col("_ord").alias("_at"))
+    answers = F.coalesce(F.col("_at") < F.col("_ord"), F.lit(False))
     linked = (
-        base.join(opens.filter("_size > 1"), "dialog")
+        links.join(opens.filter("_size > 1"), "dialog")
         .join(known, ["dialog", "_parent"], "left")
-        .withColumn("_kept", (F.col("_ord") == F.col("_open")) | F.coalesce(F.col("_at") < F.col("_ord"), F.lit(False)))
-        .withColumn("_one", F.col("_kept").cast("int"))
+        .withColumn("_one", ((F.col("_ord") == F.col("_open")) | answers).cast("int"))
     )
     indexed = windows.running_total(
         linked, ["dialog"], ["_ord"], F.floor(F.col("_ord") / block), "_one", "_n"
     ).withColumn("idx", F.col("_n") - 1)
     places = indexed.select("dialog", F.col("_id").alias("_parent"), F.col("idx").alias("_pidx"))
-    return (
-        indexed.filter("_kept")
+    several = indexed.groupBy("dialog").agg(F.sum("_one").alias("_k")).filter("_k > 1").select("dialog")
+    placed = (
+        indexed.filter("_one = 1")
         .join(places, ["dialog", "_parent"], "left")
-        .join(indexed.groupBy("dialog").agg(F.sum("_one").alias("_kept_n")), "dialog")
-        .filter("_kept_n > 1")
+        .join(several, "dialog", "left_semi")
         .select(
-            "dataset",
             "dialog",
+            "_ord",
             "idx",
-            "from",
-            "text",
             F.when(F.col("_ord") > F.col("_open"), F.col("_pidx")).alias("parent_idx"),
         )
     )
+    # everything above works on ids; the texts are shuffled once, here
+    texts = rows.select(
+        F.col(tree).alias("dialog"),
+        F.col(order).alias("_ord"),
+        _role(F.col(role), ("user", "prompter"), ()).alias("from"),
+        F.replace(tx.strip(F.col(body)), F.lit('"'), F.lit("")).alias("text"),
+        F.col(dataset).alias("dataset"),
+    )
+    return texts.join(placed, ["dialog", "_ord"]).select(
+        "dataset", "dialog", "idx", "from", "text", "parent_idx"
+    )
 
 
 def records_between_blanks(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusaudit.functions import dates, windows
+from corpusaudit.functions import dates
 from corpusaudit.operators import temporal
 
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48)
@@ -67,27 +67,28 @@ def forecast(
     keys = list(keys)
     lags = tuple(lags)
     types = dict(series.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "step int, forecast double"])
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_last date, _step int, forecast double"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("period")
         ahead = _autoregression(ordered[value].to_numpy(dtype=float), lags, steps)
         out = pd.DataFrame({k: [ordered[k].iloc[0]] * steps for k in keys})
-        return out.assign(step=np.arange(1, steps + 1, dtype="int32"), forecast=ahead)
+        return out.assign(
+            _last=ordered["period"].iloc[-1], _step=np.arange(1, steps + 1, dtype="int32"), forecast=ahead
+        )
 
     narrow = series.select(*keys, "period", F.col(value).cast("double").alias(value))
     predicted = narrow.groupBy(*keys).applyInPandas(fit, schema)
-    last = narrow.groupBy(*keys).agg(F.max("period").alias("_last"))
-    stepped = predicted.join(last, keys).withColumn(
-        "period", F.get(dates.next_periods(F.col("_last"), steps, unit), F.col("step") - 1)
-    )
-    return stepped.select(*keys, "period", "forecast")
+    period = F.get(dates.next_periods(F.col("_last"), steps, unit), F.col("_step") - 1)
+    return predicted.select(*keys, period.alias("period"), "forecast")
 
 
 def renormalise(forecasts: DataFrame, group: Sequence[str], value: str = "forecast") -> DataFrame:
     """Clip forecasts at 0 and scale them to a sum of 1 per group (e.g. agent and period)."""
-    clipped = forecasts.withColumn(value, F.greatest(F.col(value), F.lit(0.0)))
-    return windows.share_of_total(clipped, value, list(group), "_s").drop(value).withColumnRenamed("_s", value)
+    clipped = F.greatest(F.col(value), F.lit(0.0))
+    # a group holds one row per status
+    total = F.sum(clipped).over(W.partitionBy(*group))
+    return forecasts.withColumn(value, F.try_divide(clipped, total))
 
 
 def align(actual: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -36,17 +36,53 @@ def _first_period(start: Column, grid_start: Column, unit: str) -> Column:
     return F.greatest(ceil.cast("date"), grid_start)
 
 
+LABELS = tuple(dict.fromkeys([*dims.STRICTNESS, *dims.STRICTNESS_DETAILED]))
+
+
+def _position(status: Column, labels: Sequence[str] | None) -> Column:
+    if labels is None:
+        return status
+    return F.array_position(F.array(*[F.lit(v) for v in labels]), status).cast("int")
+
+
+def _label(position: Column, labels: Sequence[str] | None) -> Column:
+    if labels is None:
+        return position
+    return F.get(F.array(*[F.lit(v) for v in labels]), position - 1)
+
+
+def _moment(ts: str, tie: str | None) -> Column:
+    """Time as a number; equal times are ordered by ``tie`` (a non-negative bigint)."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    if tie is None:
+        return micros
+    scale = F.lit(str(10**19)).cast("decimal(20,0)")
+    return micros.cast("decimal(17,0)") * scale + F.col(tie).cast("decimal(19,0)")
+
+
 def last_per_period(
-    snapshots: DataFrame, keys: Sequence[str], status: str, ts: str, unit: str, tie: str | None = None
+    snapshots: DataFrame,
+    keys: Sequence[str],
+    status: str,
+    ts: str,
+    unit: str,
+    tie: str | None = None,
+    labels: Sequence[str] | None = LABELS,
 ) -> DataFrame:
-    """(keys, period, status) of the last snapshot in each period."""
-    order = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
-    return snapshots.groupBy(*keys, dates.period_start(F.col(ts), unit).alias("period")).agg(
-        F.max_by(status, order).alias("status")
+    """(keys, period, status) of the last snapshot in each period.
+
+    With a known list of labels the aggregate works on numbers only and is a hash aggregate; with
+    ``labels=None`` any text goes, by sorting.
+    """
+    latest = F.max_by(_position(F.col(status), labels), _moment(ts, tie))
+    return (
+        snapshots.groupBy(*keys, dates.period_start(F.col(ts), unit).alias("period"))
+        .agg(latest.alias("_s"))
+        .select(*keys, "period", _label(F.col("_s"), labels).alias("status"))
     )
 
 
-def fill_periods(
+def status_intervals(
     snapshots: DataFrame,
     sites: DataFrame,
     start: str,
@@ -57,39 +93,87 @@ def fill_periods(
     status: str = "status",
     tie: str | None = None,
     default: str = "no_robots",
+    labels: Sequence[str] | None = LABELS,
+) -> DataFrame:
+    """(keys, from, until, status): periods ``from <= p < until`` in which a status is the last known.
+
+    A site's periods start with the first one that begins at or after its start date; before the
+    first snapshot the status is the default. Snapshots are reduced to one per period before the
+    join with the sites; the window then sees at most one row per period and keeps the join's
+    partitioning, so there is no range join and no second large shuffle.
+    """
+    keys = list(keys)
+    step = F.expr(f"interval 1 {unit}")
+    first, last = (F.date_trunc(unit, F.lit(d)).cast("date") for d in (start, end))
+    stop = (last + step).cast("date")
+    reduced = last_per_period(snapshots, keys, status, ts, unit, tie, labels)
+    located = (
+        reduced.join(sites.select("url", "start_date"), "url")
+        .withColumn("_p0", _first_period(F.col("start_date"), first, unit))
+        .filter(F.col("_p0") <= last)
+    )
+    w = W.partitionBy(*keys).orderBy("period")
+    following = F.least(F.coalesce(F.lead("period").over(w), stop), stop)
+    piece = lambda a, b, v: F.struct(a.alias("from"), b.alias("until"), v.alias("status"))
+    own = piece(F.greatest("period", "_p0"), F.col("_next"), F.col("status"))
+    lead_in = piece(F.col("_p0"), F.least(F.col("period"), stop), F.lit(default))
+    return (
+        located.withColumn("_next", following)
+        .withColumn("_opens", F.row_number().over(w) == 1)
+        .select(*keys, F.inline(F.when(F.col("_opens"), F.array(lead_in, own)).otherwise(F.array(own))))
+        .filter(F.col("from") < F.col("until"))
+    )
+
+
+def fill_intervals(intervals: DataFrame, unit: str = "month") -> DataFrame:
+    """One row per period of each interval."""
+    step = F.expr(f"interval 1 {unit}")
+    rest = [c for c in intervals.columns if c not in ("from", "until", "status")]
+    periods = F.sequence(F.col("from"), (F.col("until") - step).cast("date"), step)
+    return intervals.select(*rest, F.explode(periods).alias("period"), "status")
+
+
+def fill_periods(
+    snapshots: DataFrame, sites: DataFrame, start: str, end: str, unit: str = "month", **options
 ) -> DataFrame:
     """(keys, period, status) for every period from the site's start: the last status known by its end.
 
-    Ticks and reduced snapshots share one table and one window, so there is no range join. Sites
-    without snapshots have no rows; periods before the first snapshot have the default.
+    Sites without snapshots have no rows. Options as in :func:`status_intervals`.
+    """
+    return fill_intervals(status_intervals(snapshots, sites, start, end, unit, **options), unit)
+
+
+def interval_counts(
+    intervals: DataFrame, keys: Sequence[str], end: str, unit: str = "month", weight: str | None = None
+) -> DataFrame:
+    """(period, keys, count, tokens) of the rows whose interval covers the period.
+
+    An interval counts +1 where it begins and -1 where it ends. The sums per change point are small;
+    their running total, repeated up to the next change point, gives every period. The work grows
+    with the changes, not with sites times periods.
     """
     keys = list(keys)
-    grid = (F.date_trunc(unit, F.lit(start)).cast("date"), F.date_trunc(unit, F.lit(end)).cast("date"))
-    reduced = last_per_period(snapshots, keys, status, ts, unit, tie).withColumn("_tick", F.lit(False))
-    first = _first_period(F.col("start_date"), grid[0], unit)
-    ticks = (
-        reduced.select(*keys)
-        .distinct()
-        .join(sites.select("url", "start_date"), "url")
-        .withColumn("_from", first)
-        .filter(F.col("_from") <= grid[1])
-        .select(
-            *keys,
-            F.explode(F.sequence("_from", grid[1], F.expr(f"interval 1 {unit}"))).alias("period"),
-            F.lit(None).cast("string").alias("status"),
-            F.lit(True).alias("_tick"),
+    step = F.expr(f"interval 1 {unit}")
+    last = F.date_trunc(unit, F.lit(end)).cast("date")
+    value = F.lit(0).cast("bigint") if weight is None else F.coalesce(F.col(weight), F.lit(0)).cast("bigint")
+    change = lambda p, d: F.struct(p.alias("period"), F.lit(d).alias("_d"))
+    deltas = (
+        intervals.select(
+            *keys, value.alias("_w"), F.inline(F.array(change(F.col("from"), 1), change(F.col("until"), -1)))
         )
-    )
-    merged = (
-        reduced.unionByName(ticks)
+        .filter(F.col("period") <= last)
         .groupBy(*keys, "period")
-        .agg(F.max("status").alias("status"), F.max("_tick").alias("_tick"))
+        .agg(F.sum("_d").alias("_n"), F.sum(F.col("_d") * F.col("_w")).alias("_t"))
     )
-    so_far = W.partitionBy(*keys).orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys).orderBy("period")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    until = F.coalesce((F.lead("period").over(w) - step).cast("date"), last)
     return (
-        merged.withColumn("status", F.last("status", ignorenulls=True).over(so_far))
-        .filter("_tick")
-        .select(*keys, "period", F.coalesce("status", F.lit(default)).alias("status"))
+        deltas.withColumn("count", F.sum("_n").over(so_far))
+        .withColumn("tokens", F.sum("_t").over(so_far))
+        .withColumn("_until", until)
+        .filter("count > 0")
+        .select(F.explode(F.sequence("period", "_until", step)).alias("period"), *keys, "count", "tokens")
     )
 
 
@@ -181,13 +265,17 @@ def period_counts(filled: DataFrame, tokens: DataFrame | None = None) -> DataFra
 def with_combined_agent(
     filled: DataFrame, order: Sequence[str] = tuple(dims.STRICTNESS)
 ) -> DataFrame:
-    """The filled table plus, per URL and period, the strictest status over all agents."""
-    combined = filled.groupBy("url", "period").agg(
-        robots.strictest(F.col("status"), order).alias("status")
-    )
-    return filled.select("url", "agent", "period", "status").unionByName(
-        combined.select("url", F.lit(dims.COMBINED_AGENT).alias("agent"), "period", "status")
+    """The filled table plus, per URL and period, the strictest status over all agents.
+
+    The agents of a URL and period are a short fixed list, so they are gathered in one row and
+    written out again with the combined one; the input is read once.
+    """
+    entry = F.struct(F.col("agent"), F.col("status"))
+    gathered = filled.groupBy("url", "period").agg(
+        F.collect_list(entry).alias("_own"), robots.strictest(F.col("status"), order).alias("_all")
     )
+    combined = F.struct(F.lit(dims.COMBINED_AGENT).alias("agent"), F.col("_all").alias("status"))
+    return gathered.select("url", "period", F.inline(F.array_append("_own", combined)))
 
 
 def period_counts_from_changes(
@@ -196,85 +284,29 @@ def period_counts_from_changes(
     start: str,
     end: str,
     unit: str = "month",
-    ts: str = "ts",
-    status: str = "status",
-    tie: str | None = None,
-    default: str = "no_robots",
     tokens: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
-    """The same counts as :func:`period_counts` of :func:`fill_periods`, without the filled table.
-
-    Only changes of status are kept: +1 where a status begins, -1 where it ends. Sums of changes per
-    period are small, and their running total over the grid gives the counts. The work grows with
-    the snapshots, not with sites times periods.
-    """
-    keys = ["url", "agent"]
-    grid = (F.date_trunc(unit, F.lit(start)).cast("date"), F.date_trunc(unit, F.lit(end)).cast("date"))
-    located = (
-        snapshots.join(sites.select("url", "start_date"), "url")
-        .withColumn("_p0", _first_period(F.col("start_date"), grid[0], unit))
-        .filter(F.col("_p0") <= grid[1])
-        .withColumn("period", F.greatest(dates.period_start(F.col(ts), unit), F.col("_p0")))
-    )
-    order = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
-    reduced = located.groupBy(*keys, "period").agg(
-        F.max_by(status, order).alias("status"), F.min("_p0").alias("_p0")
-    )
-    before = F.lag("status").over(W.partitionBy(*keys).orderBy("period"))
-    change = lambda p, s, d: F.struct(p.alias("period"), s.alias("status"), F.lit(d).alias("d"))
-    began = F.when(
-        F.col("_before").isNull() & (F.col("period") > F.col("_p0")),
-        F.array(
-            change(F.col("_p0"), F.lit(default), 1),
-            change(F.col("period"), F.lit(default), -1),
-            change(F.col("period"), F.col("status"), 1),
-        ),
-    ).when(F.col("_before").isNull(), F.array(change(F.col("period"), F.col("status"), 1)))
-    moved = F.array(
-        change(F.col("period"), F.col("_before"), -1), change(F.col("period"), F.col("status"), 1)
-    )
-    changes = (
-        reduced.withColumn("_before", before)
-        .filter(F.col("_before").isNull() | (F.col("_before") != F.col("status")))
-        .select(*keys, F.inline(F.coalesce(began, moved)))
-        .filter(F.col("period") <= grid[1])
-    )
-    weight = F.lit(0).cast("bigint")
+    """The counts of :func:`period_counts` over :func:`fill_periods`, without the filled table."""
+    intervals = status_intervals(snapshots, sites, start, end, unit, **options)
     if tokens is not None:
-        changes = changes.join(tokens.select("url", "tokens"), "url", "left")
-        weight = F.coalesce(F.col("tokens"), F.lit(0))
-    deltas = changes.groupBy("agent", "status", "period").agg(
-        F.sum("d").alias("_n"), F.sum(F.col("d") * weight).alias("_t")
-    )
-    axis = deltas.select("agent", "status").distinct().select(
-        "agent",
-        "status",
-        F.explode(F.sequence(*grid, F.expr(f"interval 1 {unit}"))).alias("period"),
-        F.lit(0).cast("bigint").alias("_n"),
-        F.lit(0).cast("bigint").alias("_t"),
-    )
-    per_period = deltas.unionByName(axis).groupBy("agent", "status", "period").agg(
-        F.sum("_n").alias("_n"), F.sum("_t").alias("_t")
-    )
-    so_far = W.partitionBy("agent", "status").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        per_period.withColumn("count", F.sum("_n").over(so_far))
-        .withColumn("tokens", F.sum("_t").over(so_far))
-        .filter("count > 0")
-        .select("period", "agent", "status", "count", "tokens")
+        intervals = intervals.join(tokens.select("url", "tokens"), "url", "left")
+    return interval_counts(
+        intervals, ["agent", "status"], end, unit, "tokens" if tokens is not None else None
     )
 
 
 def status_shares(counts: DataFrame, value: str, statuses: Sequence[str]) -> DataFrame:
     """Share of each status per (agent, period); statuses without rows get 0."""
-    grid = counts.select("agent", "period").distinct().select(
-        "agent", "period", F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status")
-    )
-    sums = counts.groupBy("agent", "period", "status").agg(F.sum(value).alias("_v"))
-    full = grid.join(sums, ["agent", "period", "status"], "left").withColumn(
-        "_v", F.coalesce("_v", F.lit(0))
+    sums = counts.groupBy("agent", "period").agg(
+        F.sum(F.when(F.col("status").isin(list(statuses)), F.col(value))).alias("_all"),
+        *[F.sum(F.when(F.col("status") == s, F.col(value)).otherwise(0)).alias(f"_{i}") for i, s in enumerate(statuses)],
     )
-    return windows.share_of_total(full, "_v", ["agent", "period"], "share").drop("_v")
+    entries = [
+        F.struct(F.lit(s).alias("status"), F.try_divide(F.col(f"_{i}"), F.col("_all")).alias("share"))
+        for i, s in enumerate(statuses)
+    ]
+    return sums.select("agent", "period", F.inline(F.array(*entries)))
 
 
 def restricted_share(counts: DataFrame, restrictive: Sequence[str] = ("all",)) -> DataFrame:
@@ -320,17 +352,15 @@ def snapshot_profile(snapshots: DataFrame, ts: str) -> DataFrame:
 # --- restriction of whole corpora ----------------------------------------------------------------
 
 
-def split_counts(filled: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
+def split_counts(
+    intervals: DataFrame, members: DataFrame, tokens: DataFrame, end: str, unit: str = "month"
+) -> DataFrame:
     """(split, service, period, agent, status, count, tokens) in one job.
 
     ``members`` is (url, split, service), a URL once per service it belongs to and once for 'all'.
     """
-    return (
-        filled.join(members, "url")
-        .join(tokens.select("url", "tokens"), "url", "left")
-        .groupBy("split", "service", "period", "agent", "status")
-        .agg(F.count("*").alias("count"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
-    )
+    weighted = intervals.join(members, "url").join(tokens.select("url", "tokens"), "url", "left")
+    return interval_counts(weighted, ["split", "service", "agent", "status"], end, unit, "tokens")
 
 
 def services_with_all(sites: DataFrame, services: str = "services") -> DataFrame:
@@ -385,12 +415,26 @@ def restriction_estimate(
         part("rand").alias("_ra"),
         part("head", restricted).alias("_hr"),
         part("head").alias("_ha"),
-    )
-    span = chosen.filter("split = 'rand'").groupBy("service").agg(
-        F.min("period").alias("_a"), F.max("period").alias("_b")
-    )
-    grid = span.select("service", F.explode(F.sequence("_a", "_b", F.expr(f"interval 1 {unit}"))).alias("period"))
-    joined = grid.join(per_period, ["service", "period"], "left").join(fractions, "service")
+        F.count_if(F.col("split") == "rand").alias("_rn"),
+    )
+    step = F.expr(f"interval 1 {unit}")
+    series = W.partitionBy("service")
+    sampled = F.when(F.col("_rn") > 0, F.col("period"))
+    # periods missing inside the span of the random sample get a row without values
+    upto = F.coalesce(F.lead("period").over(series.orderBy("period")), (F.col("period") + step).cast("date"))
+    spanned = (
+        per_period.withColumn("_a", F.min(sampled).over(series))
+        .withColumn("_b", F.max(sampled).over(series))
+        .withColumn("_upto", upto)
+        .filter(F.col("period").between(F.col("_a"), F.col("_b")))
+        .withColumn("_p", F.explode(F.sequence("period", (F.col("_upto") - step).cast("date"), step)))
+    )
+    seen = F.col("_p") == F.col("period")
+    joined = spanned.select(
+        "service",
+        F.col("_p").alias("period"),
+        *[F.when(seen, F.col(c)).alias(c) for c in ("_rr", "_ra", "_hr", "_ha")],
+    ).join(fractions, "service")
     random, head = F.try_divide(F.col("_rr"), F.col("_ra")), F.try_divide(F.col("_hr"), F.col("_ha"))
     return joined.select(
         "service",

@@ -13,6 +13,14 @@ from corpusaudit.functions import windows
 from corpusaudit.operators import temporal
 
 OPEN = "Unrestricted Use"
+VERDICT_LABELS = tuple(
+    dict.fromkeys(
+        [dims.NO_TERMS]
+        + list(dims.SCRAPING_VERDICTS.values())
+        + list(dims.LICENSE_VERDICTS.values())
+        + list(dims.COMPETE_VERDICTS.values())
+    )
+)
 
 
 def mentions_topic(body: Column, topic: str) -> Column:
@@ -98,7 +106,16 @@ def latest_verdicts(verdicts: DataFrame) -> DataFrame:
 def fill_verdicts(verdicts: DataFrame, sites: DataFrame, start: str, end: str, unit: str = "month") -> DataFrame:
     """(url, period, status): the last verdict known at the end of each period."""
     return temporal.fill_periods(
-        verdicts, sites, start, end, unit, keys=("url",), ts="date", status="verdict", default=dims.NO_TERMS
+        verdicts,
+        sites,
+        start,
+        end,
+        unit,
+        keys=("url",),
+        ts="date",
+        status="verdict",
+        default=dims.NO_TERMS,
+        labels=VERDICT_LABELS,
     )
 
 

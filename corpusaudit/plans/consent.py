@@ -78,9 +78,9 @@ def corpus_estimate(
     tokens = domains.corpus_url_tokens(all_tokens, corpus)
     members = head_and_random(tokens, all_tokens, services, corpus, settings.head_size)
     wanted = facts.filter(F.col("agent") == agent).join(members.select("url").distinct(), "url", "left_semi")
-    filled = temporal.fill_periods(
+    intervals = temporal.status_intervals(
         wanted, sites, settings.start, settings.end, settings.unit, ts="snap_date"
     )
-    counts = temporal.split_counts(filled, members, tokens)
+    counts = temporal.split_counts(intervals, members, tokens, settings.end, settings.unit)
     fractions = temporal.token_fractions(tokens, members, F.lit(dims.CORPUS_TOKENS[corpus]))
     return temporal.restriction_estimate(counts, fractions, agent, list(restrictive), settings.unit)
