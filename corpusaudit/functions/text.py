@@ -63,9 +63,20 @@ def first_lines(col: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(col, "\n"), 1, n), "\n")
 
 
+def title_case(col: Column) -> Column:
+    """Every run of letters starts with a capital, the rest is lower case."""
+    runs = F.split(col, r"(?<!\p{L})(?=\p{L})")
+    return F.array_join(
+        F.transform(
+            runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
+        ),
+        "",
+    )
+
+
 def title_with_synonyms(col: Column, synonyms: Mapping[str, str]) -> Column:
     """Title-case a label, then replace known synonyms."""
-    return lookup(F.initcap(col), synonyms)
+    return let(title_case(col), lambda t: lookup(t, synonyms))
 
 
 def lookup(col: Column, mapping: Mapping[str, str], default: Column | None = None) -> Column:
@@ -138,4 +149,5 @@ def duration_label(seconds: Column) -> Column:
 
 
 def percent_label(value: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f %%", value)
+    """``12.5 %``; halves go to the even digit."""
+    return F.format_string(f"%.{digits}f %%", F.bround(value, digits))

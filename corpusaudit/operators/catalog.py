@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit import dims
 from corpusaudit.functions import dates
+from corpusaudit.functions import text as tx
 from corpusaudit.operators import licenses as lic
 from corpusaudit.operators import quality
 
@@ -310,6 +311,25 @@ def mentions_any(values: Column, needles: Sequence[str]) -> Column:
     return F.coalesce(F.exists(values, hit), F.lit(False))
 
 
+def clean_name(name: Column) -> Column:
+    """Dataset name without trailing slashes, known mistakes replaced."""
+    return tx.lookup(F.regexp_replace(name, "/+$", ""), dims.NAME_FIXES)
+
+
+def clean_dataset_url(url: Column) -> Column:
+    """Address of a dataset without the viewer part."""
+    return F.get(F.split(url, "/viewer/[?]", 2), F.lit(0))
+
+
+def clean_hub_url(url: Column) -> Column:
+    return F.replace(url, F.lit("viewer/?dataset="), F.lit(""))
+
+
+def repo_license(name: Column) -> Column:
+    """License name of a code host in the vocabulary of the license table, '' when it says nothing."""
+    return tx.lookup(name, dims.REPO_LICENSE_NAMES)
+
+
 def total_tokens(
     num_dialogs: Column, mean_turns: Column, mean_inputs: Column, mean_targets: Column
 ) -> Column:

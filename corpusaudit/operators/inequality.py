@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusaudit import dims
 from corpusaudit.functions import dates, windows
+from corpusaudit.functions import text as tx
+from corpusaudit.operators import reports
 
 EPSILON = 1e-7
 
@@ -22,15 +25,14 @@ def gini(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """
     group = list(group)
     tallies = df.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
-    sizes = tallies.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.least(F.min("_x"), F.lit(0.0)).alias("_low")
-    )
     ranked = windows.prefix_sum(tallies, group, [F.asc("_x")], "_c", "_p")
+    # read from the ranked rows, which are on storage already
+    size = (F.sum("_c").alias("_n"), F.least(F.min("_x"), F.lit(0.0)).alias("_low"))
     if group:
-        joined = ranked.join(sizes, group)
+        joined = ranked.join(ranked.groupBy(*group).agg(*size), group)
     else:
-        size = sizes.select(F.struct("_n", "_low").alias("s")).scalar()
-        joined = ranked.withColumn("_s", size).select("*", "_s._n", "_s._low")
+        total = ranked.agg(F.struct(*size).alias("s")).scalar()
+        joined = ranked.withColumn("_s", total).select("*", "_s._n", "_s._low")
     x = F.col("_x") - F.col("_low") + EPSILON
     # the ranks p+1 .. p+c of c equal values contribute c * (2p + c - n)
     part = F.col("_c") * (2 * F.col("_p") + F.col("_c") - F.col("_n")) * x
@@ -162,5 +164,28 @@ def cumulative_distinct(df: DataFrame, group: str, member: str, year: str) -> Da
     )
 
 
+def cumulative_sources(
+    rows: DataFrame, sources: str, year: str, measure: str, k: int, earliest: int = 2015
+) -> DataFrame:
+    """(year, source, cumulative) of the ``k`` most frequent sources; early years are one bucket.
+
+    Sources get their display names, the rest and unclear ones are left out, and a year of which a
+    source has no rows does not appear.
+    """
+    exploded = rows.select(F.explode(sources).alias("source"), F.col(year).alias("_y"), F.col(measure).alias("_m"))
+    named = reports.top_or_other(exploded, "source", k).withColumn(
+        "source", tx.title_with_synonyms(F.col("source"), dims.SOURCE_LABELS)
+    )
+    sums = (
+        named.filter("source <> 'Other' AND _y IS NOT NULL")
+        .groupBy("source", F.greatest("_y", F.lit(earliest - 1)).alias("_y"))
+        .agg(F.sum("_m").alias("_t"))
+    )
+    so_far = W.partitionBy("source").orderBy("_y").rowsBetween(W.unboundedPreceding, 0)
+    return sums.select(
+        dates.year_bucket(F.col("_y"), earliest).alias("year"), "source", F.sum("_t").over(so_far).alias("cumulative")
+    )
+
+
 def year_category(year: Column, minimum: int = 2013) -> Column:
     return dates.year_bucket(year, minimum)

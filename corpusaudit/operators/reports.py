@@ -125,6 +125,34 @@ def conditional_pairs(statuses: DataFrame, group: str, restricted: Column, membe
     )
 
 
+def area_shares(rows: DataFrame, modality: str, areas: str, size: str) -> DataFrame:
+    """(modality, area, count, size, pct_count, pct_size): datasets and their size per area of a modality.
+
+    ``areas`` is a list; a dataset counts once in each of its areas.
+    """
+    cells = (
+        rows.select(modality, F.explode(areas).alias("area"), size)
+        .dropna(subset=["area"])
+        .groupBy(modality, "area")
+        .agg(F.count("*").alias("count"), F.coalesce(F.sum(size), F.lit(0)).alias("size"))
+    )
+    by_count = windows.share_of_total(cells, "count", [modality], "pct_count")
+    both = windows.share_of_total(by_count, "size", [modality], "pct_size")
+    return both.withColumns({c: F.round(100 * F.col(c), 1) for c in ("pct_count", "pct_size")})
+
+
+def group_tags(df: DataFrame, group: str, values: str, dictionary: DataFrame) -> DataFrame:
+    """(group, tags): distinct mapped values over all rows of a group, de-duplicated as rows."""
+    return (
+        df.select(group, F.explode(values).alias("member"))
+        .join(dictionary.select("member", F.col("group").alias("_tag")), "member", "left")
+        .select(group, F.coalesce("_tag", "member").alias("_tag"))
+        .distinct()
+        .groupBy(group)
+        .agg(F.sort_array(F.collect_set("_tag")).alias("tags"))
+    )
+
+
 # --- top lists -----------------------------------------------------------------------------------
 
 
