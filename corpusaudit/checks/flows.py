@@ -9,7 +9,7 @@ from corpusaudit.checks import catalogs, consent, crawlers, terms, web
 from corpusaudit.checks.registry import query, table
 from corpusaudit.functions import text as tx
 from corpusaudit.functions import urls
-from corpusaudit.operators import domains, forecast, html, robots, temporal
+from corpusaudit.operators import domains, forecast, html
 from corpusaudit.plans import consent as consent_plan
 from corpusaudit.plans import domain_tokens as token_plan
 from corpusaudit.session import shared_folder, spread
@@ -78,17 +78,13 @@ def html_text(spark, sf_dir):
 @query(
     r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
         '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS html FROM pages),
-    t AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'), '&copy;', chr(169)), '&middot;', chr(183)),
-        '&quot;', '"'), '&amp;', '&') AS text FROM h WHERE NOT regexp_matches(html, '&(a|am|amp|c|co|cop|copy|q|qu|quo|quot)?[^a-z;]|&[a-z]*$|<[^>]*$'))
+    t AS (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'),
+        '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM h)
     SELECT page_id, regexp_replace(text, '\s+', '', 'g') AS letters FROM t"""
 )
 def html_letters(spark, sf_dir):
-    """All visible characters of complete pages: nothing is lost or invented by the extraction."""
-    cleaned = F.regexp_replace("html", "(?s)<!--.*?-->", "")
-    cleaned = F.regexp_replace(cleaned, "(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    pages = table(spark, sf_dir, "pages").select("page_id", "html", cleaned.alias("c"))
-    kept = pages.withColumn("keep", F.col("c").rlike("&(a|am|amp|c|co|cop|copy|q|qu|quo|quot)?[^a-z;]|&[a-z]*$|<[^>]*$"))
-    texts = html.extract_text(kept.filter("NOT keep"), "html", ["page_id"])
+    """All visible characters of the pages: nothing is lost or invented by the extraction."""
+    texts = html.extract_text(spread(table(spark, sf_dir, "pages")), "html", ["page_id"])
     bare = F.regexp_replace(F.regexp_replace("text", "(?m)^# | #$", ""), r"\s+", "")
     return texts.select("page_id", bare.alias("letters"))
 

@@ -109,10 +109,17 @@ class CatalogFilter:
             out = out & test
         return out
 
-    def apply(self, criteria: DataFrame, dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
+    def apply(
+        self,
+        criteria: DataFrame,
+        dictionaries: dict[str, DataFrame] | None = None,
+        allowed_uids: DataFrame | None = None,
+    ) -> DataFrame:
+        """Selected rows. ``allowed_uids`` is an allow list of any size with column ``uid``."""
         checked = self.validated()
         rows = lic.with_repo_fallback(criteria) if checked.repo_fallback else criteria
-        return rows.filter(checked.predicate(dictionaries))
+        kept = rows.filter(checked.predicate(dictionaries))
+        return kept if allowed_uids is None else kept.join(allowed_uids.select("uid"), "uid", "left_semi")
 
     def but(self, **changes) -> CatalogFilter:
         return replace(self, **changes)

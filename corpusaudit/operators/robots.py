@@ -50,11 +50,11 @@ def _group(agents: Column, rules: Column) -> Column:
     )
 
 
-def rule_groups(body: Column, grouping: str = "reference") -> Column:
+def rule_groups(body: Column, grouping: str = "leading") -> Column:
     """``array<struct<agents, keys, rules>>``: agents with the rule lines that follow them.
 
     ``rfc9309``: agent lines directly after each other share the rules below them.
-    ``reference``: that holds only up to the first rule or sitemap line of the file; afterwards
+    ``leading``: that holds only up to the first rule or sitemap line of the file; afterwards
     every agent line opens a group of its own.
     """
     lines = clean_lines(body)
@@ -69,8 +69,8 @@ def rule_groups(body: Column, grouping: str = "reference") -> Column:
             F.split(marked, "\u0001"),
             lambda piece: tx.let(F.split(piece, "\n"), lambda ls: _group(agents_in(ls), rules_in(ls))),
         )
-    if grouping != "reference":
-        raise ValueError("grouping must be 'reference' or 'rfc9309'")
+    if grouping != "leading":
+        raise ValueError("grouping must be 'leading' or 'rfc9309'")
 
     def grouped(joined: Column) -> Column:
         return tx.let(F.length(F.get(F.split(joined, RULE_OR_SITEMAP, 2), F.lit(0))), lambda cut: halves(joined, cut))
@@ -92,7 +92,7 @@ def rule_groups(body: Column, grouping: str = "reference") -> Column:
     return tx.let(F.array_join(lines, "\n"), grouped)
 
 
-def parse(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "reference") -> DataFrame:
+def parse(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "leading") -> DataFrame:
     """Long rule table (keys, agent, directive, value, ord); ``agent`` is spelled as first seen."""
     grouped = snapshots.select(*keys, rule_groups(F.col(body), grouping).alias("_groups"))
     spellings = F.flatten(F.col("_groups.agents"))
@@ -162,7 +162,7 @@ def judge_rule_table(rules: DataFrame, keys: Sequence[str], order: str = "ord")
     return listed.select(*keys, "agent", judge_rules(paths("disallow"), paths("allow")).alias("status"))
 
 
-def judgements(body: Column, grouping: str = "reference") -> Column:
+def judgements(body: Column, grouping: str = "leading") -> Column:
     """Map from lower-case agent to judgement, for the agents the file mentions."""
     groups = rule_groups(body, grouping)
 
@@ -186,7 +186,7 @@ def judgements(body: Column, grouping: str = "reference") -> Column:
 
 
 def with_judgements(
-    snapshots: DataFrame, body: str, grouping: str = "reference", out: str = "judgements"
+    snapshots: DataFrame, body: str, grouping: str = "leading", out: str = "judgements"
 ) -> DataFrame:
     return snapshots.withColumn(out, judgements(F.col(body), grouping))
 
@@ -337,7 +337,7 @@ def top_agents(stats: DataFrame, n: int, always: Sequence[str] = ()) -> DataFram
     return first.unionByName(stats.filter(F.col("agent").isin(list(always)))).dropDuplicates(["agent"])
 
 
-def first_spellings(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "reference") -> DataFrame:
+def first_spellings(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "leading") -> DataFrame:
     """(keys, agent_key, agent): each agent of a file as it is spelled first."""
     names = F.flatten(F.transform(rule_groups(F.col(body), grouping), lambda g: g["agents"]))
     return (

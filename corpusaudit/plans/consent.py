@@ -19,7 +19,7 @@ class ConsentSettings:
     unit: str = "month"
     companies: tuple[str, ...] = ("OpenAI", "Google", "Common Crawl", "Anthropic", "Meta")
     head_size: int = 2000
-    grouping: str = "reference"
+    grouping: str = "leading"
 
 
 def status_facts(snapshots: DataFrame, settings: ConsentSettings) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators import robots
 
-BOTH = ("reference", "rfc9309")
+BOTH = ("leading", "rfc9309")
 
 # (file, judgements by lower-case agent, groupings the case holds for)
 FILES = [
@@ -24,9 +24,9 @@ FILES = [
     ("User-agent: A\nDisallow: /x\nUser-agent: a\nDisallow: /", {"a": "all"}, BOTH),
     ("User-agent: A\nCrawl-delay: 5\nUser-agent: B\nDisallow: /", {"a": "none", "b": "all"}, BOTH),
     # stacked agents after the first rule: only the last of them gets the rule, or all of them
-    ("User-agent: A\nDisallow: /\nUser-agent: B\nUser-agent: C\nDisallow: /", {"a": "all", "b": "none", "c": "all"}, ("reference",)),
+    ("User-agent: A\nDisallow: /\nUser-agent: B\nUser-agent: C\nDisallow: /", {"a": "all", "b": "none", "c": "all"}, ("leading",)),
     ("User-agent: A\nDisallow: /\nUser-agent: B\nUser-agent: C\nDisallow: /", {"a": "all", "b": "all", "c": "all"}, ("rfc9309",)),
-    ("User-agent: A\nSitemap: /m.xml\nUser-agent: B\nDisallow: /", {"a": "none", "b": "all"}, ("reference",)),
+    ("User-agent: A\nSitemap: /m.xml\nUser-agent: B\nDisallow: /", {"a": "none", "b": "all"}, ("leading",)),
     ("User-agent: A\nSitemap: /m.xml\nUser-agent: B\nDisallow: /", {"a": "all", "b": "all"}, ("rfc9309",)),
     ("Disallow: /x\nnonsense", {}, BOTH),
     ("", {}, BOTH),
