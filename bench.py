@@ -18,6 +18,7 @@ from corpusaudit.checks import load_queries  # noqa: E402
 HEADLINE = [
     "domain_tokens",
     "topk_domains",
+    "domain_tokens_mixed_layouts",
     "url_rank",
     "dialog_messages",
     "supervised_pairs",
@@ -83,6 +84,7 @@ def main() -> None:
                 "sf": float(scale.group(1)) if scale else sf_dir,
                 "rows_per_sec": {
                     "domain_tokens (pages)": round(pages / times["domain_tokens"]),
+                    "domain_tokens_mixed_layouts (documents)": round(docs / times["domain_tokens_mixed_layouts"]),
                     "keyword_relevance (documents)": round(docs / times["keyword_relevance"]),
                 },
             }

@@ -451,7 +451,7 @@ def top_ancestor(spark, sf_dir):
     linked = parents.join(known.withColumn("_k", F.lit(True)), "parent", "left").select(
         "member", F.when(F.col("_k"), F.col("parent")).alias("parent")
     )
-    return rp.top_ancestor(linked, max_depth=8)
+    return rp.top_ancestor(linked)
 
 
 @query(

@@ -136,7 +136,10 @@ def first_n_per_key(
 
 
 def share_of_total(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """``value`` over the group's total; totals are pre-aggregated and joined back."""
+    """``value`` over the group's total; totals are pre-aggregated and joined back.
+
+    Rows with a NULL group have no share and are dropped.
+    """
     if not group:
         total = df.agg(F.sum(value).alias("_total"))
         return df.withColumn(out, F.try_divide(F.col(value), total.scalar()))

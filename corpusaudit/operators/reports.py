@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusaudit.functions import windows
+from corpusaudit.session import ensure_checkpoint_dir
 
 
 def counts(df: DataFrame, keys: Sequence[str], measure: str | None = None, out: str = "count") -> DataFrame:
@@ -246,7 +247,7 @@ def bin_counts(df: DataFrame, value: Column, bounds: Sequence[int | None], by: C
 def split_measure(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """``value`` divided by the number of rows of its group; counts are aggregated and joined back."""
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    return df.join(sizes, list(group)).withColumn(out, F.col(value) / F.col("_n")).drop("_n")
+    return df.join(sizes, list(group), "left").withColumn(out, F.col(value) / F.col("_n")).drop("_n")
 
 
 def midpoints(shares: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -262,7 +263,7 @@ def most_restrictive_in_group(df: DataFrame, group: str, label: str, order: Sequ
     rank = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(label))
     best = df.groupBy(group).agg(F.min(F.when(rank > 0, rank)).alias("_r"))
     name = F.get(F.array(*[F.lit(v) for v in order]), (F.col("_r") - 1).cast("int"))
-    return df.drop(label).join(best, group).withColumn(label, name).drop("_r")
+    return df.drop(label).join(best, group, "left").withColumn(label, name).drop("_r")
 
 
 def most_common_in_group(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -431,21 +432,25 @@ def split_keys(df: DataFrame, column: str, out: str) -> DataFrame:
     )
 
 
-def top_ancestor(parents: DataFrame, max_depth: int = 32) -> DataFrame:
+def top_ancestor(parents: DataFrame, max_rounds: int = 16) -> DataFrame:
     """(member, top) for a table (member, parent): the last ancestor of every member.
 
-    Pointer doubling: each round replaces the parent by the parent's parent, so depth ``d`` needs
-    ``log2(d)`` joins of the dimension with itself.
+    Each round replaces the parent by the parent's parent, so chains of length ``n`` take ``log2(n)``
+    rounds. A round is written to the checkpoint folder, which keeps the plan from doubling.
     """
-    current = parents.select("member", F.coalesce("parent", "member").alias("top"))
-    depth = 1
-    while depth < max_depth:
+    ensure_checkpoint_dir(parents.sparkSession)
+    current = parents.select("member", F.coalesce("parent", "member").alias("top")).checkpoint()
+    for _ in range(max_rounds):
         up = current.select(F.col("member").alias("top"), F.col("top").alias("_next"))
-        current = current.join(up, "top", "left").select(
-            "member", F.coalesce("_next", "top").alias("top")
+        moved = (
+            current.join(up, "top", "left")
+            .select("member", F.coalesce("_next", "top").alias("_to"), "top")
+            .checkpoint()
         )
-        depth *= 2
-    return current
+        current = moved.select("member", F.col("_to").alias("top"))
+        if moved.filter("_to <> top").isEmpty():
+            return current
+    raise ValueError("a member is its own ancestor, or a chain is longer than 2**max_rounds")
 
 
 def override_values(even: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

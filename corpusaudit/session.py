@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go away with the tables that use them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # no call-site capture per column expression: plans with many expressions build much faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

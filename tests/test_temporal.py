@@ -91,3 +91,42 @@ def test_logistic_population(spark):
     row = population.logistic_population(none, sample, buckets, "y", "m", conservative=True, scale=True).first()
     assert 800 < row.positive < 1200 and abs(row.positive + row.negative - 2000) < 0.1
     assert row.magnitude > 90 * 700
+
+
+def test_autoregression_follows_its_rule(spark):
+    from corpusaudit.operators import forecast
+
+    y, rows = 80.0, []
+    for i in range(24):
+        rows.append(("A", dt.date(2020 + i // 12, i % 12 + 1, 1), y))
+        y = 0.5 * y + 10 + (0.001 if i % 2 else -0.001)
+    rows += [("B", dt.date(2021, 12, 1), 7.0)]
+    df = spark.createDataFrame(rows, "agent string, period date, share double")
+    got = forecast.forecast(df, ["agent"], "share", steps=3, lags=(1,)).collect()
+    a = sorted((r.period, r.forecast) for r in got if r.agent == "A")
+    assert [p for p, _ in a] == [dt.date(2022, 1, 1), dt.date(2022, 2, 1), dt.date(2022, 3, 1)]
+    assert all(abs(v - 20) < 0.1 for _, v in a)
+    assert {r.forecast for r in got if r.agent == "B"} == {7.0}
+    scaled = forecast.renormalise(spark.createDataFrame([("x", 1, -5.0), ("y", 1, 3.0), ("z", 1, 1.0)], "s string, g int, forecast double"), ["g"])
+    assert {r.s: r.forecast for r in scaled.collect()} == {"x": 0.0, "y": 0.75, "z": 0.25}
+
+
+def test_hot_site_is_reduced_before_the_shuffle(spark):
+    """The aggregate over snapshots is a hash aggregate with a map-side part."""
+    from pyspark.sql import functions as F
+
+    snaps = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("url"),
+        F.lit("A").alias("agent"),
+        (F.lit("2021-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 9000).cast("int"))).alias("ts"),
+        F.when(F.col("id") % 2 == 0, "all").otherwise("none").alias("status"),
+        "id",
+    )
+    reduced = temporal.last_per_period(snaps, ["url", "agent"], "status", "ts", "month", "id")
+    plan = reduced._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "SortAggregate" not in plan
+    best = {}
+    for r in snaps.collect():
+        key = (r.url, r.ts.year, r.ts.month)
+        best[key] = max(best.get(key, (r.ts, -1, "")), (r.ts, r.id, r.status))
+    assert {(r.url, r.period.year, r.period.month): r.status for r in reduced.collect()} == {k: v[2] for k, v in best.items()}
