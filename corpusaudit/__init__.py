@@ -1,4 +1,4 @@
-"""Provenance, license and crawl-consent analytics on Spark DataFrames."""
+"""License, dialog and crawl-consent analytics of machine-learning corpora on Spark DataFrames."""
 
 from corpusaudit.session import build_session
 

@@ -48,6 +48,19 @@ def ar_forecast(spark, sf_dir):
     return consent.text_period(forecast.renormalise(out, ["agent", "period"]))
 
 
+@query(
+    f"""WITH {SERIES}, l AS (SELECT agent, status, period, share AS y, lag(share) OVER (PARTITION BY agent, status ORDER BY period) AS x FROM series),
+    fit AS (SELECT agent, status, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, arg_max(y, period) AS f0, max(period) AS last FROM l GROUP BY ALL),
+    f AS (SELECT *, a + b * f0 AS f1, a + b * (a + b * f0) AS f2 FROM fit)
+    SELECT agent, status, (last + INTERVAL 1 DAY)::DATE::VARCHAR AS period, round(f1, 5) AS forecast FROM f
+    UNION ALL SELECT agent, status, (last + INTERVAL 2 DAY)::DATE::VARCHAR, round(f2, 5) FROM f"""
+)
+def ar1_forecast(spark, sf_dir):
+    """One lag and two steps, where least squares is a regression line."""
+    out = forecast.forecast(series(spark, sf_dir), ["agent", "status"], "share", 2, (1,), "day")
+    return consent.text_period(out.withColumn("forecast", F.round("forecast", 5)))
+
+
 @query(
     f"""WITH {SERIES}, f AS (SELECT agent, status, (period + INTERVAL 20 DAY)::DATE AS period, share * 2 - 30 AS forecast FROM series),
     c AS (SELECT agent, status, period, greatest(forecast, 0) AS x FROM f),
