@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import dates
 from corpusaudit.operators import temporal
+from corpusaudit.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48)
 

@@ -12,6 +12,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusaudit.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # Text written around the content of a tag, in order of precedence. A tag inside one
 # of the same or an earlier precedence keeps its bare content.

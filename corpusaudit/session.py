@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -73,3 +75,8 @@ def spread(table: DataFrame) -> DataFrame:
         return table
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def ship_with_tasks(module: str) -> None:
+    """Send a module's functions to the workers themselves, so that they need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

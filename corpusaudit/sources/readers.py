@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from corpusaudit import schemas
 from corpusaudit.functions import dates
 from corpusaudit.functions import text as tx
+from corpusaudit.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # Files of a catalog folder that describe the layout, not datasets.
 TEMPLATE_FILES = "_template"
