@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from corpusaudit.session import ensure_checkpoint_dir, shared_folder, ship_with_
 
 ship_with_tasks(__name__)
 
-#: Bytes that ``bytes.split()`` splits at: blank and \t \n \v \f \r.
+#: A-Z to a-z. (``bytes.split()`` splits at the blank and \t \n \v \f \r, the white space meant here.)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a blank.
 WORD_BYTES = bytes(
@@ -84,6 +85,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(tables: list[DataFrame]) -> None:
+    """Delete kept tables that nothing reads any more, and let Spark drop shuffle files of finished steps.
+
+    Spark removes shuffle files once the driver has collected the plans behind them, which an idle driver puts
+    off; without this the files of all steps would lie on the disks together.
+    """
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusaudit.checks.registry import Query, Runner, table
-from corpusaudit.llm import decontamination, exact_dedup, packing, simhash
+from corpusaudit.llm import chat, decontamination, exact_dedup, packing, quality_crf, simhash, substrings, unigram, warc
+from corpusaudit.llm.common import kept
+from corpusaudit.session import shared_folder
 
 QUERIES: dict[str, Query] = {}
 
@@ -14,6 +17,9 @@ QUERIES: dict[str, Query] = {}
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PLAIN_WORDS = r"regexp_extract_all(" + LOWERED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Fixed value: what the chat template escapes with one character more.
+ESCAPED = r"\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[OUT\]|\[/OUT\]|\[ROLE\]|\[/ROLE\]|<\|endoftext\|>"
+
 
 def query(sql: str | None = None):
     def register(fn: Runner) -> Runner:
@@ -27,6 +33,12 @@ def load_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under a unigram vocabulary of 32,000."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     f"""
     WITH item_words AS (SELECT item_id, {PLAIN_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -57,12 +69,56 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    r"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 49, 0) + 1)) AS i FROM words)
+    ),
+    later AS (SELECT w.doc_id, w.i FROM windows w JOIN (SELECT h, min(doc_id) AS source FROM windows GROUP BY h) m USING (h)
+              WHERE w.doc_id > m.source),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM later),
+    placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+    left_over AS (
+        SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.pos) AS t
+        FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY 1
+    ),
+    n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(l.t, '')) AS kept_sha256
+    FROM words d LEFT JOIN n USING (doc_id) LEFT JOIN left_over l USING (doc_id)
+    """
+)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word windows that an earlier document also holds."""
+    made = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    g AS (SELECT html, max(page_id) AS original, count(*) AS n FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY 1)
+    SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+           CASE WHEN p.page_id < g.original THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN p.page_id < g.original THEN g.original END AS refers_to
+    FROM p LEFT JOIN g USING (html)
+    """
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives without repeated payloads, and read back."""
+    path = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.with_referred_page(warc.read_archives(spark, path, payloads=False))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     """
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
@@ -76,6 +132,40 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by line labels of a conditional random field."""
+    return quality_crf.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    rf"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ),
+    sized AS (
+        SELECT *, regexp_replace(text, '({ESCAPED})', '\\\1', 'g') AS escaped, regexp_replace(role, '({ESCAPED})', '\\\1', 'g') AS name FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           (3 + sum(length(escaped) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 11 ELSE 17 + length(name) END))::BIGINT
+               AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """
+)
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as masked token sequences, read back from the sequences."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    turns = turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))
+    formatted = kept(chat.format_conversations(turns, tokenizer), "formatted")
+    return chat.conversation_digests(formatted, tokenizer)
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most two bits."""
