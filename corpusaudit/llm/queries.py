@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.checks.registry import Query, Runner, table
-from corpusaudit.llm import chat, decontamination, exact_dedup, packing, quality_crf, simhash, substrings, unigram, warc
+from corpusaudit.llm import chat, decontamination, exact_dedup, license_scan, packing, quality_crf, simhash, substrings, unigram, warc
 from corpusaudit.llm.common import kept
 from corpusaudit.session import shared_folder
 
@@ -95,6 +95,48 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _license_sql() -> str:
+    """Base phrases by word position; templates by the share of their words in a line, pair by pair."""
+    sets = ", ".join(
+        f"('{label}', {license_scan.template_words(notice)!r})" for label, notice in license_scan.TEMPLATES
+    )
+    phrases = ", ".join(f"({p.split(' ')!r}, '{label}')" for p, label in license_scan.PHRASES.items())
+    return f"""
+    WITH phrases(p, label) AS (VALUES {phrases}),
+    templates(label, t) AS (VALUES {sets}),
+    words AS (SELECT doc_id, {PLAIN_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    places AS (
+        SELECT d.doc_id, d.i - 1 AS pos, p.label
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) d
+        JOIN phrases p ON d.w[d.i] = p.p[1] AND list_slice(d.w, d.i, d.i + len(p.p) - 1) = p.p
+    ),
+    base AS (
+        SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+               string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+        FROM places GROUP BY 1
+    ),
+    lines AS (SELECT doc_id, list_distinct({PLAIN_WORDS.format('line')}) AS w
+              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+    near AS (
+        SELECT doc_id, label, len(list_intersect(w, t)) / len(t) AS c FROM lines, templates
+        WHERE len(list_intersect(w, t)) >= ceil(0.9 * len(t) - 1e-9)
+    ),
+    named AS (SELECT doc_id, label FROM near UNION SELECT doc_id, label FROM places),
+    all_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY 1),
+    best AS (SELECT doc_id, max(c) AS c FROM near GROUP BY 1)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+           last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+    FROM words d LEFT JOIN base USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN best USING (doc_id)
+    """
+
+
+@query(_license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusaudit.llm.common import checkpointed, col, components, field, kept, map_rows, spaced_words
+from corpusaudit.llm.common import checkpointed, col, components, field, kept, map_rows, packed, spaced_words
 from corpusaudit.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -248,6 +248,13 @@ def links(prints: DataFrame, budget: int = 2, limit: int = TRIE_LIMIT) -> DataFr
     return rows.mapInArrow(run, T.StructType([field("a", "bigint"), field("b", "bigint")]))
 
 
+def classes(prints: DataFrame, budget: int) -> DataFrame:
+    """Every distinct fingerprint ``fp`` with the ``root`` of its component."""
+    distinct = prints.select("fp").distinct()
+    roots = components(links(distinct, budget)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 2) -> DataFrame:
     """One row per document row: key, fingerprint (16 hex digits), component_id.
 
@@ -256,10 +263,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget
     fingerprint zero and are linked like any other. Repeated rows come back as often as they occur.
     """
     prints = kept(fingerprints(docs, key, text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(key).alias("_least"))
-    roots = components(links(least.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
-    rooted = least.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    classes = rooted.join(smallest, "_root").select("fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min(key).alias("_least")).join(classes(prints, budget), "fp")
+    smallest = least.groupBy("root").agg(F.min("_least").alias("component_id"))
+    of = least.join(smallest, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+    return prints.join(of, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 2) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``: of each component the row with the smallest key.
+
+    A row without a key stays only when no row of its component has one. Among rows with that key in
+    one component the text with the least hash stays, and one row of those that repeat it.
+    """
+    named = packed(docs).select("row", col("row").getField(key).alias("key"), F.xxhash64(col("row").getField(text)).alias("version"))
+    prints = fingerprints(named.select(F.struct("key", "version").alias("id"), col("row").getField(text).alias("text")), "id", "text")
+    prints = kept(prints.select("id.key", "id.version", "fp"), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "version")
+    least = prints.groupBy("fp").agg(F.min(order).alias("_least")).join(classes(prints, budget), "fp")
+    first = least.groupBy("root").agg(F.min("_least").alias("_least")).select("_least.key", "_least.version")
+    same = named["key"].eqNullSafe(first["key"]) & (named["version"] == first["version"])
+    stay = named.join(first, same, "left_semi").dropDuplicates(["key", "version"])
+    return stay.select("row.*")
