@@ -22,7 +22,7 @@ sites AS (SELECT DISTINCT user_id, 'site' || user_id AS url,
     TIMESTAMP '2023-12-30' + INTERVAL 1 DAY * (user_id % 20)::INT + INTERVAL 12 HOUR * (user_id % 2)::INT AS start_date
   FROM events),
 tokens AS (SELECT 'site' || user_id AS url, sum(floor(value * 100))::BIGINT AS tokens FROM events
-           WHERE user_id % 7 <> 3 GROUP BY 1)"""
+           GROUP BY 1)"""
 FILLED = f"""{SNAPSHOTS},
 days AS (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY))::DATE AS period),
 pairs AS (SELECT DISTINCT url, agent FROM snaps),
@@ -73,7 +73,6 @@ def sites(spark, sf_dir):
 def tokens(spark, sf_dir):
     return (
         table(spark, sf_dir, "events")
-        .filter(F.col("user_id") % 7 != 3)
         .groupBy(F.concat(F.lit("site"), "user_id").alias("url"))
         .agg(F.sum(F.floor(F.col("value") * 100)).alias("tokens"))
     )
@@ -91,7 +90,7 @@ def intervals(spark, sf_dir):
     )
 
 
-def counts(spark, sf_dir):
+def counts(spark, sf_dir, weights=None):
     return temporal.period_counts_from_changes(
         snapshots(spark, sf_dir),
         sites(spark, sf_dir),
@@ -99,7 +98,7 @@ def counts(spark, sf_dir):
         END,
         "day",
         tie="event_id",
-        tokens=tokens(spark, sf_dir),
+        tokens=tokens(spark, sf_dir) if weights is None else weights,
     )
 
 
@@ -149,6 +148,16 @@ def period_status_counts(spark, sf_dir):
     return text_period(counts(spark, sf_dir))
 
 
+@query(
+    f"""WITH {FILLED}, known AS (SELECT * FROM tokens WHERE tokens % 2 = 0)
+    SELECT period::VARCHAR AS period, agent, status, count(*) AS count, sum(coalesce(tokens, 0))::BIGINT AS tokens
+    FROM filled LEFT JOIN known USING (url) GROUP BY ALL"""
+)
+def unknown_site_tokens(spark, sf_dir):
+    """Sites without a token count are counted, with weight 0."""
+    return text_period(counts(spark, sf_dir, tokens(spark, sf_dir).filter("tokens % 2 = 0")))
+
+
 @query(
     f"""WITH {FILLED}, together AS (SELECT url, period, {UNRANK.format(f'max({RANK})')} AS status FROM filled GROUP BY ALL),
     everything AS (SELECT url, agent, period, status FROM filled
@@ -157,8 +166,7 @@ def period_status_counts(spark, sf_dir):
     FROM everything LEFT JOIN tokens USING (url) GROUP BY ALL"""
 )
 def combined_agent(spark, sf_dir):
-    both = temporal.with_combined_agent(filled(spark, sf_dir))
-    return text_period(temporal.period_counts(both, tokens(spark, sf_dir)))
+    return text_period(temporal.counts_with_combined_agent(intervals(spark, sf_dir), tokens(spark, sf_dir), END, "day"))
 
 
 @query(
@@ -190,7 +198,7 @@ def restricted_token_share(spark, sf_dir):
     FROM l WHERE prev = period - INTERVAL 1 DAY GROUP BY ALL"""
 )
 def status_transitions(spark, sf_dir):
-    return text_period(temporal.transitions(filled(spark, sf_dir), "day"))
+    return text_period(temporal.transitions_from_changes(intervals(spark, sf_dir), END, "day"))
 
 
 @query(
@@ -369,14 +377,15 @@ def snapshot_profile(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SNAPSHOTS}, starts AS (SELECT url, min(ts) AS s FROM snaps WHERE digest < 50 GROUP BY url)
+    f"""WITH {SNAPSHOTS}, starts AS (SELECT url, min(ts) AS s FROM snaps GROUP BY url)
     SELECT u.url, coalesce(s, TIMESTAMP '1970-01-01')::VARCHAR AS start_date
-    FROM (SELECT DISTINCT url FROM snaps) u LEFT JOIN starts USING (url)"""
+    FROM (SELECT DISTINCT url FROM snaps UNION ALL SELECT 'nowhere') u LEFT JOIN starts USING (url)"""
 )
 def site_start_dates(spark, sf_dir):
     snaps = snapshots(spark, sf_dir)
-    starts = temporal.start_dates(snaps.filter("digest < 50"))
-    return text_period(temporal.with_start_dates(snaps.select("url").distinct(), starts), "start_date")
+    urls = snaps.select("url").distinct().union(spark.createDataFrame([("nowhere",)], "url string"))
+    starts = temporal.start_dates(snaps)
+    return text_period(temporal.with_start_dates(urls, starts), "start_date")
 
 
 @query(
@@ -394,13 +403,13 @@ def merge_last_values(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SNAPSHOTS}, old AS (SELECT url, max(ts)::VARCHAR AS seen FROM snaps WHERE ts < TIMESTAMP '2024-01-20' GROUP BY url),
+    f"""WITH {SNAPSHOTS}, old AS (SELECT url, max(ts)::VARCHAR AS seen FROM snaps WHERE ts < TIMESTAMP '2024-01-29' GROUP BY url),
     new AS (SELECT url, max(ts)::VARCHAR AS seen FROM snaps WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY url)
     SELECT * FROM new UNION ALL SELECT * FROM old WHERE url NOT IN (SELECT url FROM new)"""
 )
 def upsert_latest(spark, sf_dir):
     snaps = snapshots(spark, sf_dir)
-    old = snaps.filter("ts < '2024-01-20'").groupBy("url").agg(F.max("ts").cast("string").alias("seen"))
+    old = snaps.filter("ts < '2024-01-29'").groupBy("url").agg(F.max("ts").cast("string").alias("seen"))
     new = snaps.filter("ts >= '2024-01-29'").groupBy("url").agg(F.max("ts").cast("string").alias("seen"))
     return temporal.upsert(old, new, ["url"])
 

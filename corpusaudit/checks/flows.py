@@ -12,7 +12,7 @@ from corpusaudit.functions import urls
 from corpusaudit.operators import domains, forecast, html
 from corpusaudit.plans import consent as consent_plan
 from corpusaudit.plans import domain_tokens as token_plan
-from corpusaudit.session import shared_folder, spread
+from corpusaudit.session import shared_folder
 from corpusaudit.sources import readers, writers
 from corpusaudit.streaming import jobs
 
@@ -85,7 +85,7 @@ def forecast_alignment(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    return html.extract_text(spread(table(spark, sf_dir, "pages")), "html", ["page_id", "url"])
+    return html.extract_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
 
 
 @query(
@@ -97,7 +97,7 @@ def html_text(spark, sf_dir):
 )
 def html_letters(spark, sf_dir):
     """All visible characters of the pages: nothing is lost or invented by the extraction."""
-    texts = html.extract_text(spread(table(spark, sf_dir, "pages")), "html", ["page_id"])
+    texts = html.extract_text(table(spark, sf_dir, "pages"), "html", ["page_id"])
     bare = F.regexp_replace(F.regexp_replace("text", "(?m)^# | #$", ""), r"\s+", "")
     return texts.select("page_id", bare.alias("letters"))
 
@@ -106,13 +106,16 @@ def html_letters(spark, sf_dir):
 
 
 def stream_of(spark, sf_dir, name):
-    schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.format("parquet")
-        .schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .load(sf_dir)
-    )
+    """The table's own path as a stream, one file per batch, whether it is a folder or a single file."""
+    source = table(spark, sf_dir, name)
+    files = [f.rsplit("/", 1)[-1] for f in source.inputFiles()]
+    folder = f"{sf_dir}/{name}.parquet"
+    if files == [f"{name}.parquet"]:
+        reader = spark.readStream.option("pathGlobFilter", files[0])
+        folder = sf_dir
+    else:
+        reader = spark.readStream
+    return reader.format("parquet").schema(source.schema).option("maxFilesPerTrigger", 1).load(folder)
 
 
 @query(f"WITH {web.COUNTS} SELECT * FROM counts")
@@ -154,50 +157,29 @@ def stream_dedup(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT 'site' || user_id AS url, ts::DATE AS day, (props::JSON->>'k')::INT AS digest FROM events)
-    SELECT url, day::VARCHAR AS day, count(DISTINCT digest) AS changes FROM d
-    WHERE day < (SELECT max(ts) - INTERVAL 1 DAY FROM events)::DATE GROUP BY ALL"""
+    SELECT url, day::VARCHAR AS day, count(DISTINCT digest) AS changes FROM d GROUP BY ALL"""
 )
 def stream_daily_changes(spark, sf_dir):
-    """Days the watermark has passed; the last days stay in the state."""
+    """Distinct contents per day over all batches, the last days included."""
     folder = shared_folder(spark, "changes")
-    counted = jobs.daily_changes(event_stream(spark, sf_dir), "ts", "digest", "1 day")
-    run = (
-        counted.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    run = jobs.daily_change_stream(event_stream(spark, sf_dir), "ts", "digest", f"{folder}/rows", f"{folder}/progress")
     run.awaitTermination()
-    out = spark.read.schema("url string, day date, changes bigint").parquet(f"{folder}/rows")
-    return consent.text_period(out, "day")
+    return consent.text_period(jobs.daily_change_totals(spark, f"{folder}/rows", "digest int"), "day")
 
 
 @query(
-    """SELECT url, length(html) AS size FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1
-    AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)"""
+    """SELECT DISTINCT url, length(url) AS size FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)"""
 )
 def stream_new_only(spark, sf_dir):
-    """URLs fetched earlier are skipped; results are appended to the same table."""
+    """URLs fetched earlier are skipped; the others are fetched once, in whichever batch they come first."""
     folder = shared_folder(spark, "fetch")
     state = f"{folder}/state"
-    schema = "url string, size int"
-    pages = table(spark, sf_dir, "pages")
-    pages.filter("page_id % 4 = 0").select("url", F.length("html").alias("size")).write.parquet(f"{state}/batch=-1")
-    # one page per URL keeps the answer independent of the order of arrival
-    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    incoming = stream_of(spark, sf_dir, "pages").join(first, ["url", "page_id"])
-    run = jobs.new_only_stream(
-        incoming,
-        state,
-        schema,
-        ["url"],
-        lambda df: df.select("url", F.length("html").alias("size")),
-        f"{folder}/progress",
-    )
+    size = F.length("url").alias("size")
+    table(spark, sf_dir, "pages").filter("page_id % 4 = 0").select("url", size).write.parquet(f"{state}/batch=-1")
+    incoming = stream_of(spark, sf_dir, "pages").select("url")
+    run = jobs.new_only_stream(incoming, state, "url string, size int", ["url"], lambda df: df.select("url", size), f"{folder}/progress")
     run.awaitTermination()
-    return spark.read.parquet(state).filter("batch >= 0").select("url", "size")
+    return jobs.known_table(spark, state, "url string, size int, batch int").filter("batch >= 0").select("url", "size")
 
 
 @query(
@@ -222,19 +204,13 @@ def stream_latest_status(spark, sf_dir):
     QUALIFY NOT p OR bool_and(p) OVER (PARTITION BY domain)"""
 )
 def stream_privacy_filter(spark, sf_dir):
-    from corpusaudit.operators import tos
-
+    """Pages of a domain may come in any batch."""
     folder = shared_folder(spark, "privacy")
-    pages = stream_of(spark, sf_dir, "pages").select("page_id", "url")
-
-    def work(batch):
-        rows = batch.withColumn("domain", urls.netloc(F.col("url")))
-        kept = tos.without_privacy_pages(rows, "domain", F.contains(F.lower("url"), F.lit("/de/")))
-        return kept.select("page_id")
-
-    run = jobs.per_batch(pages, work, f"{folder}/rows", f"{folder}/progress")
+    pages = stream_of(spark, sf_dir, "pages").select("page_id", urls.netloc(F.col("url")).alias("domain"), "url")
+    privacy = F.contains(F.lower("url"), F.lit("/de/"))
+    run = jobs.privacy_stream(pages, "domain", privacy, f"{folder}/rows", f"{folder}/progress")
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("page_id")
+    return jobs.without_privacy_pages(spark, f"{folder}/rows", "page_id bigint, domain string, url string", "domain").select("page_id")
 
 
 # --- sinks read back -----------------------------------------------------------------------------
@@ -250,28 +226,46 @@ def json_lines_roundtrip(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id::VARCHAR AS doc_id, text, '["' || lang || '","' || source || '"]' AS labels FROM documents
-    WHERE NOT contains(text, chr(13))"""
+    """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 <> 0 THEN text END AS text,
+       '["' || lang || '","' || source || '"]' AS labels FROM documents"""
 )
 def csv_roundtrip(spark, sf_dir):
-    """Texts with quotes and line breaks, and a list column written as JSON."""
+    """Texts with quotes and all kinds of line breaks, empty and NULL cells, and a list column written as JSON."""
     folder = shared_folder(spark, "csv")
-    rows = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\r"))).select(
-        "doc_id", "text", F.array("lang", "source").alias("labels")
-    )
+    text = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 13 != 0, F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.array("lang", "source").alias("labels"))
     writers.write_csv(rows, folder)
-    return readers.read_table(spark, folder, "doc_id string, text string, labels string")
+    schema = "doc_id string, text string, labels string"
+    return readers.read_table(spark, folder, schema, multi_line=True, null_cell=writers.NULL_CELL)
+
+
+@query(
+    """SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority FROM orders"""
+)
+def tab_dates(spark, sf_dir):
+    """Tab-separated files with dates of another spelling, split over tasks."""
+    folder = shared_folder(spark, "tabs")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("priority")
+    )
+    rows.write.option("header", True).option("sep", "\t").csv(folder)
+    out = readers.read_table(spark, folder, "o_orderkey bigint, day date, priority string", sep="\t", date_format="dd.MM.yyyy")
+    return consent.text_period(out, "day")
 
 
 @query(
-    f"""WITH {catalogs.CATALOG}, r AS (SELECT unnest(languages) AS item, num_dialogs // len(languages) AS d FROM cat),
-    t AS (SELECT item, count(*) AS datasets, sum(d)::BIGINT AS dialogs FROM r GROUP BY item),
-    p AS (SELECT item, datasets, round(100 * datasets / sum(datasets) OVER (), 2) AS a, dialogs, round(100 * dialogs / sum(dialogs) OVER (), 2) AS b FROM t)
-    SELECT printf('%s  %d (%.2f %%)  %d (%.2f %%)', item, datasets, a, dialogs, b) AS line FROM p"""
+    f"""WITH {catalogs.FEEDS}, k AS (SELECT uid, count(*) AS k FROM named WHERE source = 'annotated' GROUP BY uid),
+    r AS (SELECT 'Collections' AS title, collection AS item, num_dialogs AS d FROM cat
+      UNION ALL SELECT 'Languages', unnest(languages), num_dialogs // len(languages) FROM cat
+      UNION ALL SELECT 'Task Categories', unnest(task_categories), num_dialogs // len(task_categories) FROM cat
+      UNION ALL SELECT 'Licenses', license, num_dialogs // k FROM named JOIN k USING (uid) JOIN cat USING (uid) WHERE source = 'annotated'),
+    t AS (SELECT title, item, count(*) AS datasets, sum(d)::BIGINT AS dialogs FROM r GROUP BY title, item),
+    p AS (SELECT title, item, datasets, round(100 * datasets / sum(datasets) OVER (PARTITION BY title), 2) AS a, dialogs,
+      round(100 * dialogs / sum(dialogs) OVER (PARTITION BY title), 2) AS b FROM t)
+    SELECT title, printf('%s  %d (%.2f %%)  %d (%.2f %%)', item, datasets, a, dialogs, b) AS line FROM p"""
 )
 def composition_text(spark, sf_dir):
-    lines = writers.composition_lines(catalogs.catalog(spark, sf_dir))
-    return lines.filter("title = 'Languages'").select("line")
+    return writers.composition_lines(catalogs.catalog(spark, sf_dir)).select("title", "line")
 
 
 @query(
@@ -289,11 +283,11 @@ def bibliography(spark, sf_dir):
 
 
 @query(
-    f"""WITH {consent.SNAPSHOTS}, d AS (SELECT DISTINCT url, ts::DATE AS date, agent FROM snaps)
-    SELECT url, count(DISTINCT date) AS dates, count(*) AS entries FROM d GROUP BY url"""
+    f"""WITH {consent.SNAPSHOTS} SELECT url, 'all' AS split, ts::DATE::VARCHAR AS date, agent, arg_max(status, (ts, event_id)) AS status
+    FROM snaps GROUP BY url, ts::DATE, agent"""
 )
 def nested_statistics(spark, sf_dir):
-    """Per-URL nested maps written as JSON lines and read back."""
+    """Per-URL nested maps written as JSON lines and read back, entry by entry."""
     folder = shared_folder(spark, "stats")
     daily = (
         consent.snapshots(spark, sf_dir)
@@ -305,10 +299,8 @@ def nested_statistics(spark, sf_dir):
     back = readers.read_json_lines(
         spark, folder, "url string, split string, statuses map<string,map<string,string>>"
     )
-    sizes = F.aggregate(
-        F.map_values("statuses"), F.lit(0).cast("bigint"), lambda n, m: n + F.size(m).cast("bigint")
-    )
-    return back.select("url", F.size("statuses").cast("bigint").alias("dates"), sizes.alias("entries"))
+    by_date = back.select("url", "split", F.explode("statuses").alias("date", "agents"))
+    return by_date.select("url", "split", "date", F.explode("agents").alias("agent", "status"))
 
 
 @query(
@@ -345,28 +337,18 @@ def url_profiles(spark, sf_dir):
 
 
 @query(
-    """SELECT url, strftime(DATE '2024-01-01' + (page_id % 3)::INT, '%Y-%m-%d') AS date,
-       CASE WHEN page_id % 2 = 0 THEN 'new ' ELSE 'old ' END || page_id AS text
-    FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1"""
+    """WITH p AS (SELECT url, strftime(DATE '2024-01-01' + (page_id % 3)::INT, '%Y-%m-%d') AS date, page_id FROM pages)
+    SELECT url, date, coalesce('new ' || max(page_id) FILTER (page_id % 2 = 0), 'old ' || max(page_id)) AS text FROM p GROUP BY url, date"""
 )
 def dated_texts(spark, sf_dir):
-    """Two JSON documents {url: {date: text}}; the second replaces entries of the first."""
+    """Two sets of lines {url, date, text}; the second replaces entries of the first."""
     folder = shared_folder(spark, "dated")
-    pages = table(spark, sf_dir, "pages")
-    one = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 3).cast("int")).cast("string")
-    for name, rows in (("old", one), ("new", one.filter("page_id % 2 = 0"))):
-        by_date = F.create_map(date, F.concat(F.lit(f"{name} "), "page_id"))
-        text = F.to_json(F.create_map("url", by_date))
-        rows.select(text.alias("value")).write.text(f"{folder}/{name}")
-    out = None
-    for i, name in enumerate(("old", "new")):
-        lines = spark.read.text(f"{folder}/{name}").select(
-            F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("url", "by_date")
-        )
-        part = lines.select("url", F.explode("by_date").alias("date", "text"), F.lit(i).alias("_i"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("url", "date").agg(F.max_by("text", "_i").alias("text"))
+    pages = table(spark, sf_dir, "pages").select("url", date.alias("date"), "page_id")
+    for name, rows in (("old", pages), ("new", pages.filter("page_id % 2 = 0"))):
+        last = rows.groupBy("url", "date").agg(F.concat(F.lit(f"{name} "), F.max("page_id")).alias("text"))
+        writers.write_json_lines(last, f"{folder}/{name}")
+    return readers.read_dated_texts(spark, f"{folder}/old", f"{folder}/new")
 
 
 # --- whole jobs ----------------------------------------------------------------------------------

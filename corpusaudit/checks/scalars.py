@@ -282,7 +282,8 @@ def question_rows(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS rounds, lang AS first_question FROM documents WHERE doc_id % 5 <> 0"""
+    """SELECT doc_id, unnest(range(0, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 12 END)) AS round, lang AS question,
+      source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE (round)::VARCHAR END AS answer FROM documents WHERE doc_id % 5 <> 0"""
 )
 def json_rounds(spark, sf_dir):
     """Rounds stored as JSON texts; a numeric answer rejects the row."""
@@ -293,14 +294,11 @@ def json_rounds(spark, sf_dir):
     body = (
         F.when(F.col("doc_id") % 5 == 0, F.to_json(F.struct(turn(F.col("n_chars")).alias("round_0"))))
         .when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(turn(text).alias("round_0"))))
-        .otherwise(F.to_json(F.struct(turn(text).alias("round_0"), turn(text).alias("round_3"))))
+        .otherwise(F.to_json(F.struct(*[turn(F.concat(text, F.lit(str(i)))).alias(f"round_{i}") for i in reversed(range(12))])))
     )
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", body.alias("body"))
-    return dg.json_rounds(rows, "body").select(
-        "doc_id",
-        F.size("conversations").alias("rounds"),
-        F.get("conversations", F.lit(0))["question"].alias("first_question"),
-    )
+    turns = dg.json_rounds(rows, "body").select("doc_id", F.posexplode("conversations").alias("round", "_c"))
+    return turns.select("doc_id", F.col("round").cast("bigint").alias("round"), "_c.question", "_c.answer")
 
 
 @query(
@@ -349,14 +347,14 @@ def first_per_key(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'none' ELSE 'some' END AS s FROM documents)
-    SELECT lang, CASE max(CASE s WHEN 'all' THEN 3 WHEN 'some' THEN 2 ELSE 1 END) WHEN 3 THEN 'some_pattern_restrictions'
-      WHEN 2 THEN 'some_other' ELSE 'none' END AS status FROM r WHERE doc_id % 4 <> 3 GROUP BY lang"""
+    """WITH r AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'none' ELSE 'some' END AS s, doc_id % 6 AS g FROM documents)
+    SELECT lang, g, CASE max(CASE s WHEN 'all' THEN 3 WHEN 'some' THEN 2 ELSE 1 END) WHEN 3 THEN 'some_pattern_restrictions'
+      WHEN 2 THEN 'some_other' ELSE 'none' END AS status FROM r GROUP BY lang, g"""
 )
 def strictest_detailed(spark, sf_dir):
     kind = F.col("doc_id") % 4
     status = F.when(kind == 0, "some_pattern_restrictions").when(kind == 1, "none").otherwise("some_other")
-    rows = table(spark, sf_dir, "documents").filter(kind != 3).select("lang", status.alias("status"))
-    return rows.groupBy("lang").agg(
+    rows = table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 6).alias("g"), status.alias("status"))
+    return rows.groupBy("lang", "g").agg(
         robots.strictest(F.col("status"), dims.STRICTNESS_DETAILED).alias("status")
     )

@@ -273,7 +273,7 @@ def weighted_means(spark, sf_dir):
         WHERE coalesce(source, 'annotated') = 'annotated'),
     d AS (SELECT DISTINCT g, license FROM p WHERE license <> 'Custom'),
     n AS (SELECT g, count(*) AS k, string_agg(license, ', ' ORDER BY license) AS ls FROM d GROUP BY g)
-    SELECT g, CASE WHEN k IS NULL THEN 'Unspecified' WHEN k > 2 THEN 'Various' ELSE ls END AS licenses
+    SELECT g, coalesce(ls, '') AS licenses, CASE WHEN k IS NULL THEN 'Unspecified' WHEN k > 2 THEN 'Various' ELSE ls END AS label
     FROM (SELECT DISTINCT uid % 60 AS g FROM cat) LEFT JOIN n USING (g)"""
 )
 def license_list(spark, sf_dir):

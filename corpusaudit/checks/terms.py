@@ -11,7 +11,6 @@ from corpusaudit.functions import text as tx
 from corpusaudit.functions import urls
 from corpusaudit.operators import sites as st
 from corpusaudit.operators import tos
-from corpusaudit.session import spread
 
 # Three policies per snapshot; codes by remainder, some of them missing.
 VERDICTS = """
@@ -104,8 +103,10 @@ def tos_no_terms_pages(spark, sf_dir):
 )
 def tos_period_counts(spark, sf_dir):
     sites = consent.sites(spark, sf_dir)
-    filled = tos.fill_verdicts(all_verdicts(spark, sf_dir), sites, consent.START, consent.END, "day")
-    counts = tos.period_counts(filled, sites.filter("user_id % 3 = 0"), consent.tokens(spark, sf_dir))
+    members = sites.filter("user_id % 3 = 0")
+    counts = tos.period_counts_from_changes(
+        all_verdicts(spark, sf_dir), members, sites, consent.tokens(spark, sf_dir), consent.START, consent.END, "day"
+    )
     return consent.text_period(counts)
 
 
@@ -135,14 +136,13 @@ answers AS (
   SELECT source AS domain, 'https://' || source || '/' || (doc_id % 9) AS link,
     DATE '2024-01-01' + (doc_id % 30)::INT AS date,
     CASE WHEN doc_id % 17 = 0 THEN 'True' ELSE 'False' END AS flag, 1 + doc_id % 6 AS code,
-    lang || doc_id AS evidence FROM documents WHERE doc_id % 19 <> 5)"""
+    lang || doc_id AS evidence FROM documents)"""
 
 
 def answers(spark, sf_dir):
     d = F.col("doc_id")
     return (
         table(spark, sf_dir, "documents")
-        .filter("doc_id % 19 <> 5")
         .select(
             F.col("source").alias("domain"),
             F.concat(F.lit("https://"), "source", F.lit("/"), d % 9).alias("link"),
@@ -154,17 +154,12 @@ def answers(spark, sf_dir):
     )
 
 
-LINKS = """
-links AS (SELECT domain, link, row_number() OVER (PARTITION BY domain ORDER BY link) AS i
-          FROM (SELECT DISTINCT domain, link FROM answers)),
-wide AS (SELECT domain, max(link) FILTER (i = 1) AS link_1, max(link) FILTER (i = 2) AS link_2,
-  max(link) FILTER (i = 3) AS link_3, max(link) FILTER (i = 4) AS link_4, max(link) FILTER (i = 5) AS link_5
-  FROM links GROUP BY domain)"""
+LINKS = "links AS (SELECT DISTINCT domain, link FROM answers)"
 
 
 @query(
     f"""WITH {ANSWERS}, {LINKS}, v AS (SELECT domain, bool_or(flag = 'True') AS verdict FROM answers GROUP BY domain)
-    SELECT * FROM v JOIN wide USING (domain)"""
+    SELECT * FROM v JOIN links USING (domain)"""
 )
 def tos_rollup(spark, sf_dir):
     return tos.roll_up_flags(answers(spark, sf_dir).withColumnRenamed("flag", "verdict"))
@@ -173,7 +168,7 @@ def tos_rollup(spark, sf_dir):
 @query(
     f"""WITH {ANSWERS}, {LINKS}, v AS (SELECT domain,
       coalesce(string_agg(code::VARCHAR, ' | ' ORDER BY code) FILTER (code <= 4), '5') AS verdict FROM answers GROUP BY domain)
-    SELECT * FROM v JOIN wide USING (domain)"""
+    SELECT * FROM v JOIN links USING (domain)"""
 )
 def tos_code_rollup(spark, sf_dir):
     return tos.roll_up_codes(answers(spark, sf_dir).withColumnRenamed("code", "verdict"))
@@ -188,8 +183,8 @@ def tos_evidence(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ANSWERS} SELECT domain, link, count(DISTINCT date) AS dates FROM answers
-    WHERE flag IS NOT NULL AND evidence NOT LIKE 'fr%' GROUP BY ALL"""
+    f"""WITH {ANSWERS} SELECT domain, link, date::VARCHAR AS date, max(flag) AS verdict, max(evidence) AS evidence FROM answers
+    WHERE flag IS NOT NULL AND evidence NOT LIKE 'fr%' GROUP BY domain, link, date"""
 )
 def tos_nested_answers(spark, sf_dir):
     rows = (
@@ -200,8 +195,8 @@ def tos_nested_answers(spark, sf_dir):
     unique = tos.complete_answers(rows).groupBy("domain", "link", "date").agg(
         F.max("verdict").alias("verdict"), F.max("evidence").alias("evidence")
     )
-    return tos.nested_answers(unique).select(
-        "domain", "link", F.size("answers").cast("bigint").alias("dates")
+    return tos.nested_answers(unique).select("domain", "link", F.explode("answers").alias("date", "_a")).select(
+        "domain", "link", "date", "_a.verdict", "_a.evidence"
     )
 
 
@@ -229,7 +224,7 @@ def _keywords(topic: str) -> str:
     FROM documents"""
 )
 def keyword_relevance(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id",
         *[
@@ -400,10 +395,7 @@ def unmatched_annotations(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SERVICES}, x AS (SELECT DISTINCT services[1] AS domain, 'link' || (unnest([size % 4, size % 6 + 10])) AS link FROM s),
-    n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY link) AS i FROM x)
-    SELECT domain, max(link) FILTER (i = 1) AS link_1, max(link) FILTER (i = 2) AS link_2, max(link) FILTER (i = 3) AS link_3,
-      max(link) FILTER (i = 4) AS link_4, max(link) FILTER (i = 5) AS link_5 FROM n GROUP BY domain"""
+    f"""WITH {SERVICES} SELECT DISTINCT services[1] AS domain, 'link' || (unnest([size % 4, size % 6 + 10])) AS link FROM s"""
 )
 def consolidated_links(spark, sf_dir):
     rows = service_sites(spark, sf_dir).select(
@@ -411,7 +403,7 @@ def consolidated_links(spark, sf_dir):
         F.concat(F.lit("link"), F.col("size") % 4).alias("l1"),
         F.concat(F.lit("link"), F.col("size") % 6 + 10).alias("l2"),
     )
-    return st.wide_links(rows, "site", ["l1", "l2"])
+    return st.domain_links(rows, "site", ["l1", "l2"])
 
 
 @query(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusaudit.checks.registry import query, table
 from corpusaudit.functions import text, urls
 from corpusaudit.operators import domains
-from corpusaudit.session import spread
 
 # Host of a URL and number of words of a text, in DuckDB's dialect.
 HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -36,12 +35,12 @@ tokens AS (
 
 
 def page_domains(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages").select("url", "html"))
+    pages = table(spark, sf_dir, "pages").select("url", "html")
     return domains.domain_tokens(pages, F.col("html"), urls.netloc(F.col("url")))
 
 
 def corpus_tokens(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages").select("url", "html")).select(
+    pages = table(spark, sf_dir, "pages").select("url", "html").select(
         urls.netloc(F.col("url")).alias("host"),
         text.word_count(F.col("html")).alias("words"),
         F.length("html").cast("bigint").alias("chars"),
@@ -84,7 +83,7 @@ def topk_coverage(spark, sf_dir):
 def domain_tokens_mixed_layouts(spark, sf_dir):
     """Domain choice of a corpus whose records carry different metadata."""
     kind = F.col("doc_id") % 4
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     domain = urls.corpus_domain(
         F.when(kind == 0, F.concat("source", F.lit(".org"))),
         F.when(kind == 1, F.col("lang")),
@@ -200,7 +199,7 @@ def url_sanitize(spark, sf_dir):
 )
 def clean_text(spark, sf_dir):
     body = F.col("text")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id",
         text.word_count(body).alias("words"),
         text.collapse_whitespace(body).alias("clean"),

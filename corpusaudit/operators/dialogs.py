@@ -460,7 +460,7 @@ def story_pairs(records: DataFrame, dataset: str, mark: str = "\nStory: ") -> Da
     """Records of prompt lines and a marked story become two-message dialogs."""
     parts = F.split("text", mark)
     inputs = F.concat(F.get(parts, F.lit(0)), F.lit(mark))
-    targets = F.array_join(F.slice(parts, 2, 1_000_000), "\n")
+    targets = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "\n")
     return records.select(
         F.lit(dataset).alias("dataset"),
         "file",
@@ -672,20 +672,17 @@ def question_rows(articles: DataFrame, entries: str, questions: str, answers: st
     return exploded.select(*[c for c in articles.columns if c != entries], F.inline(pairs))
 
 
-def json_rounds(rows: DataFrame, column: str, max_rounds: int = 10) -> DataFrame:
-    """Conversations stored as JSON text: ``{round_0: {response: "{Q, A}"}, ...}``.
+def json_rounds(rows: DataFrame, column: str) -> DataFrame:
+    """Conversations stored as JSON text: ``{round_0: {response: "{Q, A}"}, ...}``, rounds in order of number.
 
     Adds ``conversations array<struct<question, answer>>``. A row where any question or answer is
     not a text is rejected, as is a row without rounds.
     """
-    rounds = F.from_json(column, "map<string,struct<response:string>>")
-    present = F.filter(
-        F.transform(
-            F.array(*[F.lit(f"round_{i}") for i in range(max_rounds)]),
-            lambda name: F.element_at(rounds, name)["response"],
-        ),
-        lambda response: response.isNotNull(),
-    )
+    rounds = F.map_entries(F.from_json(column, "map<string,struct<response:string>>"))
+    named = F.filter(rounds, lambda e: e["key"].rlike("^round_[0-9]+$") & e["value"]["response"].isNotNull())
+    number = lambda e: F.substring(e["key"], 7, 38).cast("decimal(38,0)")
+    numbered = F.array_sort(F.transform(named, lambda e: F.struct(number(e).alias("i"), e["value"]["response"].alias("r"))))
+    present = F.transform(numbered, lambda e: e["r"])
 
     def kind(response: Column, name: str) -> Column:
         part = F.try_variant_get(F.try_parse_json(response), f"$.{name}", "variant")
@@ -721,8 +718,3 @@ def recode(target: Column, source: Column, values: dict[str, str]) -> Column:
     return target if out is None else out.otherwise(target)
 
 
-def choose_paths(sample_path: str, full_path: str, ids: Sequence[str], threshold: int = 100) -> list[str]:
-    """Files to read: per-id folders of the full data for few ids, the prepared sample for many."""
-    if len(ids) > threshold:
-        return [sample_path]
-    return [f"{full_path}/{i}" for i in ids]

@@ -449,11 +449,3 @@ PRESETS: dict[str, Preset] = {
 def normalise_collection(name: str, raw: DataFrame) -> DataFrame:
     """(dataset, messages) of a collection's raw rows."""
     return dg.normalise(raw, PRESETS[name].spec)
-
-
-def select_rows(name: str, raw: DataFrame, ids: list[str] | None) -> DataFrame:
-    """Rows of the accepted ids; the predicate reaches the scan (or prunes ``_source`` folders)."""
-    column = PRESETS[name].column
-    if ids is None or column is None or column not in raw.columns:
-        return raw
-    return raw.filter(F.col(column).isin(list(ids)))

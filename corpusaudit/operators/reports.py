@@ -324,21 +324,19 @@ def weighted_means(catalog: DataFrame, group: str, weight: str, values: Sequence
 
 
 def license_list(pairs: DataFrame, group: str, drop: Sequence[str] = (), many: int = 3) -> DataFrame:
-    """(group, licenses): joined names, 'Various' for more than ``many``, 'Unspecified' for none.
+    """(group, licenses, label): all names joined; the label is 'Various' for more than ``many``, 'Unspecified' for none.
 
-    Names are de-duplicated before at most ``many + 1`` of them are collected.
+    Names are de-duplicated before they are collected; a list has at most as many as there are licenses.
     """
     named = pairs.select(group, F.when(~F.col("license").isin(list(drop)), F.col("license")).alias("license")).distinct()
-    numbered = windows.first_n_per_key(
-        named.filter("license IS NOT NULL"), [group], [F.asc("license")], many + 1
-    )
-    listed = numbered.groupBy(group).agg(F.sort_array(F.collect_list("license")).alias("_l"))
+    listed = named.filter("license IS NOT NULL").groupBy(group).agg(F.sort_array(F.collect_list("license")).alias("_l"))
     label = (
         F.when(F.col("_l").isNull(), "Unspecified")
         .when(F.size("_l") > many, "Various")
         .otherwise(F.array_join("_l", ", "))
     )
-    return pairs.select(group).distinct().join(listed, group, "left").select(group, label.alias("licenses"))
+    names = F.coalesce(F.array_join("_l", ", "), F.lit(""))
+    return pairs.select(group).distinct().join(listed, group, "left").select(group, names.alias("licenses"), label.alias("label"))
 
 
 def license_frequency(pairs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -432,15 +430,16 @@ def split_keys(df: DataFrame, column: str, out: str) -> DataFrame:
     )
 
 
-def top_ancestor(parents: DataFrame, max_rounds: int = 16) -> DataFrame:
+def top_ancestor(parents: DataFrame) -> DataFrame:
     """(member, top) for a table (member, parent): the last ancestor of every member.
 
     Each round replaces the parent by the parent's parent, so chains of length ``n`` take ``log2(n)``
-    rounds. A round is written to the checkpoint folder, which keeps the plan from doubling.
+    rounds. A round is written to the checkpoint folder, which keeps the plan from doubling. A chain cannot be
+    longer than the table, so pointers that still move after log2(rows) rounds run in a circle: an error.
     """
     ensure_checkpoint_dir(parents.sparkSession)
     current = parents.select("member", F.coalesce("parent", "member").alias("top")).checkpoint()
-    for _ in range(max_rounds):
+    for _ in range(current.count().bit_length() + 2):
         up = current.select(F.col("member").alias("top"), F.col("top").alias("_next"))
         moved = (
             current.join(up, "top", "left")
@@ -450,7 +449,7 @@ def top_ancestor(parents: DataFrame, max_rounds: int = 16) -> DataFrame:
         current = moved.select("member", F.col("_to").alias("top"))
         if moved.filter("_to <> top").isEmpty():
             return current
-    raise ValueError("a member is its own ancestor, or a chain is longer than 2**max_rounds")
+    raise ValueError("a member is its own ancestor")
 
 
 def override_values(even: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

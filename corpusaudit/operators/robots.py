@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
@@ -83,7 +84,7 @@ def rule_groups(body: Column, grouping: str = "leading") -> Column:
             lambda pieces: F.concat(
                 F.array(_group(agents_in(head), rules_in(F.split(F.get(pieces, F.lit(0)), "\n")))),
                 F.transform(
-                    F.slice(pieces, 2, 1_000_000_000),
+                    F.slice(pieces, F.lit(2), F.size(pieces)),
                     lambda p: tx.let(F.split(p, "\n"), lambda ls: _group(agents_in(ls), rules_in(ls))),
                 ),
             ),
@@ -106,7 +107,7 @@ def parse(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str =
         agent.alias("agent"),
         _directive(F.col("_line")).alias("directive"),
         _value(F.col("_line")).alias("value"),
-        (F.col("_g") * 1_000_000 + F.col("_r")).cast("bigint").alias("ord"),
+        F.struct(F.col("_g").alias("group"), F.col("_r").alias("line")).alias("ord"),
     )
 
 
@@ -302,17 +303,17 @@ def agent_statistics(judged: DataFrame) -> DataFrame:
             *[F.count_if(F.col("_star") == s).alias(f"star_{s}") for s in statuses],
         )
     )
-    # the row of * holds the totals over all files; it is read back as one value
-    totals = counts.filter("agent = '*'").select(
-        F.struct(*[F.col(f"own_{s}") for s in statuses])
-    ).scalar()
+    # the row of * holds the totals over all files; a window over the rows of agents hands it on, so files are parsed once
+    every = W.partitionBy(F.lit(0))
+    totals = F.max(F.when(F.col("agent") == "*", F.struct(*[F.col(f"own_{s}") for s in statuses]))).over(every)
+    counts = counts.withColumn("_totals", totals)
     whole = F.col("agent").isin("*", dims.ALL_AGENTS)
     return counts.select(
         "agent",
         "observed",
         *[
             F.when(whole, F.col(f"own_{s}"))
-            .otherwise(F.col(f"own_{s}") + totals[f"own_{s}"] - F.col(f"star_{s}"))
+            .otherwise(F.col(f"own_{s}") + F.col(f"_totals.own_{s}") - F.col(f"star_{s}"))
             .alias(s)
             for s in statuses
         ],
@@ -333,8 +334,9 @@ def statistics_percent(stats: DataFrame) -> DataFrame:
 
 def top_agents(stats: DataFrame, n: int, always: Sequence[str] = ()) -> DataFrame:
     """The ``n`` most observed agents together with some that are always listed."""
-    first = stats.orderBy(F.desc("observed"), "agent").limit(n)
-    return first.unionByName(stats.filter(F.col("agent").isin(list(always)))).dropDuplicates(["agent"])
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("observed"), "agent"))
+    ranked = stats.withColumn("_place", place)
+    return ranked.filter((F.col("_place") <= n) | F.col("agent").isin(list(always))).drop("_place")
 
 
 def first_spellings(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "leading") -> DataFrame:

@@ -168,14 +168,10 @@ def share_with(rows: DataFrame, group: str, values: str, wanted: str) -> DataFra
     )
 
 
-def wide_links(rows: DataFrame, domain: str, columns: Sequence[str], n: int = 5) -> DataFrame:
-    """Distinct links per domain from several columns and rows, at most ``n``, as columns."""
+def domain_links(rows: DataFrame, domain: str, columns: Sequence[str]) -> DataFrame:
+    """(domain, link): all distinct links of a domain from several columns and rows, one row each."""
     links = F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns]))
-    long = rows.select(F.col(domain).alias("domain"), F.explode(links).alias("link")).distinct()
-    numbered = windows.first_n_per_key(long, ["domain"], [F.asc("link")], n, rank="_i")
-    return numbered.groupBy("domain").agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("link"))).alias(f"link_{i}") for i in range(1, n + 1)]
-    )
+    return rows.select(F.col(domain).alias("domain"), F.explode(links).alias("link")).distinct()
 
 
 def annotated_urls(rows: DataFrame, site_type: str) -> DataFrame:

@@ -278,6 +278,52 @@ def with_combined_agent(
     return gathered.select("url", "period", F.inline(F.array_append("_own", combined)))
 
 
+def combined_intervals(intervals: DataFrame, order: Sequence[str] = tuple(dims.STRICTNESS)) -> DataFrame:
+    """(url, agent, from, until, status): the strictest status over a URL's agents, as intervals.
+
+    Statuses count +1 where an interval begins and -1 where it ends; between two changes of a URL the
+    strictest status with a positive count holds. A URL has at most one row per period.
+    """
+    change = lambda p, d: F.struct(p.alias("period"), F.lit(d).alias("_d"))
+    deltas = (
+        intervals.select("url", "status", F.inline(F.array(change(F.col("from"), 1), change(F.col("until"), -1))))
+        .groupBy("url", "period")
+        .agg(*[F.sum(F.when(F.col("status") == s, F.col("_d")).otherwise(0)).alias(f"_{i}") for i, s in enumerate(order)])
+    )
+    w = W.partitionBy("url").orderBy("period")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    held = [F.when(F.sum(f"_{i}").over(so_far) > 0, F.lit(s)) for i, s in enumerate(order)]
+    swept = deltas.select(
+        "url", F.lit(dims.COMBINED_AGENT).alias("agent"), F.col("period").alias("from"), F.lead("period").over(w).alias("until"), F.coalesce(*reversed(held)).alias("status")
+    )
+    return swept.filter("status IS NOT NULL AND until IS NOT NULL")
+
+
+def counts_with_combined_agent(intervals: DataFrame, tokens: DataFrame, end: str, unit: str = "month") -> DataFrame:
+    """Counts and tokens per (period, agent, status) over intervals, the combined agent included."""
+    both = intervals.select("url", "agent", "from", "until", "status").unionByName(combined_intervals(intervals))
+    weighted = both.join(tokens.select("url", "tokens"), "url", "left")
+    return interval_counts(weighted, ["agent", "status"], end, unit, "tokens")
+
+
+def transitions_from_changes(intervals: DataFrame, end: str, unit: str = "month") -> DataFrame:
+    """(period, agent, before, after, urls) from status intervals, without the filled table.
+
+    A change lies on the border of two intervals; inside an interval every period but its first repeats the status.
+    """
+    w = W.partitionBy("url", "agent").orderBy("from")
+    marked = intervals.withColumn("_before", F.lag("status").over(w)).withColumn("_end", F.lag("until").over(w))
+    borders = (
+        marked.filter(F.col("_end") == F.col("from"))
+        .groupBy(F.col("from").alias("period"), "agent", F.col("_before").alias("before"), F.col("status").alias("after"))
+        .agg(F.count("*").alias("urls"))
+    )
+    inside = intervals.withColumn("from", (F.col("from") + F.expr(f"interval 1 {unit}")).cast("date")).filter(F.col("from") < F.col("until"))
+    same = interval_counts(inside, ["agent", "status"], end, unit)
+    same = same.select("period", "agent", F.col("status").alias("before"), F.col("status").alias("after"), F.col("count").alias("urls"))
+    return borders.unionByName(same).groupBy("period", "agent", "before", "after").agg(F.sum("urls").alias("urls"))
+
+
 def period_counts_from_changes(
     snapshots: DataFrame,
     sites: DataFrame,

@@ -119,6 +119,27 @@ def fill_verdicts(verdicts: DataFrame, sites: DataFrame, start: str, end: str, u
     )
 
 
+def period_counts_from_changes(
+    verdicts: DataFrame, members: DataFrame, sites: DataFrame, tokens: DataFrame, start: str, end: str, unit: str = "month"
+) -> DataFrame:
+    """(period, status, count, tokens) of the URLs in a set: the set is applied first, and nothing is filled."""
+    chosen = members.select("url").distinct()
+    intervals = temporal.status_intervals(
+        verdicts.join(chosen, "url", "left_semi"),
+        sites,
+        start,
+        end,
+        unit,
+        keys=("url",),
+        ts="date",
+        status="verdict",
+        default=dims.NO_TERMS,
+        labels=VERDICT_LABELS,
+    )
+    weighted = intervals.join(tokens.select("url", "tokens"), "url", "left")
+    return temporal.interval_counts(weighted, ["status"], end, unit, "tokens")
+
+
 def period_counts(filled: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
     """(period, status, count, tokens) of the URLs in a set."""
     return (
@@ -149,26 +170,19 @@ def complete_answers(answers: DataFrame) -> DataFrame:
     return answers.dropna(subset=["domain", "link", "date", "verdict", "evidence"])
 
 
-def first_links(answers: DataFrame, n: int = 5) -> DataFrame:
-    """(domain, link_1 .. link_n): the first links of a domain in order.
-
-    Links are de-duplicated as rows and limited map-side, so nothing large is collected.
-    """
-    distinct = answers.select("domain", "link").filter("link IS NOT NULL").distinct()
-    numbered = windows.first_n_per_key(distinct, ["domain"], [F.asc("link")], n, rank="_i")
-    return numbered.groupBy("domain").agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("link"))).alias(f"link_{i}") for i in range(1, n + 1)]
-    )
+def domain_links(answers: DataFrame) -> DataFrame:
+    """(domain, link): all distinct links of a domain, one row each."""
+    return answers.select("domain", "link").filter("link IS NOT NULL").distinct()
 
 
 def roll_up_flags(answers: DataFrame) -> DataFrame:
-    """(domain, links, verdict): true when any page of the domain is."""
+    """(domain, link, verdict): true when any page of the domain is; one row per link."""
     verdicts = answers.groupBy("domain").agg(F.bool_or(F.col("verdict") == "True").alias("verdict"))
-    return verdicts.join(first_links(answers), "domain")
+    return domain_links(answers).join(verdicts, "domain")
 
 
 def roll_up_codes(answers: DataFrame, codes: Sequence[int] = (1, 2, 3, 4), otherwise: int = 5) -> DataFrame:
-    """(domain, links, verdict): all codes 1-4 joined by `` | `` in ascending order, else '5'.
+    """(domain, link, verdict), one row per link: all codes 1-4 joined by `` | `` in ascending order, else '5'.
 
     Codes are counted, and the text is written out from the counts.
     """
@@ -179,7 +193,7 @@ def roll_up_codes(answers: DataFrame, codes: Sequence[int] = (1, 2, 3, 4), other
         F.array(*[F.array_repeat(F.lit(str(c)), F.col(f"_{c}").cast("int")) for c in codes])
     )
     joined = F.when(F.size(listed) > 0, F.array_join(listed, " | ")).otherwise(str(otherwise))
-    return counted.select("domain", joined.alias("verdict")).join(first_links(answers), "domain")
+    return domain_links(answers).join(counted.select("domain", joined.alias("verdict")), "domain")
 
 
 def evidence(answers: DataFrame, restrictive: Column) -> DataFrame:

@@ -39,7 +39,9 @@ def prepare_collection(
     ids = dg.filter_id_map(selected.filter(F.col("collection") == name))
     preset = presets.PRESETS[name]
     rows = raw
-    if preset.column and preset.column in raw.columns:
+    if preset.column:
+        if preset.column not in raw.columns:
+            raise ValueError(f"{name}: the rows have no column {preset.column!r} to select by")
         accepted = ids.select(F.col("filter_id").alias(preset.column)).distinct()
         rows = raw.join(accepted, preset.column, "left_semi")
     dialogs, unknown = dg.root_to_uid(presets.normalise_collection(name, rows), ids)

@@ -119,9 +119,16 @@ def read_table(
     schema: T.StructType | str | None = None,
     sep: str = ",",
     date_format: str | None = None,
+    multi_line: bool = False,
+    null_cell: str = "",
 ) -> DataFrame:
-    """CSV or tab-separated files with a header; quoted fields may span lines."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+    """CSV or tab-separated files with a header.
+
+    Files are split over tasks; with ``multi_line`` quoted fields may span lines and a file is one task.
+    ``null_cell`` is how NULL is spelled; any other cell, an empty one too, is kept as it is.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
+    reader = reader.option("nullValue", null_cell).option("emptyValue", "")
     if date_format:
         reader = reader.option("dateFormat", date_format)
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -197,9 +204,14 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_url_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(url, text) from a JSON object ``{url: text}``, plain or gzip."""
-    return spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "map<string,string>")).alias("url", "text")
+    """(url, text) from JSON lines, plain or gzip: ``{"url": .., "text": ..}`` or an object ``{url: text}`` per line.
+
+    A map of the whole corpus belongs into one line per entry, so that files can be split.
+    """
+    entry = F.from_json("value", "url string, text string")
+    entries = F.when(entry["url"].isNotNull() & entry["text"].isNotNull(), F.create_map(entry["url"], entry["text"]))
+    return spark.read.text(path).select(
+        F.explode(F.coalesce(entries, F.from_json("value", "map<string,string>"))).alias("url", "text")
     )
 
 
@@ -212,12 +224,18 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dated_texts(spark: SparkSession, *paths: str) -> DataFrame:
-    """(url, date, text) from JSON objects ``{url: {date: text}}``; later paths replace earlier ones."""
+    """(url, date, text) from JSON lines; later paths replace earlier ones.
+
+    A line is one entry ``{"url": .., "date": .., "text": ..}`` or an object ``{url: {date: text}}``.
+    """
     out = None
     for i, path in enumerate(paths):
+        entry = F.from_json("value", "url string, date string, text string")
+        single = F.create_map(entry["url"], F.create_map(entry["date"], entry["text"]))
+        entries = F.when(entry["date"].isNotNull() & entry["url"].isNotNull(), single)
         part = (
-            spark.read.text(path, wholetext=True)
-            .select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("url", "by_date"))
+            spark.read.text(path)
+            .select(F.explode(F.coalesce(entries, F.from_json("value", "map<string,map<string,string>>"))).alias("url", "by_date"))
             .select("url", F.explode("by_date").alias("date", "text"), F.lit(i).alias("_source"))
         )
         out = part if out is None else out.unionByName(part)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusaudit.operators import catalog as ct
 
 
+#: How csv files spell NULL; an empty cell is an empty text.
+NULL_CELL = r"\N"
+
+
 def write_json_lines(df: DataFrame, path: str, compress: bool = True, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -28,7 +32,9 @@ def write_csv(df: DataFrame, path: str) -> None:
         F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
         for c, t in df.dtypes
     ]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "emptyValue", '""'
+    ).option("nullValue", NULL_CELL).csv(path)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:

@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from corpusaudit.functions import dates
 from corpusaudit.operators import domains
@@ -46,7 +45,7 @@ def domain_token_stream(
 
 def domain_token_totals(spark: SparkSession, out: str) -> DataFrame:
     """Current totals: the sum over the increments."""
-    return spark.read.parquet(out).groupBy("domain").agg(
+    return known_table(spark, out, "domain string, tokens bigint, pages bigint, batch int").groupBy("domain").agg(
         F.sum("tokens").alias("tokens"), F.sum("pages").alias("pages")
     )
 
@@ -73,12 +72,34 @@ def daily_changes(snapshots: DataFrame, ts: str, digest: str, delay: str = "1 da
     )
 
 
+def daily_change_stream(
+    snapshots: DataFrame, ts: str, digest: str, out: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """Distinct (URL, day, content) of every batch; :func:`daily_change_totals` counts over all batches.
+
+    Nothing waits for a watermark, so late snapshots count and the last days are there at any time.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("url", F.to_date(ts).alias("day"), digest).distinct()
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(snapshots, step, checkpoint, once)
+
+
+def daily_change_totals(spark: SparkSession, out: str, digest: str) -> DataFrame:
+    """(url, day, changes) so far; ``digest`` is the content column with its type."""
+    rows = known_table(spark, out, f"url string, day date, {digest}, batch int").drop("batch").distinct()
+    return rows.groupBy("url", "day").agg(F.count("*").alias("changes"))
+
+
 def known_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A parquet table that may not exist yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """A parquet table whose folder may not exist or hold no file yet. Any other fault is an error."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(files):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def new_only_stream(
@@ -121,17 +142,28 @@ def latest_status_stream(
 
 
 def latest_status_table(spark: SparkSession, out: str, ts: str = "ts") -> DataFrame:
-    return spark.read.parquet(out).groupBy("url", "agent").agg(
+    return known_table(spark, out, f"url string, agent string, status string, {ts} timestamp, batch int").groupBy("url", "agent").agg(
         F.max_by("status", ts).alias("status"), F.max(ts).alias(ts)
     )
 
 
-def per_batch(
-    stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True
+def privacy_stream(
+    pages: DataFrame, group: str, privacy: Column, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Run a batch job on each arriving set of complete groups (e.g. all pages of a domain)."""
+    """Keep what decides about privacy pages, whatever batch a group's pages come in.
+
+    Per batch: all pages with a flag (``out``), written as they come. :func:`without_privacy_pages` resolves on reading.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.withColumn("_privacy", privacy).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(pages, step, checkpoint, once)
+
 
-    return _start(stream, step, checkpoint, once)
+def without_privacy_pages(spark: SparkSession, out: str, schema: str, group: str) -> DataFrame:
+    """Pages so far, without the privacy pages of groups that have other pages."""
+    pages = known_table(spark, out, f"{schema}, _privacy boolean, batch int").drop("batch")
+    others = pages.filter("NOT _privacy").select(group).distinct()
+    private = pages.filter("_privacy").join(others, group, "left_anti")
+    return pages.filter("NOT _privacy").unionByName(private).drop("_privacy")

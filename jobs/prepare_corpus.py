@@ -22,7 +22,9 @@ def main(summaries, raw, out, preset="default", form="messages", limit="0"):
     writers.write_bibliography(selected, f"{out}/bibliography")
     # the list of collection names is bounded by the presets
     names = [r.collection for r in selected.select("collection").distinct().collect()]
-    for name in sorted(set(names) & set(PRESETS)):
+    if unprepared := sorted(set(names) - set(PRESETS)):
+        raise ValueError(f"no preset for the selected collections {unprepared}")
+    for name in sorted(names):
         rows = spark.read.parquet(f"{raw}/{name}")
         dialogs, unknown = corpus_prep.prepare_collection(name, rows, selected, int(limit) or None)
         corpus_prep.write_corpus(dialogs, f"{out}/corpus/{name}", form)

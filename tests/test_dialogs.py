@@ -1,5 +1,7 @@
 """Normalisers: one synthetic row per layout family, and pairs from trees."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +218,9 @@ def test_sample_is_stable(spark):
     assert take(2) == take(7) and len(take(2)) == 15
 
 
-def test_path_choice():
-    assert dg.choose_paths("s", "f", ["a", "b"], 2) == ["f/a", "f/b"]
-    assert dg.choose_paths("s", "f", ["a", "b", "c"], 2) == ["s"]
+def test_json_rounds_are_all_kept_in_order(spark):
+    turn = lambda i: {"response": json.dumps({"Q": f"q{i}", "A": f"a{i}"})}
+    body = json.dumps({f"round_{i}": turn(i) for i in (11, 2, 0, 10, 1, 3, 4, 5, 6, 7, 8, 9)} | {"other": {"response": "x"}})
+    rows = spark.createDataFrame([(1, body), (2, json.dumps({"round_12": turn(12)})), (3, "{}")], "id int, body string")
+    got = {r["id"]: [c["question"] for c in r["conversations"]] for r in dg.json_rounds(rows, "body").collect()}
+    assert got == {1: [f"q{i}" for i in range(12)], 2: ["q12"]}
