@@ -22,9 +22,11 @@ ship_with_tasks(__name__)
 TEMPLATE_FILES = "_template"
 
 
-def read_summaries(spark: SparkSession, folder: str, schema: T.StructType = schemas.TEXT_SUMMARY) -> DataFrame:
+def read_summaries(
+    spark: SparkSession, folder: str, schema: T.StructType = schemas.TEXT_SUMMARY, pattern: str = "*.json"
+) -> DataFrame:
     """One row per dataset from files that hold ``{uid: record}``; template files are skipped."""
-    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(
+    files = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), "value"
     )
     # the key of the repository date occurs in two spellings; column names ignore case
@@ -71,9 +73,9 @@ def catalog_columns(summaries: DataFrame) -> DataFrame:
     )
 
 
-def read_dictionaries(spark: SparkSession, folder: str) -> DataFrame:
+def read_dictionaries(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(dictionary, group, member) from files that hold ``{group: [members]}``."""
-    files = spark.read.text(f"{folder}/*.json", wholetext=True)
+    files = spark.read.text(f"{folder}/{pattern}", wholetext=True)
     groups = F.from_json("value", "map<string,array<string>>")
     return files.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("dictionary"),
@@ -178,12 +180,17 @@ def read_zipped_json(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return texts.select("member", F.from_json("json", schema).alias("_r")).select("member", "_r.*")
 
 
+def decoded(content: Column, charset: str) -> Column:
+    """Text of bytes in a given character set."""
+    return F.decode(content, charset)
+
+
 def read_encoded(spark: SparkSession, glob: str, charset: str = "ISO-8859-1") -> DataFrame:
     """(path, text) of files in a given character set."""
     return (
         spark.read.format("binaryFile")
         .load(glob)
-        .select("path", F.decode("content", charset).alias("text"))
+        .select("path", decoded(F.col("content"), charset).alias("text"))
     )
 
 
