@@ -6,9 +6,10 @@ window) form a path, and a document is the chain of its paths, about one per twe
 depends on the window's words alone, so a window that repeats has its anchor wherever it stands.
 
 * Anchors found in one document only are dropped: none of their windows repeats.
-* An anchor whose paths are all the same is a nonbranching path: all its windows have the same sources.
-  It stays one row, joined with the least document id, however long it is.
-* An anchor with different paths branches. Only those paths are resolved into single windows.
+* Equal paths are compacted: the document with the least id stands for all of them, and in the others the whole path
+  repeats, however long it is.
+* Where an anchor has different paths, the graph branches. There the standing-in documents' paths, one for each
+  different path, are resolved into single windows. Windows of a nonbranching path never are.
 
 Paths and windows are compared by BLAKE2 digests of their words at their source coordinates (document, first word), next
 to the anchor; the rolling anchor hash alone decides nothing.
@@ -62,8 +63,9 @@ def window_anchors(words: list[bytes], window: int, anchor: int) -> np.ndarray:
     """Anchor hash of every window, by a rolling hash mod 2**64 and a sliding minimum."""
     n = len(words)
     x = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    powers = np.cumprod(np.concatenate([[1], np.full(n - 1, _BASE, np.uint64)]).astype(np.uint64))
-    inverse = np.cumprod(np.concatenate([[1], np.full(n - 1, _BACK, np.uint64)]).astype(np.uint64))
+    powers, inverse = (np.full(n, base, np.uint64) for base in (_BASE, _BACK))
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * inverse, dtype=np.uint64)])
     h = (sums[anchor:] - sums[:-anchor]) * powers[: n - anchor + 1]
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -106,15 +108,16 @@ def repeats(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     shape = T.StructType([field(n, "bigint") for n in ("doc", "version", "anchor", "path", "pos", "n")])
     chain = kept(docs.select("doc", "version", "text").mapInArrow(find, shape), "paths")
-    known = chain.groupBy("anchor").agg(
-        F.min("doc").alias("source"), F.max("doc").alias("_last"), F.min("path").alias("_p"), F.max("path").alias("_q")
-    )
-    known = known.filter("source < _last").select("anchor", "source", (F.col("_p") == F.col("_q")).alias("plain"))
-    shared = chain.join(known, "anchor").filter("NOT plain OR doc > source")
-    shared = kept(shared.select("doc", "version", "anchor", "pos", "n", "plain"), "shared")
+    # every distinct path with its least and greatest document, and how its anchor branches
+    known = chain.groupBy("anchor", "path").agg(F.min("doc").alias("source"), F.max("doc").alias("_last"))
+    forks = known.groupBy("anchor").agg(F.count("*").alias("_paths"), F.min("source").alias("_first"), F.max("_last").alias("_last"))
+    forks = forks.filter("_first < _last").select("anchor", (F.col("_paths") > 1).alias("forks"))
+    known = known.select("anchor", "path", "source").join(forks, "anchor")
+    shared = chain.join(known, ["anchor", "path"]).withColumn("whole", F.col("doc") > F.col("source")).filter("whole OR forks")
+    shared = kept(shared.select("doc", "version", "anchor", "pos", "n", "whole"), "shared")
     discard([chain])
 
-    branching = shared.filter("NOT plain").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("spans"))
+    branching = shared.filter("NOT whole").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("spans"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "version", "anchor", "edge", "pos"]
@@ -140,7 +143,7 @@ def repeats(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     edges = kept(edges, "edges")
     first = edges.groupBy("anchor", "edge").agg(F.min("doc").alias("source"), F.max("doc").alias("_last")).filter("source < _last")
     later = edges.join(first.drop("_last"), ["anchor", "edge"]).filter("doc > source")
-    spans = shared.filter("plain").select("doc", "version", "pos", "n")
+    spans = shared.filter("whole").select("doc", "version", "pos", "n")
     spans = spans.union(later.select("doc", "version", "pos", F.lit(1).cast("bigint").alias("n")))
     found = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     found = kept(found, "repeats")
