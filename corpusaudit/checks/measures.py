@@ -80,19 +80,43 @@ def cumulative_distinct(spark, sf_dir):
     return iq.cumulative_distinct(rows, "modality", "o_custkey", "year")
 
 
-@query()
+def _drawn(rows: str, key: str, seed: int, replicates: int) -> str:
+    """SQL of the resampled rows: each row of ``rows`` with its weight w per replicate."""
+    steps = ", ".join(repr(s) for s in iq.poisson_steps())
+    return f"""reps AS (SELECT unnest(range(1, {replicates} + 1)) AS replicate),
+    drawn AS (SELECT * FROM (SELECT r.*, replicate, len(list_filter([{steps}], lambda s:
+        ('0x' || substr(md5('{seed}|' || replicate || '|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE > s)) AS w
+        FROM {rows} r CROSS JOIN reps) WHERE w > 0)"""
+
+
+def _interval(group: str, value: str) -> str:
+    """SQL of the mean and percentile interval of the weighted coefficient per group over the replicates."""
+    return f"""tallies AS (SELECT {group}, replicate, {value}::DOUBLE AS x, sum(w) AS c FROM drawn GROUP BY ALL),
+    placed AS (SELECT *, sum(c) OVER v - c AS p, sum(c) OVER (PARTITION BY {group}, replicate) AS n,
+        least(min(x) OVER (PARTITION BY {group}, replicate), 0) AS low FROM tallies WINDOW v AS (PARTITION BY {group}, replicate ORDER BY x)),
+    ginis AS (SELECT {group}, replicate, sum(c * (2 * p + c - n) * (x - low + 1e-7)) / (max(n) * sum(c * (x - low + 1e-7))) AS g
+        FROM placed GROUP BY ALL)
+    SELECT {group}, round(avg(g), 6) AS gini_mean, round(greatest(0, quantile_cont(g, 0.025)), 6) AS gini_lower,
+        round(least(1, quantile_cont(g, 0.975)), 6) AS gini_upper, count(*) AS replicates FROM ginis GROUP BY ALL"""
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c.startswith("gini_")})
+
+
+@query(f"WITH {_drawn('customer', 'c_custkey', 11, 50)}, {_interval('c_mktsegment', 'c_acctbal')}")
 def bootstrap_gini(spark, sf_dir):
     """Interval of the Gini coefficient of balances per market segment."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return iq.bootstrap_gini(
-        rows, "c_acctbal", F.col("c_custkey"), ["c_mktsegment"], replicates=50, seed=11
+    return _rounded(
+        iq.bootstrap_gini(rows, "c_acctbal", F.col("c_custkey"), ["c_mktsegment"], replicates=50, seed=11)
     )
 
 
-@query()
+@query(f"WITH {YEARLY}, {_drawn('cum', "category || '|' || year", 11, 50)}, {_interval('year', 'c')}")
 def bootstrap_gini_by_year(spark, sf_dir):
-    return iq.bootstrap_gini_by_year(
-        yearly(spark, sf_dir), "category", "year", "amount", replicates=50, seed=11
+    return _rounded(
+        iq.bootstrap_gini_by_year(yearly(spark, sf_dir), "category", "year", "amount", replicates=50, seed=11)
     )
 
 
@@ -198,6 +222,12 @@ def ml_population_estimate(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""WITH {SITES}, {_drawn('long', 'doc_id', 5, 100)},
+    rates AS (SELECT replicate, variable, sum(value * w) / sum(w) AS rate FROM drawn GROUP BY ALL)
+    SELECT variable, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS sd,
+        round(quantile_cont(rate, 0.025), 6) AS lower, round(quantile_cont(rate, 0.975), 6) AS upper FROM rates GROUP BY variable"""
+)
 def bootstrap_rates(spark, sf_dir):
-    return pop.bootstrap_rates(sites(spark, sf_dir), INDICATORS, "doc_id", 100, seed=5)
+    made = pop.bootstrap_rates(sites(spark, sf_dir), INDICATORS, "doc_id", 100, seed=5)
+    return made.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "lower", "upper")})

@@ -43,21 +43,22 @@ def gini(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
 
 
 def _weight(key: Column, replicate: Column, seed: int, copies: Sequence[float]) -> Column:
-    """How often a row is drawn in a replicate: a Poisson(1) count from a digest of row and replicate."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), replicate, key), 11)
-    draw = bits / F.lit(float(2**53))
-    return sum(
-        ((draw > F.lit(c)).cast("int") for c in copies[1:]), (draw > F.lit(copies[0])).cast("int")
-    )
+    """How often a row is drawn in a replicate: a Poisson(1) count from a digest of row and replicate.
+
+    The first 13 digits of an MD5 digest are a number below 2**52, which any engine can compute alike.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(seed), replicate, key.cast("string")))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return tx.let(draw, lambda d: sum(((d > F.lit(c)).cast("int") for c in copies[1:]), (d > F.lit(copies[0])).cast("int")))
 
 
-def poisson_steps(limit: int = 12) -> list[float]:
-    """P(count <= k) of a Poisson(1) count for k = 0 .. limit."""
+def poisson_steps() -> list[float]:
+    """P(count <= k) of a Poisson(1) count for all k that a draw can exceed."""
     term, total, steps = math.exp(-1.0), 0.0, []
-    for k in range(limit + 1):
+    while not steps or total < 1 - 2.0**-52:
         total += term
         steps.append(total)
-        term /= k + 1
+        term /= len(steps)
     return steps
 
 

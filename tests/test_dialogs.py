@@ -224,3 +224,20 @@ def test_json_rounds_are_all_kept_in_order(spark):
     rows = spark.createDataFrame([(1, body), (2, json.dumps({"round_12": turn(12)})), (3, "{}")], "id int, body string")
     got = {r["id"]: [c["question"] for c in r["conversations"]] for r in dg.json_rounds(rows, "body").collect()}
     assert got == {1: [f"q{i}" for i in range(12)], 2: ["q12"]}
+
+
+def test_layouts_pass_the_message_rules(spark):
+    """Messages of all layouts on the shared tables: roles, parents and order as the rules want them."""
+    from corpusaudit.checks import load_queries
+
+    known = load_queries()
+    names = [n for n in known if n.startswith("layout_") and n != "layout_templated_pair"]
+    assert len(names) == 12
+    for name in names:
+        rows = known[name].run(spark, "/root/testdata/sf0.001").withColumns(
+            {"parent_idx": F.expr("nullif(parent_idx, -1)").cast("int"), "score": F.expr("nullif(score, -1.0)").cast("double")}
+        )
+        message = F.struct(F.col("idx").cast("int").alias("idx"), "from", "text", "parent_idx", "score")
+        folded = rows.groupBy("dataset").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+        found = quality.nested_message_violations(folded, "dataset").filter("rule NOT IN ('empty text', 'role')")
+        assert found.count() == 0, (name, found.limit(3).collect())
