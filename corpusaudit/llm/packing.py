@@ -110,16 +110,17 @@ def token_pieces(
     return made.select("row", F.posexplode("pieces").alias("piece", "_p")).select("row", "piece", "_p.*")
 
 
-def assign(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, per_task: int = 25_000) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int = 2048, open_bins: int = 16_384, per_task: int = 25_000) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (any table with a ``length`` of at most ``capacity``).
 
-    Every task packs about ``per_task`` pieces; the last sequences of a task stay partly empty, which is
-    a few in ten thousand. Pieces are dealt round robin, so no key can overload a task.
+    Every task packs about ``per_task`` pieces, fed longest first: short pieces then meet all the gaps, and a task
+    wastes about one sequence, or one in ten thousand (in random order it is one in a hundred). Pieces are dealt round
+    robin, so no key can overload a task.
     """
     tasks = max(1, -(-pieces.count() // per_task))
     at = pieces.columns.index("length")
     mixed = F.xxhash64(*[col(n) for n, k in pieces.dtypes if not k.startswith(("array", "map"))])
-    dealt = pieces.repartition(tasks).sortWithinPartitions(mixed, "length")
+    dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), mixed)
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,7 +56,7 @@ def check_packing(rows, texts, tokenizer, capacity=2048):
             at += r["length"]
         assert at <= capacity
     least = -(-sum(r["length"] for r in rows) // capacity)
-    assert len(by_seq) <= least * 1.03 + 2
+    assert len(by_seq) <= least * 1.005 + 1
 
 
 def test_packing(spark, texts):
