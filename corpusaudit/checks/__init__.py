@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusaudit.checks.registry import QUERIES, Query
 
-SUBJECTS = ["web", "conversations", "layouts", "intake", "catalogs", "crawlers", "consent", "terms", "measures", "tables", "flows", "scalars"]
+SUBJECTS = ["web", "conversations", "layouts", "intake", "leftovers", "catalogs", "crawlers", "consent", "terms", "measures", "tables", "flows", "scalars"]
 
 
 def load_queries() -> dict[str, Query]:

@@ -21,10 +21,27 @@ from corpusaudit.operators import licenses as lic
 from corpusaudit.operators import quality
 
 
-def members_of(dictionary: DataFrame, groups: Sequence[str]) -> Column:
-    """Members of the chosen groups of a (member, group) dictionary, as one array value."""
-    chosen = dictionary.filter(F.col("group").isin(list(groups)))
-    return chosen.agg(F.collect_set("member").alias("members")).scalar()
+def members_of(dictionary: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Members of the chosen groups of a (member, group) dictionary."""
+    return dictionary.filter(F.col("group").isin(list(groups))).select("member").distinct()
+
+
+def listed_values(catalog: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """(keep, column, value) of several list or text columns in one pass over the catalog."""
+    kinds = dict(catalog.dtypes)
+    lists = [
+        F.struct(F.lit(c).alias("column"), (F.col(c) if kinds[c].startswith("array") else F.array(c)).alias("_values"))
+        for c in columns
+    ]
+    rows = catalog.select(*keep, F.inline(F.array(*lists)))
+    return rows.select(*keep, "column", F.explode("_values").alias("value")).filter("value IS NOT NULL")
+
+
+def long_dictionary(dictionaries: dict[str, DataFrame]) -> DataFrame:
+    """(column, value) of all dictionaries."""
+    return quality.union_all(
+        d.select(F.lit(c).alias("column"), F.col("member").alias("value")) for c, d in dictionaries.items()
+    ).distinct()
 
 
 @dataclass(frozen=True)
@@ -69,9 +86,8 @@ class CatalogFilter:
         sources = list(self.license_sources)
         return lic.without_model_terms(sources) if self.ignore_model_terms else sources
 
-    def predicate(self, dictionaries: dict[str, DataFrame] | None = None) -> Column:
-        """One conjunction. ``dictionaries`` maps languages / tasks / domains to (member, group)."""
-        known = dictionaries or {}
+    def predicate(self) -> Column:
+        """One conjunction of all that can be told from a row alone."""
         sources = self.effective_sources()
         tests = [F.lit(True)]
         if self.collection:
@@ -86,13 +102,6 @@ class CatalogFilter:
             tests.append(lic.flag_at_most("attribution", self.max_attribution, sources))
         if self.max_share_alike is not None:
             tests.append(lic.flag_at_most("share_alike", self.max_share_alike, sources))
-        for name, column, groups in (
-            ("languages", "languages", self.languages),
-            ("tasks", "task_categories", self.tasks),
-            ("domains", "text_sources", self.domains),
-        ):
-            if groups:
-                tests.append(F.arrays_overlap(column, members_of(known[name], groups)))
         if self.no_synthetic:
             tests.append(F.coalesce(F.size("model_generated"), F.lit(0)) <= 0)
         if self.allowed_sources:
@@ -115,10 +124,24 @@ class CatalogFilter:
         dictionaries: dict[str, DataFrame] | None = None,
         allowed_uids: DataFrame | None = None,
     ) -> DataFrame:
-        """Selected rows. ``allowed_uids`` is an allow list of any size with column ``uid``."""
+        """Selected rows.
+
+        ``dictionaries`` maps languages / tasks / domains to (member, group) tables and ``allowed_uids`` is an allow
+        list with column ``uid``; both may have any size. Groups select by uid: a dataset stays when one of its values
+        is a member of a chosen group.
+        """
         checked = self.validated()
         rows = lic.with_repo_fallback(criteria) if checked.repo_fallback else criteria
-        kept = rows.filter(checked.predicate(dictionaries))
+        kept = rows.filter(checked.predicate())
+        for name, column, groups in (
+            ("languages", "languages", self.languages),
+            ("tasks", "task_categories", self.tasks),
+            ("domains", "text_sources", self.domains),
+        ):
+            if groups:
+                values = kept.select("uid", F.explode(column).alias("member"))
+                inside = values.join(members_of(dictionaries[name], groups), "member", "left_semi")
+                kept = kept.join(inside.select("uid").distinct(), "uid", "left_semi")
         return kept if allowed_uids is None else kept.join(allowed_uids.select("uid"), "uid", "left_semi")
 
     def but(self, **changes) -> CatalogFilter:
@@ -146,10 +169,9 @@ def creation_date() -> Column:
 
 def unknown_members(catalog: DataFrame, dictionaries: dict[str, DataFrame]) -> DataFrame:
     """(rule, uid, detail) of list values the dictionaries do not know; keys are column names."""
-    return quality.union_all(
-        quality.allowed_values(catalog, "uid", column, known)
-        for column, known in dictionaries.items()
-    )
+    values = listed_values(catalog, list(dictionaries), "uid").distinct()
+    unknown = values.join(long_dictionary(dictionaries), ["column", "value"], "left_anti")
+    return unknown.select(F.concat(F.lit("unknown "), "column").alias("rule"), "uid", F.col("value").cast("string").alias("detail"))
 
 
 def composition(catalog: DataFrame, column: str, item: str | None = None) -> DataFrame:
@@ -222,20 +244,11 @@ def coverage_gaps(catalog: DataFrame, dictionaries: dict[str, DataFrame]) -> Dat
     Collections are de-duplicated before they are listed, so the list is as long as the number of
     collections, not of datasets.
     """
-    def gaps(column: str, known: DataFrame) -> DataFrame:
-        kind = dict(catalog.dtypes)[column]
-        value = F.explode(column) if kind.startswith("array") else F.col(column)
-        return (
-            catalog.select(value.alias("value"), "collection")
-            .filter("value IS NOT NULL")
-            .distinct()
-            .join(known.select(F.col("member").alias("value")).distinct(), "value", "left_anti")
-            .groupBy("value")
-            .agg(F.array_join(F.sort_array(F.collect_set("collection")), ", ").alias("collections"))
-            .select(F.lit(column).alias("category"), "value", "collections")
-        )
-
-    return quality.union_all(gaps(c, d) for c, d in dictionaries.items())
+    values = listed_values(catalog, list(dictionaries), "collection").distinct()
+    missing = values.join(long_dictionary(dictionaries), ["column", "value"], "left_anti")
+    return missing.groupBy(F.col("column").alias("category"), "value").agg(
+        F.array_join(F.sort_array(F.collect_set("collection")), ", ").alias("collections")
+    )
 
 
 def merge_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
