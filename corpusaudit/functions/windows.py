@@ -79,6 +79,25 @@ def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     )
 
 
+def previous_row_ranged(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
+    """:func:`previous_row` for keys of any size: cut by range partitions of (keys, order).
+
+    The last row of each partition is handed to the next; there are as many of them as partitions.
+    """
+    ranged = _ranged(df, keys, [F.col(o) for o in order])
+    packed = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(src).alias(f"c{i}") for i, src in enumerate(cols.values())])
+    lasts = ranged.groupBy("_part").agg(F.max_by(packed, "_pos").alias("_last"))
+    carried = lasts.select("_part", F.lag("_last").over(W.partitionBy(F.lit(0)).orderBy("_part")).alias("_carry"))
+    inside = W.partitionBy("_part").orderBy("_pos")
+    out = ranged.withColumn("_prev", F.lag(packed).over(inside)).join(carried, "_part", "left")
+    out = out.withColumn("_prev", F.coalesce("_prev", "_carry"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_prev.k{i}"))
+    out = out.withColumns({name: F.when(same, F.col(f"_prev.c{i}")) for i, name in enumerate(cols)})
+    return out.drop("_part", "_pos", "_prev", "_carry")
+
+
 def global_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """``row_number`` per key without gathering a key in one task.
 

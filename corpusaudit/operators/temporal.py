@@ -511,9 +511,9 @@ def mean_over_corpora(estimates: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def drop_adjacent_duplicates(snapshots: DataFrame, ts: str, digest: str, tie: str | None = None) -> DataFrame:
-    """Snapshots whose digest differs from the one before at the same URL; a day is a block."""
+    """Snapshots whose digest differs from the one before at the same URL; range partitions cut URLs of any size."""
     order = [ts, tie] if tie else [ts]
-    seen = windows.previous_row(snapshots, ["url"], order, F.to_date(F.col(ts)), {"_before": digest})
+    seen = windows.previous_row_ranged(snapshots, ["url"], order, {"_before": digest})
     return seen.filter(~F.col(digest).eqNullSafe(F.col("_before"))).drop("_before")
 
 

@@ -57,3 +57,14 @@ def test_shares_add_up(skewed):
     sums = skewed.groupBy("k", "v").agg(F.count("*").alias("n"))
     shares = windows.share_of_total(sums, "n", ["k"], "s").groupBy("k").agg(F.sum("s").alias("s"))
     assert all(abs(r.s - 1) < 1e-9 for r in shares.collect())
+
+
+def test_previous_row_of_a_hot_key(spark):
+    rows = [("hot", i, i * 7 % 5) for i in range(500)] + [("a", 1, 3), ("b", 2, None), ("b", 3, 4)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(7)
+    got = {(r.k, r.o): r.before for r in windows.previous_row_ranged(df, ["k"], ["o"], {"before": "v"}).collect()}
+    want, last = {}, {}
+    for k, o, v in sorted(rows, key=lambda r: r[:2]):
+        want[k, o] = last.get(k)
+        last[k] = v
+    assert got == want
