@@ -467,7 +467,7 @@ def override_values(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT s_suppkey AS country, s_suppkey * 37 AS lo, s_suppkey * 37 + 20 AS hi FROM supplier)
+    """WITH r AS (SELECT s_suppkey AS country, s_suppkey * 37 AS lo, s_suppkey * 37 + CASE WHEN s_suppkey % 9 = 0 THEN 5000000 ELSE 20 END AS hi FROM supplier)
     SELECT p_partkey, (p_retailprice * 2)::BIGINT AS ip, coalesce(country, -1) AS country
     FROM part LEFT JOIN r ON (p_retailprice * 2)::BIGINT BETWEEN lo AND hi"""
 )
@@ -478,9 +478,9 @@ def ip_range_join(spark, sf_dir):
     ranges = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("country"),
         (F.col("s_suppkey") * 37).alias("lo"),
-        (F.col("s_suppkey") * 37 + 20).alias("hi"),
+        (F.col("s_suppkey") * 37 + F.when(F.col("s_suppkey") % 9 == 0, 5_000_000).otherwise(20)).alias("hi"),
     )
-    out = rp.range_lookup(points, ranges, "ip", "lo", "hi", 64)
+    out = rp.range_lookup(points, ranges, "ip", "lo", "hi")
     return out.select("p_partkey", "ip", F.coalesce("country", F.lit(-1)).alias("country"))
 
 

@@ -458,19 +458,23 @@ def override_values(even: DataFrame, overrides: DataFrame, keys: Sequence[str],
     return even.join(side, list(keys), "left").withColumn(value, F.coalesce("_v", value)).drop("_v")
 
 
-def range_lookup(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Join each point to the range that contains it, by buckets of ``width``.
+def range_lookup(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
+    """Join each point to the ranges that contain it (whole numbers), by buckets of a width that suits the range.
 
-    Distinct points are matched once, so a frequent point costs one row; each range is repeated per
-    bucket it touches. Points outside all ranges keep NULLs.
+    The class of a range is the number of bits of its width, its buckets are 2**class wide, so it touches two at most
+    however wide it is. Distinct points are tried once per class that occurs (at most 64). Points outside all
+    ranges keep NULLs.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    cells = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    distinct = points.select(point).distinct().withColumn("_bucket", bucket(point))
-    hits = distinct.join(
+    bits = F.length(F.bin(F.col(high).cast("bigint") - F.col(low).cast("bigint")))
+    bucket = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), _k)")
+    cells = ranges.filter(F.col(low) <= F.col(high)).withColumn("_k", bits)
+    classes = cells.agg(F.collect_set("_k").alias("k")).scalar()
+    cells = cells.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(low), bucket(high)))))
+    tried = points.select(point).distinct().withColumn("_k", F.explode(classes)).withColumn("_bucket", bucket(point))
+    hits = tried.join(
         cells,
-        (distinct["_bucket"] == cells["_bucket"]) & F.col(point).between(F.col(low), F.col(high)),
-    ).drop("_bucket")
+        (tried["_k"] == cells["_k"]) & (tried["_bucket"] == cells["_bucket"]) & F.col(point).between(F.col(low), F.col(high)),
+    ).drop("_bucket", "_k")
     return points.join(hits, point, "left")
 
 
