@@ -142,12 +142,14 @@ def repeats(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     edges = docs.join(branching, ["doc", "version"]).select("doc", "version", "text", "spans").mapInArrow(single, shape)
     edges = kept(edges, "edges")
     first = edges.groupBy("anchor", "edge").agg(F.min("doc").alias("source"), F.max("doc").alias("_last")).filter("source < _last")
-    later = edges.join(first.drop("_last"), ["anchor", "edge"]).filter("doc > source")
+    # written, so that the join deals out both sides itself and may split a window that many documents hold
+    first = kept(first.drop("_last"), "sources")
+    later = edges.join(first, ["anchor", "edge"]).filter("doc > source")
     spans = shared.filter("whole").select("doc", "version", "pos", "n")
     spans = spans.union(later.select("doc", "version", "pos", F.lit(1).cast("bigint").alias("n")))
     found = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     found = kept(found, "repeats")
-    discard([shared, edges])
+    discard([shared, edges, first])
     return found
 
 
