@@ -488,3 +488,27 @@ def test_near_group_cases(spark, docs, no_docs):
 def test_map_rows_keeps_clashing_columns(spark, docs):
     made = common.map_rows(docs, ["text"], lambda: lambda t: [__import__("pyarrow").array([len(x or "") for x in t])], [common.field("n", "bigint")])
     assert made.select("row.*").columns == docs.columns and made.filter(F.col("n") > 0).count() == 8
+
+
+# -- pipeline ------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, hits string, piece int"
+    rows = [(1, "a b"), (2, None), (3, ""), (4, "a b"), (5, LONG), (5, LONG), (5, "other"), (None, "a b"), (None, None), (8, " \n\t ")]
+    want = {"exact_dedup": [3, 4, 5, 5, 8], "near_dedup": [1, 2, 5, 5], "decontamination": [1, 2, 3, 4, 5, 5, 5, 8, None, None]}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = frame(spark, rows, schema)
+        made = stage(spark, docs, "/root/testdata/sf0.001")
+        got = made.collect()
+        if name != "packing":
+            assert made.columns == docs.columns, name
+            assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}, name
+        if name in want:
+            assert sorted((r["doc_id"] for r in got), key=repr) == sorted(want[name], key=repr), name
+        if name == "packing":
+            assert sum(r["piece"] == 0 for r in got) == len(rows)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").collect() == [], name
