@@ -63,6 +63,19 @@ def turn_ids(role: str, text: str, encode, first_id: int) -> tuple[array, int, i
     return ids, start, end
 
 
+def lists(parts: list[np.ndarray], lengths: list[int] | np.ndarray) -> pa.ListArray:
+    """A list column from the values of all rows one after the other."""
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), np.asarray(lengths, np.int64)])).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def rows_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column without nulls, as views."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def encoded_turns(turns: DataFrame, tokenizer: str, first_id: int = FIRST_ID) -> DataFrame:
     """Rows conv_id, turn, role, text and ids, text_start, text_end of each turn. Null roles and texts are empty."""
     rows = turns.select(
@@ -74,8 +87,8 @@ def encoded_turns(turns: DataFrame, tokenizer: str, first_id: int = FIRST_ID) ->
 
         def work(roles, texts):
             made = [turn_ids(r, t, encode, first_id) for r, t in zip(roles, texts)]
-            ids = pa.array([m[0].tolist() for m in made], pa.list_(pa.int32()))
-            return [ids, pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32())]
+            ids = [np.frombuffer(m[0], np.int32) for m in made]
+            return [lists(ids, [len(i) for i in ids]), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32())]
 
         return work
 
@@ -97,35 +110,44 @@ def format_conversations(turns: DataFrame, tokenizer: str, first_id: int = FIRST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, position, offset = object(), 0, 0
+        begin = np.array([mark_id("<s>", first_id)], np.int32)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for conv, role, ids, a, b in zip(*[c.to_pylist() for c in batch.columns]):
-                if conv != now:
+            convs, roles, starts, ends = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            parts, lengths, positions, offsets, up, down, at = [], [], [], [], [], [], 0
+            for conv, role, ids, a, b in zip(convs, roles, rows_of(batch.column(2)), starts, ends):
+                first = conv != now
+                if first:
                     now, position, offset = conv, 0, 0
-                    ids, a, b = [mark_id("<s>", first_id), *ids], a + 1, b + 1
-                edges = np.zeros(len(ids) + 1, np.int8)
+                    parts.append(begin)
+                parts.append(ids)
                 if role == "assistant":
-                    edges[a] += 1
-                    edges[b] -= 1
-                for column, value in zip(out, (position, offset, ids, np.cumsum(edges[:-1], dtype=np.int8).tolist())):
-                    column.append(value)
-                position, offset = position + 1, offset + len(ids)
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+                    up.append(at + a + first)
+                    down.append(at + b + first)
+                lengths.append(len(ids) + first)
+                positions.append(position)
+                offsets.append(offset)
+                position, offset, at = position + 1, offset + lengths[-1], at + lengths[-1]
+            edges = np.zeros(at + 1, np.int8)
+            np.add.at(edges, up, 1)
+            np.subtract.at(edges, down, 1)
+            mask = np.cumsum(edges[:-1], dtype=np.int8)
+            places = [pa.array(positions, pa.int64()), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *places, lists(parts, lengths), lists([mask], lengths)], names=names)
 
     kinds = ["bigint", "bigint", "array<int>", "array<tinyint>"]
     shape = T.StructType([made.schema["conv_id"], *[field(n, k) for n, k in zip(names[1:], kinds)]])
     return made.mapInArrow(run, shape)
 
 
-def read_turn(ids: list[int], decode, first_id: int) -> tuple[str, str, int]:
+def read_turn(ids: np.ndarray, decode, first_id: int) -> tuple[str, str, int]:
     """Role, text and printed length of one row of ``format_conversations``."""
-    marks = [(i, MARKS[t - first_id]) for i, t in enumerate(ids) if t >= first_id]
-    plain = [decode(ids[i + 1 : j]).decode() for (i, _), (j, _) in zip(marks, marks[1:])]
-    printed = sum(len(m) for _, m in marks) + sum(map(len, plain))
-    if marks[0][1] == "<s>":
+    at = np.flatnonzero(ids >= first_id).tolist()
+    marks = [MARKS[ids[i] - first_id] for i in at]
+    plain = [decode(ids[i + 1 : j].tolist()).decode() for i, j in zip(at, at[1:])]
+    printed = sum(map(len, marks)) + sum(map(len, plain))
+    if marks[0] == "<s>":
         marks, plain = marks[1:], plain[1:]
-    opening = marks[0][1]
+    opening = marks[0]
     role = next((r for r, (o, _) in ROLES.items() if o == opening), None)
     return (unescape(plain[0]) if role is None else role), unescape(plain[-1]), printed
 
@@ -159,13 +181,13 @@ def conversation_digests(formatted: DataFrame, tokenizer: str, first_id: int = F
         kind = None
         for batch in batches:
             kind = batch.schema[0].type
-            for conv, ids, mask in zip(*[c.to_pylist() for c in batch.columns]):
+            for conv, ids, mask in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), rows_of(batch.column(2))):
                 if state is None or state[0] != conv:
                     if state is not None:
                         close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text, printed = read_turn(ids, decode, first_id)
-                learned = unescape(decode([t for t, m in zip(ids, mask) if m and t < first_id]).decode())
+                learned = unescape(decode(ids[(mask == 1) & (ids < first_id)].tolist()).decode())
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(learned)
