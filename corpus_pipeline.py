@@ -2,7 +2,12 @@
 
 quality filter -> exact dedup -> near dedup -> decontamination -> packing. Each stage takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again for the next one. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever they are called.
+
+Odd rows: a null text counts as empty in every stage and stays null in the rows that are kept; empty texts are scored,
+deduplicated and packed like others. A null id is smaller than any other in exact dedup and larger in near dedup, so it
+stays only when its group has no other. Repeated rows (same id and text) are one group in both dedup stages
+and separate rows in the others. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
