@@ -149,7 +149,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def tries(prints: DataFrame, budget: int, limit: int) -> DataFrame:
     """Rows (trie, bit, side, errors, turn, value) of distinct fingerprints ``fp``, no trie much over ``limit``.
 
-    ``value`` is the fingerprint rotated left by ``turn``; bits before ``bit`` are shared within a side. Side 0: all pairs
+    ``limit`` must be at least 64. ``value`` is the fingerprint rotated left by ``turn``; bits before ``bit`` are shared within a side. Side 0: all pairs
     within; sides 1 and 2: pairs across, ``errors`` bits being different already.
     """
     rows = []
@@ -169,6 +169,7 @@ def tries(prints: DataFrame, budget: int, limit: int) -> DataFrame:
         done = marked.filter("_large IS NULL").drop("_large")
         small = done if small is None else small.union(done)
         own = F.expr(f"shiftrightunsigned(value, 64 - bit - {STEP}) & {(1 << STEP) - 1}").cast("int")
+        # a side that shares 59 bits or more has at most 32 fingerprints and is never too large
         large = marked.filter(f"_large AND bit + {STEP} <= 64").withColumn("_own", own).withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
         large = large.withColumn("_other", F.col("_own").bitwiseXOR(F.col("_mask"))).withColumn("_errors", F.col("errors") + F.bit_count("_mask"))
         large = large.filter(F.col("_errors") <= budget)

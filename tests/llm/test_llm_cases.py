@@ -435,13 +435,13 @@ def near_fingerprints(seed, n):
     return sorted(set(values))
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
+@pytest.mark.parametrize("limit", [10**6, 64])
 def test_links_connect_what_is_near(spark, limit):
     values = near_fingerprints(7, 150)
     # a dense group that shares all but its last bits
     values = sorted(set(values) | {values[0] ^ m for m in range(64)})
     prints = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    roots = {r["fp"] % 2**64: r["root"] for r in simhash.classes(prints, 2).collect()} if limit > 20 else None
+    roots = {r["fp"] % 2**64: r["root"] for r in simhash.classes(prints, 2).collect()} if limit > 64 else None
     links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(prints, 2, limit).collect()]
     assert all((a ^ b).bit_count() <= 64 for a, b in links)
 
