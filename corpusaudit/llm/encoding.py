@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from functools import cache
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -16,6 +18,11 @@ ship_with_tasks(__name__)
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space in a row from which on a text is left to the library: the pattern's look-ahead keeps one state for each
+#: of these characters and panics at a million.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
+
 
 def byte_of_letter() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies, reversed."""
@@ -28,22 +35,33 @@ def load(path: str, special: bool) -> Callable[[str], list[int]]:
     """Text to ids. ``special``: do the file's added tokens in a text count as tokens?
 
     A plain byte-level BPE file is run by the merge ranks it implies, which gives the same ids several
-    times faster (tested over all code points); any other file is run by the tokenizers library.
+    times faster (tested over all code points); any other file, and any text with a very long run of white
+    space, is run whole by the tokenizers library.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+    @cache
+    def library() -> Tokenizer:
+        made = Tokenizer.from_file(path)
+        made.encode_special_tokens = not special
+        return made
+
+    def encode_by_library(text: str) -> list[int]:
+        return library().encode(text, add_special_tokens=False).ids
+
     model = {k: v for k, v in spec["model"].items() if v}
     if spec["normalizer"] or spec["pre_tokenizer"] != byte_level or set(model) != {"type", "vocab", "merges"}:
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = not special
-        return lambda text: library.encode(text, add_special_tokens=False).ids
+        return encode_by_library
     letters = byte_of_letter()
     ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
     fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            return encode_by_library(text)
         if special and any(t in text for t in added):
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)

@@ -287,6 +287,21 @@ def test_ids_are_those_of_the_library():
     assert encoding.load(other, True)("Some Words") == Tokenizer.from_file(other).encode("Some Words", add_special_tokens=False).ids
 
 
+def test_long_white_space_keeps_its_ids(spark):
+    library = Tokenizer.from_file(BPE)
+    texts = [f"a{c * 1_000_001}{end}" for c, end in ((" ", "b"), ("\n", ""), ("\t", "<|endoftext|>"), ("\u00a0", "b"), (" \n", "b"))]
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        for text in texts:
+            assert encoding.load(BPE, special)(text) == library.encode(text, add_special_tokens=False).ids
+    packed = packing.pack(frame(spark, [(1, texts[0]), (2, "a b")]), BPE).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == len(library.encode(texts[0]).ids) + 1
+    assert {r["doc_id"] for r in packed} == {1, 2}
+    turns = spark.createDataFrame([(1, 0, "user", texts[0]), (1, 1, "assistant", texts[1])], "conv_id long, turn int, role string, text string")
+    said = chat.conversation_digests(chat.format_conversations(turns, BPE), BPE).collect()
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in said] == [(2, len(texts[1]), hashlib.sha256(texts[1].encode()).hexdigest())]
+
+
 def test_packing_cases(spark, docs, no_docs):
     rows = packing.pack(docs, BPE).collect()
     empty = [r for r in rows if r["doc_id"] in (2, 3)]
