@@ -14,20 +14,23 @@ from corpusaudit.plans import corpus_prep
 from corpusaudit.session import shared_folder
 from corpusaudit.sources import readers, writers
 
-#: Files of summaries a query writes: each holds many records, as published catalogs do.
-FILES = 8
-
-
 def summary_records(rows, uid, **values):
-    """Summary files {uid: record}, one JSON object per file, as rows of text."""
+    """Summaries as rows of text: one JSON object {uid: record} per line."""
     record = F.struct(uid.alias("Unique Dataset Identifier"), *[c.alias(n) for n, c in values.items()])
-    keyed = rows.select(F.pmod(F.xxhash64(uid), F.lit(FILES)).alias("_file"), F.struct(uid.alias("key"), record.alias("value")).alias("_e"))
-    return keyed.groupBy("_file").agg(F.to_json(F.map_from_entries(F.collect_list("_e"))).alias("value")).select("value")
+    return rows.select(F.to_json(F.create_map(uid, record)).alias("value"))
 
 
 def written_summaries(spark, rows, uid, **values):
     folder = shared_folder(spark, "summaries")
-    summary_records(rows, uid, **values).repartition(FILES).write.text(folder)
+    summary_records(rows, uid, **values).write.text(folder)
+    return folder
+
+
+def written_dictionary(spark, pairs):
+    """Pairs of a group and a member as files, one JSON object {group: [member]} per line."""
+    folder = shared_folder(spark, "dictionaries")
+    group, member = pairs.columns
+    pairs.select(F.to_json(F.create_map(group, F.array(member))).alias("value")).write.text(folder)
     return folder
 
 
@@ -52,7 +55,7 @@ def summary_files(spark, sf_dir):
             "Inferred Metadata": F.struct(F.col("hub_date").alias("HF Date"), F.coalesce("repo_license", F.lit("")).alias("GitHub License")),
         },
     )
-    read = readers.catalog_columns(readers.read_summaries(spark, folder, pattern="*.txt"))
+    read = readers.catalog_columns(readers.read_summaries(spark, folder, pattern="*.txt", lines=True))
     return read.select(
         "uid",
         "collection",
@@ -108,11 +111,8 @@ def license_criteria_annotated(spark, sf_dir):
 def dictionary_files(spark, sf_dir):
     """Group dictionaries written as files and read back, one row per member."""
     pairs = table(spark, sf_dir, "documents").select("lang", "source").distinct()
-    groups = pairs.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("members"))
-    folder = shared_folder(spark, "dictionaries")
-    one_file = groups.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "members")))).alias("value"))
-    one_file.write.text(folder)
-    return readers.read_dictionaries(spark, folder, pattern="*.txt").select("group", "member")
+    folder = written_dictionary(spark, pairs)
+    return readers.read_dictionaries(spark, folder, pattern="*.txt", lines=True).select("group", "member")
 
 
 @query("SELECT o_orderkey, o_orderpriority AS priority, 'part' AS kind FROM orders")
@@ -190,7 +190,7 @@ def prepared_corpus(spark, sf_dir):
             "Dataset Filter IDs": F.array("source"),
         },
     )
-    selected = corpus_prep.select_catalog(spark, folder, ct.FILTER_PRESETS["commercial_licenses"], pattern="*.txt")
+    selected = corpus_prep.select_catalog(spark, folder, ct.FILTER_PRESETS["commercial_licenses"], pattern="*.txt", lines=True)
     raw = docs.select(F.concat("lang", "doc_id").alias("instruction"), F.col("text").alias("output"), "source")
     dialogs, _ = corpus_prep.prepare_collection("InstAr", raw, selected)
     out = shared_folder(spark, "corpus")

@@ -22,9 +22,10 @@ def select_catalog(
     custom_classes: str | None = None,
     dictionaries: dict[str, DataFrame] | None = None,
     pattern: str = "*.json",
+    lines: bool = False,
 ) -> DataFrame:
     """Read summaries, classify their licenses and keep the selected datasets."""
-    catalog = readers.catalog_columns(readers.read_summaries(spark, summaries, pattern=pattern))
+    catalog = readers.catalog_columns(readers.read_summaries(spark, summaries, pattern=pattern, lines=lines))
     custom = readers.read_license_classes(spark, custom_classes, "license_url") if custom_classes else None
     criteria = lic.license_criteria(catalog, dims.license_table(spark), custom)
     return selection.apply(criteria, dictionaries)

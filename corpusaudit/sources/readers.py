@@ -23,10 +23,13 @@ TEMPLATE_FILES = "_template"
 
 
 def read_summaries(
-    spark: SparkSession, folder: str, schema: T.StructType = schemas.TEXT_SUMMARY, pattern: str = "*.json"
+    spark: SparkSession, folder: str, schema: T.StructType = schemas.TEXT_SUMMARY, pattern: str = "*.json", lines: bool = False
 ) -> DataFrame:
-    """One row per dataset from files that hold ``{uid: record}``; template files are skipped."""
-    files = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(
+    """One row per dataset from files that hold ``{uid: record}``; template files are skipped.
+
+    A file is one object, or with ``lines`` one object per line, so that no value grows with the file.
+    """
+    files = spark.read.text(f"{folder}/{pattern}", wholetext=not lines).select(
         F.col("_metadata.file_name").alias("file"), "value"
     )
     # the key of the repository date occurs in two spellings; column names ignore case
@@ -73,9 +76,9 @@ def catalog_columns(summaries: DataFrame) -> DataFrame:
     )
 
 
-def read_dictionaries(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(dictionary, group, member) from files that hold ``{group: [members]}``."""
-    files = spark.read.text(f"{folder}/{pattern}", wholetext=True)
+def read_dictionaries(spark: SparkSession, folder: str, pattern: str = "*.json", lines: bool = False) -> DataFrame:
+    """(dictionary, group, member) from files that hold ``{group: [members]}``, once or with ``lines`` on every line."""
+    files = spark.read.text(f"{folder}/{pattern}", wholetext=not lines)
     groups = F.from_json("value", "map<string,array<string>>")
     return files.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("dictionary"),

@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from corpusaudit.checks import intake
 from corpusaudit.operators import catalog as ct
 from corpusaudit.plans import corpus_prep, multimodal
 from corpusaudit import dims, schemas
@@ -142,3 +143,21 @@ def test_multimodal_table(spark, tmp_path):
     assert got["v1"][1:] == (12.5, "2019")
     tokens = out.filter("uid = 'u1'").select(F.col("total_tokens")).first()[0]
     assert tokens == 10 * 2.0 * 12.0
+
+
+def test_written_files_hold_one_record_per_line(spark):
+    rows = spark.range(100).select(F.concat(F.lit("d\n"), "id").alias("uid"), F.lit("InstAr").alias("collection"))
+    folder = intake.written_summaries(spark, rows, F.col("uid"), Collection=F.col("collection"))
+    written = [list(json.loads(r.value)) for r in spark.read.text(folder).collect()]
+    assert sorted(written) == sorted([f"d\n{i}"] for i in range(100))
+    read = readers.catalog_columns(readers.read_summaries(spark, folder, pattern="*.txt", lines=True))
+    assert {(r.uid, r.collection) for r in read.collect()} == {(f"d\n{i}", "InstAr") for i in range(100)}
+
+
+def test_written_dictionaries_hold_one_member_per_line(spark):
+    pairs = spark.range(100).select((F.col("id") % 3).cast("string").alias("lang"), F.concat(F.lit("m"), "id").alias("source"))
+    folder = intake.written_dictionary(spark, pairs)
+    written = [json.loads(r.value) for r in spark.read.text(folder).collect()]
+    assert len(written) == 100 and all(len(members) == 1 for line in written for members in line.values())
+    read = readers.read_dictionaries(spark, folder, pattern="*.txt", lines=True).select("group", "member")
+    assert {tuple(r) for r in read.collect()} == {(str(i % 3), f"m{i}") for i in range(100)}
