@@ -124,16 +124,21 @@ def named_tables(spark, sf_dir):
     return read.select("o_orderkey", "priority", "kind")
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 200), '[^\\x00-\\xFF]', '?', 'g') AS text FROM documents")
-def encoded_files(spark, sf_dir):
-    """Records in a one-byte character set, kept as base64 lines, decoded to text."""
+def encoded_texts(spark, docs):
+    """Whole texts in a one-byte character set, written as base64 lines, read and decoded."""
     folder = shared_folder(spark, "encoded")
-    latin = F.base64(F.encode(F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
-    writers.write_json_lines(table(spark, sf_dir, "documents").select("doc_id", latin.alias("bytes")), folder)
+    latin = F.base64(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+    writers.write_json_lines(docs.select("doc_id", latin.alias("bytes")), folder)
     read = readers.read_json_lines(spark, folder, "doc_id bigint, bytes string")
     return read.select("doc_id", readers.decoded(F.unbase64("bytes"), "ISO-8859-1").alias("text"))
 
 
+@query("SELECT doc_id, regexp_replace(left(text, 200), '[^\\x00-\\xFF]', '?', 'g') AS text FROM documents")
+def encoded_files(spark, sf_dir):
+    """Records in a one-byte character set, kept as base64 lines, decoded to text; the result shows the start of each."""
+    return encoded_texts(spark, table(spark, sf_dir, "documents")).select("doc_id", F.substring("text", 1, 200).alias("text"))
+
+
 @query("SELECT o_orderkey, true AS small FROM orders")
 def json_chunks(spark, sf_dir):
     """JSON lines in files of bounded size: every row comes back and no file holds more than 500."""

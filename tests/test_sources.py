@@ -161,3 +161,10 @@ def test_written_dictionaries_hold_one_member_per_line(spark):
     assert len(written) == 100 and all(len(members) == 1 for line in written for members in line.values())
     read = readers.read_dictionaries(spark, folder, pattern="*.txt", lines=True).select("group", "member")
     assert {tuple(r) for r in read.collect()} == {(str(i % 3), f"m{i}") for i in range(100)}
+
+
+def test_encoded_texts_are_whole(spark):
+    texts = {1: "é" * 5000 + "\u4e2d\nend", 2: "", 3: None, 4: "x" * 201}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in intake.encoded_texts(spark, docs).collect()}
+    assert got == texts | {1: "é" * 5000 + "?\nend"}
