@@ -3,11 +3,13 @@
 Every line is good or bad; its features are shares and counts of the line and of both neighbours.
 Forward-backward gives each line's marginal; the document's quality is their mean weighted by line length, set
 to the scale of probabilities by a logistic fit. Training lines take their document's label. The
-fit uses a bounded sample of labelled documents; scoring is row by row over all documents.
+fit uses a sample of labelled documents whose lines stay in the tasks: each round adds up one gradient per task.
+Scoring is row by row over all documents. Features are built for a bounded number of lines at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import col, field, map_rows
+from corpusaudit.llm.common import col, discard, field, kept, map_rows
 from corpusaudit.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 #: Labelled documents used for fitting, chosen by a hash of their ids.
 SAMPLE_DOCUMENTS = 6_000
+#: Of these, documents a task of the fit holds.
+TASK_DOCUMENTS = 500
+#: Lines whose features are built at once.
+LINES = 1 << 15
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGITS = b"0123456789"
@@ -40,48 +46,60 @@ def raw_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     times: dict[bytes, int] = {}
     for line in lines:
         times[line] = times.get(line, 0) + 1
-    out = []
-    for line in lines:
+    out = np.zeros((len(lines), N_RAW), np.float32)
+    for i, line in enumerate(lines):
         size = len(line)
         if not size:
-            out.append((0.0,) * N_RAW)
             continue
         tokens = line.split()
         n = max(1, len(tokens))
         upper = size - len(line.translate(None, _UPPER))
         lower = size - len(line.translate(None, _LOWER))
-        out.append(
-            (
-                np.log1p(size) / 10,
-                upper / max(1, upper + lower),
-                (size - len(line.translate(None, _MARKS))) / size,
-                (size - len(line.translate(None, _DIGITS))) / size,
-                line.count(b"|") / n,
-                line.count(b"!") / n,
-                1 - len(set(tokens)) / n,
-                sum(map(bytes.__eq__, tokens, tokens[1:])) / n,
-                size / n / 10,
-                float(line[-1] in b".?!"),
-                float(65 <= line[0] <= 90 or line[0] >= 128),
-                float(times[line] > 1),
-            )
+        out[i] = (
+            np.log1p(size) / 10,
+            upper / max(1, upper + lower),
+            (size - len(line.translate(None, _MARKS))) / size,
+            (size - len(line.translate(None, _DIGITS))) / size,
+            line.count(b"|") / n,
+            line.count(b"!") / n,
+            1 - len(set(tokens)) / n,
+            sum(map(bytes.__eq__, tokens, tokens[1:])) / n,
+            size / n / 10,
+            float(line[-1] in b".?!"),
+            float(65 <= line[0] <= 90 or line[0] >= 128),
+            float(times[line] > 1),
         )
-    return np.array(out, np.float32), np.array([len(line) + 1 for line in lines], np.float64)
+    return out, np.array([len(line) + 1 for line in lines], np.float64)
 
 
-def line_features(raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Own, previous and next line's features for all lines of documents with ``counts`` lines each."""
-    steps = [raw[:, [c]] > s for c in _STEPPED for s in _STEPS]
-    own = np.hstack([raw, *steps]).astype(np.float32)
-    n = len(own)
+def feature_slices(raw: np.ndarray, counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Own, previous and next line's features, ``LINES`` lines at a time, of documents with ``counts`` lines each."""
+    n = len(raw)
     first = np.zeros(n, bool)
     last = np.zeros(n, bool)
     ends = np.cumsum(counts)
     first[ends - counts] = True
     last[ends - 1] = True
-    before = np.where(first[:, None], 0, np.roll(own, 1, axis=0))
-    after = np.where(last[:, None], 0, np.roll(own, -1, axis=0))
-    return np.hstack([own, before, after, np.ones((n, 1)), first[:, None], last[:, None]]).astype(np.float32)
+    for a in range(0, n, LINES):
+        b = min(a + LINES, n)
+        # one line more on both sides; what stands there at the ends is masked
+        around = raw[np.clip(np.arange(a - 1, b + 1), 0, n - 1)]
+        around = np.hstack([around, *[around[:, [c]] > s for c in _STEPPED for s in _STEPS]]).astype(np.float32)
+        begins, closes = first[a:b, None], last[a:b, None]
+        before, after = np.where(begins, 0, around[:-2]), np.where(closes, 0, around[2:])
+        yield slice(a, b), np.hstack([around[1:-1], before, after, np.ones((b - a, 1)), begins, closes]).astype(np.float32)
+
+
+def document_slices(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive whole documents of at most ``LINES`` lines together, or one longer document: [start, end)."""
+    start = lines = 0
+    for i, n in enumerate(counts):
+        if i > start and lines + n > LINES:
+            yield start, i
+            start, lines = i, 0
+        lines += n
+    if start < len(counts):
+        yield start, len(counts)
 
 
 def padded(counts: np.ndarray, width: int = 512) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,6 +152,13 @@ def marginals(potential: np.ndarray, moves: np.ndarray, counts: np.ndarray, grou
     return (good, expected) if pairs else good
 
 
+def potentials(slices, n: int, weights: np.ndarray) -> np.ndarray:
+    out = np.empty(n)
+    for at, x in slices:
+        out[at] = x @ weights
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -142,7 +167,7 @@ class Model:
     shift: float = 0.0
 
     def line_marginals(self, raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return marginals(line_features(raw, counts) @ self.weights, self.moves, counts)
+        return marginals(potentials(feature_slices(raw, counts), len(raw), self.weights), self.moves, counts)
 
     def quality(self, good: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         starts = np.cumsum(counts) - counts
@@ -155,39 +180,40 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(raw: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Model:
-    """Conditional likelihood by Adam, both classes and all documents weighing the same, then the scale of the scores."""
-    x = line_features(raw, counts).astype(np.float64)
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    share *= len(labels)
-    y = np.repeat(labels, counts).astype(np.float64)
-    per_line = np.repeat(share / counts, counts)
-    # a document's own moves, and the model's; the class weights enter as copies of documents would
-    theta = np.zeros(x.shape[1] + 4)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    groups = {c: padded_subset(counts, np.flatnonzero(labels == c)) for c in (0, 1)}
-    own = np.zeros((2, 2))
+def slope_of(theta: np.ndarray, raw: np.ndarray, counts: np.ndarray, labels: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Sum of the documents' slopes of the conditional likelihood; ``share`` is the weight of a document of each class."""
+    weights, moves = theta[:-4], theta[-4:].reshape(2, 2)
+    # of one slice of lines the features are used twice; of a longer document they are made twice
+    once = list(feature_slices(raw, counts)) if len(raw) <= LINES else None
+    potential = potentials(once or feature_slices(raw, counts), len(raw), weights)
+    good, moved = np.zeros(len(raw)), np.zeros((2, 2))
     for c in (0, 1):
-        own[c, c] = ((counts[labels == c] - 1) / counts[labels == c]).sum() * (share[labels == c][:1].sum())
-    n = len(labels)
+        docs = np.flatnonzero(labels == c)
+        if len(docs):
+            groups = padded_subset(counts, docs)
+            part, expected = marginals(potential, moves, counts, groups, pairs=True)
+            lines = np.concatenate([g[g >= 0] for _, g, _ in groups])
+            good[lines] = part[lines]
+            # a document's own moves less the model's; the class weights enter as copies of documents would
+            moved[c, c] += ((counts[docs] - 1) / counts[docs]).sum() * share[c]
+            moved -= expected * share[c]
+    error = (np.repeat(labels, counts) - good) * np.repeat(share[(labels == 1).astype(int)] / counts, counts)
+    slope = np.zeros(len(weights))
+    for at, x in once or feature_slices(raw, counts):
+        slope += x.T @ error[at]
+    return np.concatenate([slope, moved.ravel()])
+
+
+def fit(slope: Callable[[np.ndarray], np.ndarray], n: int, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Model:
+    """Conditional likelihood of ``n`` documents by Adam; ``slope`` gives the sum of their slopes."""
+    theta = np.zeros(N_FEATURES + 4)
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):
-        weights, moves = theta[:-4], theta[-4:].reshape(2, 2)
-        potential = x @ weights
-        good, expected = np.empty(len(x)), np.zeros((2, 2))
-        for c in (0, 1):
-            if groups[c]:
-                part, moved = marginals(potential, moves, counts, groups[c], pairs=True)
-                lines = np.concatenate([g[g >= 0] for _, g, _ in groups[c]])
-                good[lines] = part[lines]
-                expected += moved * share[labels == c][0]
-        slope = np.concatenate([x.T @ ((y - good) * per_line), (own - expected).ravel()]) / n - penalty * theta
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
+        step = slope(theta) / n - penalty * theta
+        first = 0.9 * first + 0.1 * step
+        second = 0.999 * second + 0.001 * step**2
         theta = theta + rate * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-9)
-    model = Model(theta[:-4], theta[-4:].reshape(2, 2))
-    good = marginals(x @ model.weights, model.moves, counts)
-    z = logit(np.clip(Model(model.weights, model.moves).quality(good, lengths, counts), 1e-6, 1 - 1e-6))
-    return Model(model.weights, model.moves, *scale(z, labels))
+    return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
 def padded_subset(counts: np.ndarray, docs: np.ndarray) -> list:
@@ -228,9 +254,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     wanted = labels.filter(~held_out(key)).filter(col("quality").isNotNull() & col(key).isNotNull())
     wanted = wanted.groupBy(col(key).alias("key")).agg(F.min("quality").cast("int").alias("label"))
     chosen = wanted.orderBy(F.xxhash64("key"), "key").limit(sample)
+    tasks = max(1, -(-chosen.count() // TASK_DOCUMENTS))
     rows = docs.select(col(key).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     # at most ``sample`` rows of two numbers
-    rows = rows.join(F.broadcast(chosen), "key")
+    rows = rows.join(F.broadcast(chosen), "key").withColumn("h", F.xxhash64("text")).dropDuplicates(["key", "h"])
+    rows = rows.repartition(tasks).sortWithinPartitions("key", "h")
 
     def start():
         def work(texts):
@@ -240,21 +268,67 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return work
 
     made = map_rows(rows, ["text"], start, [field("raw", "array<float>"), field("lengths", "array<double>")])
-    made = made.select("row.key", "row.label", "raw", "lengths", F.xxhash64("row.text").alias("h"))
-    table = made.toArrow().to_pandas().sort_values(["key", "h"]).drop_duplicates(["key", "h"])
-    if not len(table):
+    made = kept(made.select("row.label", "raw", "lengths"), "lines")
+    share = np.zeros(2)
+    for r in made.groupBy("label").count().collect():
+        share[int(r["label"] == 1)] += r["count"]
+    n = int(share.sum())
+    if not n:
+        discard([made])
         return None
-    counts = np.array([len(x) for x in table["lengths"]])
-    raw = np.concatenate(table["raw"].to_list()).reshape(-1, N_RAW)
-    return fit(raw, np.concatenate(table["lengths"].to_list()), counts, table["label"].to_numpy())
+    # both classes weigh the same
+    share = n * 0.5 / np.maximum(1, share)
+    model = fit(lambda theta: total_slope(made, theta, share), n)
+    model = Model(model.weights, model.moves, *scale(*unscaled(made, model)))
+    discard([made])
+    return model
+
+
+def sample_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, raw features, lengths and line counts of the sample's rows, whole documents of a bounded number of lines."""
+    for batch in batches:
+        labels, raw, lengths = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        counts = batch.column(2).value_lengths().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        for i, j in document_slices(counts):
+            a, b = ends[i], ends[j]
+            yield labels[i:j], raw[a * N_RAW : b * N_RAW].reshape(-1, N_RAW), lengths[a:b], counts[i:j]
+
+
+def total_slope(sample: DataFrame, theta: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The slopes of all documents of the sample, summed up by its tasks: one row per task comes back."""
+
+    def run(batches):
+        total = np.zeros(len(theta))
+        for labels, raw, _, counts in sample_slices(batches):
+            total += slope_of(theta, raw, counts, labels, share)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["slope"])
+
+    return np.sum([r["slope"] for r in sample.mapInArrow(run, "slope array<double>").collect()], axis=0)
+
+
+def unscaled(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the sample's qualities, and labels: two numbers per document."""
+
+    def run(batches):
+        for labels, raw, lengths, counts in sample_slices(batches):
+            quality = model.quality(model.line_marginals(raw, counts), lengths, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(logit(quality)), pa.array(labels)], names=["z", "label"])
+
+    table = sample.mapInArrow(run, "z double, label int").toArrow()
+    return table["z"].to_numpy(), table["label"].to_numpy()
 
 
 def score_lines(texts: list[str], model: Model) -> tuple[np.ndarray, list[np.ndarray]]:
-    made = [raw_features(t) for t in texts]
-    counts = np.array([len(m[1]) for m in made])
-    raw, lengths = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
-    good = model.line_marginals(raw, counts)
-    return model.quality(good, lengths, counts), np.split(good, np.cumsum(counts)[:-1])
+    values, lines = [], []
+    for i, j in document_slices([t.count("\n") + 1 for t in texts]):
+        made = [raw_features(t) for t in texts[i:j]]
+        counts = np.array([len(m[1]) for m in made])
+        raw, lengths = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+        good = model.line_marginals(raw, counts)
+        values.append(model.quality(good, lengths, counts))
+        lines += np.split(good, np.cumsum(counts)[:-1])
+    return np.concatenate(values), lines
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -407,6 +408,30 @@ def test_quality_cases(spark, docs, no_docs):
     assert quality_crf.score(docs, None).select("row.*").columns == docs.columns
 
 
+def test_quality_by_slices_of_lines(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["Plain words here.", "BUY!!! || NOW", "", "x x x 12"]) for _ in range(rng.choice([1, 3, 40, 900]))) for _ in range(60)]
+    rows, labels = list(enumerate(texts)), spark.createDataFrame([(i, int(t.count("!") * 6 < len(t) // 8)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    whole = quality_crf.train(frame(spark, rows), labels)
+    values, lines = quality_crf.score_lines(texts, whole)
+    # slices smaller than documents, several tasks: the same model and the same scores
+    monkeypatch.setattr(quality_crf, "LINES", 100)
+    monkeypatch.setattr(quality_crf, "TASK_DOCUMENTS", 9)
+    cut = quality_crf.train(frame(spark, rows), labels)
+    assert np.allclose(cut.weights, whole.weights, atol=1e-6) and np.allclose(cut.moves, whole.moves, atol=1e-6)
+    again, lines_again = quality_crf.score_lines(texts, whole)
+    assert np.allclose(again, values) and all(np.allclose(a, b) for a, b in zip(lines, lines_again))
+    assert [len(x) for x in lines] == [t.count("\n") + 1 for t in texts]
+    # memory for features does not grow with the lines of a batch
+    many = texts * 4
+    n_lines = sum(t.count("\n") + 1 for t in many)
+    tracemalloc.start()
+    quality_crf.score_lines(many, whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n_lines * quality_crf.N_FEATURES * 4 / 3
+
+
 # -- chat ----------------------------------------------------------------------------------------------
 
 
