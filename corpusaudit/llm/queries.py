@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.checks.registry import Query, Runner, table
-from corpusaudit.llm import chat, decontamination, exact_dedup, license_scan, packing, quality_crf, simhash, substrings, unigram, warc
+from corpusaudit.llm import (
+    ball_search,
+    chat,
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    packing,
+    quality_crf,
+    simhash,
+    spelling,
+    substrings,
+    unigram,
+    warc,
+)
 from corpusaudit.llm.common import kept
 from corpusaudit.session import shared_folder
 
@@ -212,3 +226,86 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most two bits."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""
+    WITH docs AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, {PLAIN_WORDS.format("text")} AS w FROM documents) WHERE len(w) > 0),
+    total AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+    asked AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({PLAIN_WORDS.format("text")}) AS t FROM benchmark) GROUP BY ALL),
+    tf AS (
+        SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs)
+        WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+    ),
+    weights AS (
+        SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS weight
+        FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total
+    ),
+    parts AS (
+        SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l))) AS part
+        FROM tf JOIN weights USING (t), total
+    ),
+    scores AS (SELECT item_id, doc_id, sum(c * part)::BIGINT AS score FROM asked JOIN parts USING (t) GROUP BY ALL)
+    SELECT item_id, rank, doc_id, score
+    FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 10
+    """
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ball_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.document_languages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+    ),
+    runs AS (
+        SELECT doc_id, run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+        GROUP BY ALL
+    ),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(
+            list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+            lambda c, b: xor(c // 256, (t)[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS h
+        FROM (SELECT run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs), crc_table
+    ),
+    words AS (
+        SELECT word, sum(n)::BIGINT AS n
+        FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ),
+    cut AS (
+        SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+    ),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+    ),
+    best AS (
+        SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word
+    ),
+    forms AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+        FROM words w LEFT JOIN best USING (word)
+    ),
+    paths AS (
+        SELECT word, word AS root, form AS next FROM forms
+        UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON p.next = f.word
+    )
+    SELECT f.word, f.form, p.root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+    FROM forms f JOIN paths p ON p.word = f.word AND p.next IS NULL
+    """
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent words they are variants of."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))

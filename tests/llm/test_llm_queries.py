@@ -26,8 +26,8 @@ def test_matches_sql(spark, name):
     assert difference(QUERIES[name].run(spark, SF_DIR), connect(SF_DIR), QUERIES[name].sql) is None
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def check_packing(rows, texts, tokenizer, capacity=2048):
@@ -152,3 +152,13 @@ def test_pipeline_stages_against_plain_python(spark):
     check_packing(rows, {d: r["text"] for d, r in clean.items()}, tokenizer)
     whole = pipeline.load_queries()["pipeline"].run(spark, SF_DIR).collect()
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows}
+
+
+def test_language_of_held_out_documents(spark, texts):
+    """No SQL for it: the languages of documents the model has not seen."""
+    rows = QUERIES["op12_language"].run(spark, SF_DIR).collect()
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang").collect()}
+    assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+    unseen = [r["lang_pred"] == langs[r["doc_id"]] for r in rows if r["held_out"]]
+    assert len(unseen) > 20 and sum(unseen) >= 0.95 * len(unseen)
