@@ -167,35 +167,93 @@ def stream_daily_changes(spark, sf_dir):
     return consent.text_period(jobs.daily_change_totals(spark, f"{folder}/rows", "digest int"), "day")
 
 
+def arrivals(parts, folder, start):
+    """Let the tables ``parts`` arrive in ``folder`` one after the other; the stream is started anew for each."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        start().awaitTermination()
+
+
+#: Days per arrival, and the delayed rows: every twentieth event comes that many arrivals late.
+ARRIVAL_DAYS, LATE = 6, 2
+
+
+@query(
+    f"""WITH e AS (SELECT 'site' || user_id AS url, ts, (props::JSON->>'k')::INT AS digest,
+        (date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // {ARRIVAL_DAYS} + CASE WHEN event_id % 20 = 7 THEN {LATE} ELSE 0 END) AS arrival FROM events),
+    mark AS (SELECT a.arrival, max(e.ts) - INTERVAL 1 DAY AS watermark
+        FROM (SELECT DISTINCT arrival FROM e) a LEFT JOIN e ON e.arrival < a.arrival GROUP BY 1),
+    intime AS (SELECT e.* FROM e JOIN mark USING (arrival) WHERE watermark IS NULL OR ts::DATE + INTERVAL 1 DAY > watermark)
+    SELECT url, ts::DATE::VARCHAR AS day, count(DISTINCT digest) AS changes FROM intime GROUP BY ALL"""
+)
+def stream_closed_days(spark, sf_dir):
+    """Distinct contents per closed day; a twentieth of the events comes two arrivals late, mostly after their day has been closed.
+
+    The last arrival is one row of a far future that closes all days.
+    """
+    folder = shared_folder(spark, "closed")
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("site"), "user_id").alias("url"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.get_json_object("props", "$.k").cast("int").alias("digest"),
+        "event_id",
+    )
+    bounds = events.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
+    late = F.when(F.col("event_id") % 20 == 7, LATE).otherwise(0)
+    number = (F.floor(F.date_diff(F.to_date("ts"), F.lit(bounds["a"])) / ARRIVAL_DAYS) + late).cast("int")
+    events = events.withColumn("arrival", number).drop("event_id")
+    end = events.limit(1).select(F.lit("end").alias("url"), F.timestamp_add("YEAR", F.lit(10), F.lit(bounds["b"]).cast("timestamp")).alias("ts"), "digest")
+    numbers = range((bounds["b"] - bounds["a"]).days // ARRIVAL_DAYS + LATE + 1)
+    parts = [events.filter(F.col("arrival") == n).drop("arrival") for n in numbers]
+
+    def start():
+        incoming = jobs.file_stream(spark, f"{folder}/in", parts[0].schema)
+        return jobs.closed_day_stream(incoming, "ts", "digest", f"{folder}/days", f"{folder}/progress")
+
+    arrivals([*parts, end], f"{folder}/in", start)
+    return consent.text_period(spark.read.schema("url string, day date, changes bigint").parquet(f"{folder}/days"), "day")
+
+
 @query(
-    """SELECT DISTINCT url, length(url) AS size FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)"""
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id % 3, page_id) AS k FROM pages)
+    SELECT url, page_id, octet_length(encode(html)) AS size, sha256(html) AS digest FROM p
+    WHERE k = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)"""
 )
 def stream_new_only(spark, sf_dir):
-    """URLs fetched earlier are skipped; the others are fetched once, in whichever batch they come first."""
+    """Pages of URLs that were fetched earlier are skipped; of the others the first page is read, whatever comes later."""
     folder = shared_folder(spark, "fetch")
-    state = f"{folder}/state"
-    size = F.length("url").alias("size")
-    table(spark, sf_dir, "pages").filter("page_id % 4 = 0").select("url", size).write.parquet(f"{state}/batch=-1")
-    incoming = stream_of(spark, sf_dir, "pages").select("url")
-    run = jobs.new_only_stream(incoming, state, "url string, size int", ["url"], lambda df: df.select("url", size), f"{folder}/progress")
-    run.awaitTermination()
-    return jobs.known_table(spark, state, "url string, size int, batch int").filter("batch >= 0").select("url", "size")
+    pages = table(spark, sf_dir, "pages").select("url", "page_id", "html")
+    known = pages.filter("page_id % 4 = 0").select("url")
+
+    def fetched(df):
+        return df.select("url", "page_id", F.octet_length("html").cast("bigint").alias("size"), F.sha2("html", 256).alias("digest"))
+
+    def start():
+        incoming = jobs.file_stream(spark, f"{folder}/in", pages.schema)
+        return jobs.new_only_stream(incoming, known, ["url"], ["page_id"], fetched, f"{folder}/out", f"{folder}/progress")
+
+    arrivals([pages.filter(F.col("page_id") % 3 == n) for n in range(3)], f"{folder}/in", start)
+    return jobs.known_table(spark, f"{folder}/out", "url string, page_id bigint, size bigint, digest string, batch int").drop("batch")
 
 
 @query(
     f"""WITH {consent.SNAPSHOTS} SELECT url, agent, arg_max(status, ts) AS status FROM snaps GROUP BY ALL"""
 )
 def stream_latest_status(spark, sf_dir):
+    """Current status from keyed state; snapshots arrive in three parts that are not in order of time."""
     folder = shared_folder(spark, "latest")
-    events = stream_of(spark, sf_dir, "events")
     agent = F.when(F.col("event_id") % 3 == 0, "GPTBot").when(F.col("event_id") % 3 == 1, "CCBot").otherwise("*")
     status = tx.lookup(F.col("event_type"), consent.STATUS)
-    snaps = events.select(
-        F.concat(F.lit("site"), "user_id").alias("url"), agent.alias("agent"), "ts", status.alias("status")
+    snaps = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("site"), "user_id").alias("url"), agent.alias("agent"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status")
     )
-    run = jobs.latest_status_stream(snaps, f"{folder}/rows", f"{folder}/progress")
-    run.awaitTermination()
-    return jobs.latest_status_table(spark, f"{folder}/rows").select("url", "agent", "status")
+    parts = [snaps.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == n).drop("event_id") for n in range(3)]
+
+    def start():
+        return jobs.latest_status_stream(jobs.file_stream(spark, f"{folder}/in", parts[0].schema), f"{folder}/changes", f"{folder}/progress")
+
+    arrivals(parts, f"{folder}/in", start)
+    return jobs.latest_status_table(spark, f"{folder}/progress").select("url", "agent", "status")
 
 
 @query(

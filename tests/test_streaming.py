@@ -27,24 +27,54 @@ def test_restart_counts_once(spark, tmp_path):
 
 
 def test_known_urls_are_skipped(spark, tmp_path):
-    folder, state, ck = (str(tmp_path / n) for n in ("in", "state", "ck"))
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "url string, n int"
+    known = spark.createDataFrame([("k", 0), ("k", 1)], schema)
     run = lambda: jobs.new_only_stream(
-        jobs.file_stream(spark, folder, schema), state, schema, ["url"], lambda df: df, ck
+        jobs.file_stream(spark, folder, schema), known, ["url"], ["n"], lambda df: df, out, ck
     ).awaitTermination()
-    spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], schema).coalesce(1).write.parquet(folder)
+    arrive = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    arrive([("a", 2), ("a", 1), ("b", None), ("b", 2), ("k", 5), (None, 3)])
+    run()
     run()
-    spark.createDataFrame([("b", 3), ("c", 4)], schema).coalesce(1).write.mode("append").parquet(folder)
+    arrive([("b", 3), ("c", 4), ("k", 6), (None, 1)])
     run()
-    assert {(r.url, r.n) for r in spark.read.parquet(state).collect()} == {("a", 1), ("b", 2), ("c", 4)}
+    rows = spark.read.parquet(out).select("url", "n").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("a", 1), ("b", None), ("c", 4), (None, 3)]
+    # history is not read again: a batch does its work although all earlier results are unreadable
+    for part in (tmp_path / "out").rglob("*.parquet"):
+        part.write_text("broken")
+    arrive([("a", 7), ("d", 8)])
+    run()
+    new = max((tmp_path / "out").iterdir(), key=lambda f: int(f.name.split("=")[1]))
+    assert [tuple(r) for r in spark.read.parquet(str(new)).collect()] == [("d", 8)]
+
+
+def test_current_status_survives_restarts(spark, tmp_path):
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "url string, agent string, ts timestamp, status string"
+    at = lambda d: dt.datetime(2020, 1, d)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.latest_status_stream(jobs.file_stream(spark, folder, schema), out, ck).awaitTermination()
+        return {(r.url, r.agent): (r.status, r.ts) for r in jobs.latest_status_table(spark, ck).collect()}
+
+    assert arrive([("u", "a", at(5), "all"), ("u", "b", None, "some"), ("v", "a", at(1), None)]) == {
+        ("u", "a"): ("all", at(5)), ("u", "b"): ("some", None), ("v", "a"): (None, at(1))}
+    late = arrive([("u", "a", at(2), "none"), ("u", "b", at(1), "none"), ("w", "a", at(9), "all")])
+    assert late[("u", "a")] == ("all", at(5)) and late[("u", "b")] == ("none", at(1)) and len(late) == 4
+    assert arrive([("u", "a", at(6), "some")])[("u", "a")] == ("some", at(6))
+    # only keys of the batch are written
+    last = max((tmp_path / "out").iterdir(), key=lambda f: int(f.name.split("=")[1]))
+    assert [r.url for r in spark.read.parquet(str(last)).collect()] == ["u"]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
     folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "url string, ts timestamp, digest int"
     day = lambda d: dt.datetime(2020, 1, d, 12)
-    run = lambda: jobs.daily_changes(jobs.file_stream(spark, folder, schema), "ts", "digest").writeStream.format(
-        "parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    run = lambda: jobs.closed_day_stream(jobs.file_stream(spark, folder, schema), "ts", "digest", out, ck).awaitTermination()
     spark.createDataFrame([("u", day(1), 1), ("u", day(1), 2), ("u", day(9), 3)], schema).coalesce(1).write.parquet(folder)
     run()
     spark.createDataFrame([("u", day(1), 7), ("u", day(20), 4)], schema).coalesce(1).write.mode("append").parquet(folder)
