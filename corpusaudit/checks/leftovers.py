@@ -146,20 +146,18 @@ def language_hours(spark, sf_dir):
     return readers.read_hours(spark, folder, "set", "locale", F.col("minutes").cast("double") / 60)
 
 
-RATES = f"""{measures.SITES}, {measures._drawn('long', 'doc_id', 5, 100)},
-    rates AS (SELECT replicate, variable, sum(value * w) / sum(w) AS rate FROM drawn GROUP BY ALL),
+BOUNDS = f"""{measures.RATES},
     bounds AS (SELECT variable, quantile_cont(rate, 0.025) AS lower, quantile_cont(rate, 0.975) AS upper FROM rates GROUP BY variable)"""
 
 
 @query(
-    f"""WITH {RATES}, points(variable, point) AS (VALUES ('good', 0.5), ('toxic', 0.1), ('english', 0.99))
+    f"""WITH {BOUNDS}, points(variable, point) AS (VALUES ('good', 0.5), ('toxic', 0.1), ('english', 0.99))
     SELECT variable, point::DOUBLE AS point, point < lower OR point > upper AS rejected FROM bounds JOIN points USING (variable)"""
 )
 def rejected_estimates(spark, sf_dir):
     """Point estimates outside the bootstrap interval of their variable."""
-    rates = pop.bootstrap_rates(measures.sites(spark, sf_dir), measures.INDICATORS, "doc_id", 100, seed=5)
     points = dims.literal_table(spark, [("good", 0.5), ("toxic", 0.1), ("english", 0.99)], "variable string, point double")
-    return pop.rejected(rates, points).select("variable", "point", "rejected")
+    return pop.rejected(measures.rates(spark, sf_dir), points).select("variable", "point", "rejected")
 
 
 @query(

@@ -80,21 +80,25 @@ def cumulative_distinct(spark, sf_dir):
     return iq.cumulative_distinct(rows, "modality", "o_custkey", "year")
 
 
-def _drawn(rows: str, key: str, seed: int, replicates: int) -> str:
-    """SQL of the resampled rows: each row of ``rows`` with its weight w per replicate."""
-    steps = ", ".join(repr(s) for s in iq.poisson_steps())
+def _drawn(tallies: str, key: str, seed: int, replicates: int) -> str:
+    """SQL of the draws: each row of ``tallies``, which stands for c equal rows, with its weight w per replicate."""
+    uniform = "(('0x' || substr(h, {}, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE"
     return f"""reps AS (SELECT unnest(range(1, {replicates} + 1)) AS replicate),
-    drawn AS (SELECT * FROM (SELECT r.*, replicate, len(list_filter([{steps}], lambda s:
-        ('0x' || substr(md5('{seed}|' || replicate || '|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE > s)) AS w
-        FROM {rows} r CROSS JOIN reps) WHERE w > 0)"""
+    steps AS (SELECT lam, list(cdf) AS cdfs FROM (SELECT lam, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) OVER (PARTITION BY lam ORDER BY k) AS cdf
+        FROM range(1, {iq.EXACT_COUNT + 1}) a(lam), range(0, 10 * {iq.EXACT_COUNT} + 20) b(k)) GROUP BY lam),
+    hashed AS (SELECT t.*, replicate, md5('{seed}|' || replicate || '|' || {key}) AS h FROM {tallies} t CROSS JOIN reps),
+    uniforms AS (SELECT * EXCLUDE h, {uniform.format(1)} AS u, {uniform.format(14)} AS v FROM hashed),
+    normals AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM uniforms),
+    drawn AS (SELECT * FROM (SELECT n.*, CASE WHEN c <= {iq.EXACT_COUNT} THEN len(list_filter(cdfs, lambda s: s < u))
+        ELSE greatest(0, floor(c + sqrt(c) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(c)) + 0.5)) END::BIGINT AS w
+        FROM normals n LEFT JOIN steps ON lam = c) WHERE w > 0)"""
 
 
-def _interval(group: str, value: str) -> str:
+def _interval(group: str) -> str:
     """SQL of the mean and percentile interval of the weighted coefficient per group over the replicates."""
-    return f"""tallies AS (SELECT {group}, replicate, {value}::DOUBLE AS x, sum(w) AS c FROM drawn GROUP BY ALL),
-    placed AS (SELECT *, sum(c) OVER v - c AS p, sum(c) OVER (PARTITION BY {group}, replicate) AS n,
-        least(min(x) OVER (PARTITION BY {group}, replicate), 0) AS low FROM tallies WINDOW v AS (PARTITION BY {group}, replicate ORDER BY x)),
-    ginis AS (SELECT {group}, replicate, sum(c * (2 * p + c - n) * (x - low + 1e-7)) / (max(n) * sum(c * (x - low + 1e-7))) AS g
+    return f"""placed AS (SELECT {group}, replicate, x, w, sum(w) OVER q - w AS p, sum(w) OVER (PARTITION BY {group}, replicate) AS n,
+        least(min(x) OVER (PARTITION BY {group}, replicate), 0) AS low FROM drawn WINDOW q AS (PARTITION BY {group}, replicate ORDER BY x)),
+    ginis AS (SELECT {group}, replicate, sum(w * (2 * p + w - n) * (x - low + 1e-7)) / (max(n) * sum(w * (x - low + 1e-7))) AS g
         FROM placed GROUP BY ALL)
     SELECT {group}, round(avg(g), 6) AS gini_mean, round(greatest(0, quantile_cont(g, 0.025)), 6) AS gini_lower,
         round(least(1, quantile_cont(g, 0.975)), 6) AS gini_upper, count(*) AS replicates FROM ginis GROUP BY ALL"""
@@ -104,19 +108,36 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c.startswith("gini_")})
 
 
-@query(f"WITH {_drawn('customer', 'c_custkey', 11, 50)}, {_interval('c_mktsegment', 'c_acctbal')}")
+@query(
+    f"""WITH t AS (SELECT c_mktsegment, c_acctbal::DOUBLE AS x, count(*) AS c FROM customer GROUP BY ALL),
+    {_drawn('t', "c_mktsegment || '|' || round(x * 100)::BIGINT", 11, 200)}, {_interval('c_mktsegment')}"""
+)
 def bootstrap_gini(spark, sf_dir):
     """Interval of the Gini coefficient of balances per market segment."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return _rounded(
-        iq.bootstrap_gini(rows, "c_acctbal", F.col("c_custkey"), ["c_mktsegment"], replicates=50, seed=11)
-    )
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
+    key = F.concat_ws("|", "c_mktsegment", F.round(F.col("_x") * 100).cast("bigint"))
+    return _rounded(iq.bootstrap_gini(rows, "c_acctbal", ["c_mktsegment"], replicates=200, seed=11, key=key))
+
+
+@query(
+    f"""WITH t AS (SELECT l_returnflag, l_quantity::DOUBLE AS x, count(*) AS c FROM lineitem GROUP BY ALL),
+    {_drawn('t', "l_returnflag || '|' || x::BIGINT", 12, 1000)}, {_interval('l_returnflag')}"""
+)
+def bootstrap_gini_of_tallies(spark, sf_dir):
+    """A thousand replicates of large groups with few values: the draws are as many as the values, however many rows there are."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
+    key = F.concat_ws("|", "l_returnflag", F.col("_x").cast("bigint"))
+    return _rounded(iq.bootstrap_gini(rows, "l_quantity", ["l_returnflag"], replicates=1000, seed=12, key=key))
 
 
-@query(f"WITH {YEARLY}, {_drawn('cum', "category || '|' || year", 11, 50)}, {_interval('year', 'c')}")
+@query(
+    f"""WITH {YEARLY}, t AS (SELECT year, c::DOUBLE AS x, count(*) AS c FROM cum GROUP BY ALL),
+    {_drawn('t', "year || '|' || x::BIGINT", 11, 200)}, {_interval('year')}"""
+)
 def bootstrap_gini_by_year(spark, sf_dir):
+    key = F.concat_ws("|", "year", F.col("_x").cast("bigint"))
     return _rounded(
-        iq.bootstrap_gini_by_year(yearly(spark, sf_dir), "category", "year", "amount", replicates=50, seed=11)
+        iq.bootstrap_gini_by_year(yearly(spark, sf_dir), "category", "year", "amount", replicates=200, seed=11, key=key)
     )
 
 
@@ -209,25 +230,66 @@ def bucket_estimate(spark, sf_dir):
     return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
 
-@query()
-def ml_population_estimate(spark, sf_dir):
-    rows = sites(spark, sf_dir).select("doc_id", "tokens", "good", "sample", "c4_rank")
+def _logistic_sql(train: str) -> str:
+    """Newton steps of the penalised regression over counts per (magnitude, label), as a recursive query."""
+    p = "1 / (1 + exp(-(a + b * x)))"
+    return f"""
+    WITH RECURSIVE {SITES},
+    train AS (SELECT tokens::DOUBLE AS m, good::INT::DOUBLE AS y FROM sites WHERE sample = 'random' {train}),
+    scaled AS (SELECT avg(m) AS mean, coalesce(nullif(stddev_pop(m), 0), 1) AS spread FROM train),
+    counts AS (SELECT (m - mean) / spread AS x, y, count(*) AS n FROM train, scaled WHERE y IS NOT NULL GROUP BY ALL),
+    newton(step, a, b) AS (
+      SELECT 0, 0::DOUBLE, 0::DOUBLE
+      UNION ALL
+      SELECT step + 1, a - da * least(1, {pop.LONGEST_STEP} / greatest(sqrt(da * da + db * db), 1e-300)), b - db * least(1, {pop.LONGEST_STEP} / greatest(sqrt(da * da + db * db), 1e-300))
+      FROM (SELECT step, a, b, (hbb * ga - hab * gb) / (haa * hbb - hab * hab + 1e-12) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab + 1e-12) AS db
+        FROM (SELECT step, a, b, sum(n * (p - y)) AS ga, sum(n * (p - y) * x) + b AS gb, sum(n * p * (1 - p)) AS haa,
+                sum(n * p * (1 - p) * x) AS hab, sum(n * p * (1 - p) * x * x) + 1 AS hbb
+              FROM (SELECT step, a, b, n, x, y, {p} AS p FROM newton, counts WHERE step < {pop.STEPS}) GROUP BY step, a, b))),
+    fitted AS (SELECT a - b * mean / spread AS a, b / spread AS b FROM newton, scaled WHERE step = {pop.STEPS}),
+    buckets AS (SELECT (length(text) // 500) * 500 + 250 AS x, count(*) AS n FROM documents GROUP BY 1),
+    rest AS (SELECT sum(x * p * n) AS magnitude, sum(p * n) AS positive, sum((1 - p) * n) AS negative FROM (SELECT x, n, {p} AS p FROM buckets, fitted)),
+    seen AS (SELECT coalesce(sum(tokens) FILTER (good), 0) AS magnitude, sum(good::INT) AS positive, sum(1 - good::INT) AS negative FROM sites WHERE c4_rank <= 200)
+    SELECT 'good' AS variable, round(rest.magnitude + seen.magnitude, 2)::DOUBLE AS magnitude, round(rest.positive + seen.positive, 2)::DOUBLE AS positive,
+      round(rest.negative + seen.negative, 2)::DOUBLE AS negative FROM rest, seen"""
+
+
+def logistic(spark, sf_dir, conservative):
+    rows = sites(spark, sf_dir).select("tokens", "good", "sample", "c4_rank")
     buckets = (
         table(spark, sf_dir, "documents")
         .groupBy((F.floor(F.length("text") / 500) * 500 + 250).alias("midpoint"))
         .agg(F.count("*").alias("count"))
     )
-    return pop.logistic_population(
-        rows.filter("c4_rank <= 200"), rows.filter("sample = 'random'"), buckets, "good", "tokens", scale=True
-    )
+    head, random = rows.filter("c4_rank <= 200"), rows.filter("sample = 'random'")
+    return pop.logistic_population(head, random, buckets, "good", "tokens", conservative, scale=True)
+
+
+@query(_logistic_sql("UNION ALL SELECT tokens, good::INT FROM sites WHERE c4_rank <= 200"))
+def ml_population_estimate(spark, sf_dir):
+    """Fitted on the head and the random sample; a site that is in both counts twice."""
+    return logistic(spark, sf_dir, False)
+
+
+@query(_logistic_sql(""))
+def ml_population_conservative(spark, sf_dir):
+    """Fitted on the random sample alone."""
+    return logistic(spark, sf_dir, True)
+
+
+RATES = f"""{SITES}, t AS (SELECT variable, value, count(*) AS c FROM long GROUP BY ALL),
+    {_drawn('t', "variable || '|' || value", 5, 1000)},
+    rates AS (SELECT replicate, variable, sum(value * w) / sum(w) AS rate FROM drawn GROUP BY ALL)"""
+
+
+def rates(spark, sf_dir):
+    return pop.bootstrap_rates(sites(spark, sf_dir), INDICATORS, 1000, seed=5)
 
 
 @query(
-    f"""WITH {SITES}, {_drawn('long', 'doc_id', 5, 100)},
-    rates AS (SELECT replicate, variable, sum(value * w) / sum(w) AS rate FROM drawn GROUP BY ALL)
+    f"""WITH {RATES}
     SELECT variable, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS sd,
         round(quantile_cont(rate, 0.025), 6) AS lower, round(quantile_cont(rate, 0.975), 6) AS upper FROM rates GROUP BY variable"""
 )
 def bootstrap_rates(spark, sf_dir):
-    made = pop.bootstrap_rates(sites(spark, sf_dir), INDICATORS, "doc_id", 100, seed=5)
-    return made.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "lower", "upper")})
+    return rates(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "lower", "upper")})

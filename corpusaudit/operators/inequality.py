@@ -23,8 +23,17 @@ def gini(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     Values are shifted to be non-negative. Equal values are counted first; the rank of a value then
     comes from a prefix sum over range partitions, so no group has to fit into one task.
     """
+    return tally_gini(tally(df, value, group), group)
+
+
+def tally(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, ``_x``, ``_c``): how often each value occurs."""
+    return df.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+
+
+def tally_gini(tallies: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, gini, n) of distinct values ``_x`` that occur ``_c`` times."""
     group = list(group)
-    tallies = df.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     ranked = windows.prefix_sum(tallies, group, [F.asc("_x")], "_c", "_p")
     # read from the ranked rows, which are on storage already
     size = (F.sum("_c").alias("_n"), F.least(F.min("_x"), F.lit(0.0)).alias("_low"))
@@ -42,68 +51,70 @@ def gini(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _weight(key: Column, replicate: Column, seed: int, copies: Sequence[float]) -> Column:
-    """How often a row is drawn in a replicate: a Poisson(1) count from a digest of row and replicate.
-
-    The first 13 digits of an MD5 digest are a number below 2**52, which any engine can compute alike.
-    """
-    digest = F.md5(F.concat_ws("|", F.lit(seed), replicate, key.cast("string")))
-    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    return tx.let(draw, lambda d: sum(((d > F.lit(c)).cast("int") for c in copies[1:]), (d > F.lit(copies[0])).cast("int")))
+#: Counts up to this one are drawn from their exact Poisson distribution, larger ones from its normal expansion.
+EXACT_COUNT = 20
 
 
-def poisson_steps() -> list[float]:
-    """P(count <= k) of a Poisson(1) count for all k that a draw can exceed."""
-    term, total, steps = math.exp(-1.0), 0.0, []
-    while not steps or total < 1 - 2.0**-52:
+def poisson_steps(mean: int) -> list[float]:
+    """P(count <= k) of a Poisson count for all k that a draw can exceed."""
+    term, total, steps = math.exp(-mean), 0.0, []
+    while not steps or (total < 1 - 2.0**-52 and len(steps) < 10 * mean + 20):
         total += term
         steps.append(total)
-        term /= len(steps)
+        term *= mean / len(steps)
     return steps
 
 
-def resample(df: DataFrame, key: Column, replicates: int, seed: int) -> DataFrame:
-    """Rows repeated per replicate with a bootstrap weight ``_w`` (rows not drawn are left out).
+def draw_counts(tallies: DataFrame, count: str, key: Column, replicates: int, seed: int) -> DataFrame:
+    """Each tally once per replicate with ``_w``, how many of its ``count`` rows are drawn; those with none are left out.
 
-    Poisson weights need no shared state, so each row is resampled where it is. The size of a
-    replicate varies around the number of rows.
+    Bootstrap rows carry Poisson(1) weights, so ``count`` equal rows carry a Poisson(count) weight together: it is drawn once for
+    the tally, and the work grows with distinct values, not with rows. The uniform numbers are the digits of an MD5 digest of seed,
+    replicate and ``key`` (a string that is unique per tally), which any engine can compute alike.
+    A count above EXACT_COUNT takes a normal number (Box-Muller) and the Cornish-Fisher expansion of the Poisson quantile.
     """
-    steps = poisson_steps()
-    return (
-        df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("_w", _weight(key, F.col("replicate"), seed, steps))
-        .filter("_w > 0")
-    )
+    rows = ["array(" + ", ".join(f"{p!r}D" for p in poisson_steps(n)) + ")" for n in range(1, EXACT_COUNT + 1)]
+    steps = F.expr("array(" + ", ".join(rows) + ")")
+    c = F.col(count)
 
+    def uniform(digest, first):
+        return (F.conv(F.substring(digest, first, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
-def weighted_gini(df: DataFrame, value: str, weight: str, group: Sequence[str]) -> DataFrame:
-    """Gini of rows that stand for ``weight`` equal values."""
-    group = list(group)
-    tallies = df.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_c"))
-    sizes = tallies.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.least(F.min("_x"), F.lit(0.0)).alias("_low")
-    )
-    ranked = windows.prefix_sum(tallies, group, [F.asc("_x")], "_c", "_p").join(sizes, group)
-    x = F.col("_x") - F.col("_low") + EPSILON
-    part = F.col("_c") * (2 * F.col("_p") + F.col("_c") - F.col("_n")) * x
-    return ranked.groupBy(*group).agg(
-        (F.sum(part) / (F.first("_n") * F.sum(F.col("_c") * x))).alias("gini")
-    )
+    def small(digest):
+        return tx.let(uniform(digest, 1), lambda u: F.size(F.filter(F.element_at(steps, c.cast("int")), lambda s: s < u)).cast("bigint"))
+
+    def large(digest):
+        z = F.sqrt(-2 * F.ln(uniform(digest, 1))) * F.cos(2 * math.pi * uniform(digest, 14))
+        drawn = tx.let(z, lambda z: F.floor(c + F.sqrt(c) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * F.sqrt(c)) + 0.5))
+        return F.greatest(F.lit(0), drawn).cast("bigint")
+
+    def weight(replicate):
+        digest = F.md5(F.concat_ws("|", F.lit(seed), replicate, key))
+        return tx.let(digest, lambda d: F.when(c <= EXACT_COUNT, small(d)).otherwise(large(d)))
+
+    # one array per tally, so that nothing of the draw is computed twice by a filter that moves
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), weight(r).alias("_w")))
+    return tallies.select("*", F.inline(F.filter(drawn, lambda d: d["_w"] > 0)))
 
 
 def bootstrap_gini(
     df: DataFrame,
     value: str,
-    key: Column,
     group: Sequence[str] = (),
     replicates: int = 1000,
     alpha: float = 0.05,
     seed: int = 0,
+    key: Column | None = None,
 ) -> DataFrame:
-    """Mean and percentile interval of the Gini coefficient per group, clipped to [0, 1]."""
+    """Mean and percentile interval of the Gini coefficient per group, clipped to [0, 1].
+
+    ``key`` names a tally (group columns, ``_x``) for the draws; by default group and value as text. The size of a
+    replicate varies around the number of rows.
+    """
     group = list(group)
-    drawn = resample(df, key, replicates, seed)
-    per_replicate = weighted_gini(drawn, value, "_w", [*group, "replicate"])
+    key = F.concat_ws("|", *group, F.col("_x").cast("string")) if key is None else key
+    drawn = draw_counts(tally(df, value, group), "_c", key, replicates, seed)
+    per_replicate = tally_gini(drawn.select(*group, "replicate", "_x", F.col("_w").alias("_c")), [*group, "replicate"])
     return per_replicate.groupBy(*group).agg(
         F.avg("gini").alias("gini_mean"),
         F.greatest(F.lit(0.0), F.percentile("gini", F.lit(alpha / 2))).alias("gini_lower"),
@@ -139,14 +150,12 @@ def gini_by_year(df: DataFrame, category: str, year: str, measure: str) -> DataF
 
 
 def bootstrap_gini_by_year(
-    df: DataFrame, category: str, year: str, measure: str, replicates: int = 1000, seed: int = 0
+    df: DataFrame, category: str, year: str, measure: str, replicates: int = 1000, seed: int = 0, key: Column | None = None
 ) -> DataFrame:
+    """:func:`bootstrap_gini` of the running totals of the categories in each year."""
     sums = df.dropna(subset=[category, year]).groupBy(category, year).agg(F.sum(measure).alias("_t"))
     so_far = W.partitionBy(category).orderBy(year).rowsBetween(W.unboundedPreceding, 0)
-    cumulated = sums.withColumn("_cum", F.sum("_t").over(so_far))
-    return bootstrap_gini(
-        cumulated, "_cum", F.concat_ws("|", F.col(category), F.col(year)), [year], replicates, seed=seed
-    )
+    return bootstrap_gini(sums.withColumn("_cum", F.sum("_t").over(so_far)), "_cum", [year], replicates, seed=seed, key=key)
 
 
 def cumulative_distinct(df: DataFrame, group: str, member: str, year: str) -> DataFrame:

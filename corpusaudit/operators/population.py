@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import inequality
+from corpusaudit.session import ensure_checkpoint_dir
 
 
 def long_indicators(sites: DataFrame, indicators: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -93,6 +94,44 @@ def bucket_estimate(buckets: DataFrame, probability: str = "probability") -> Dat
     )
 
 
+#: Newton steps of the logistic regression, at most, and the longest one.
+STEPS, LONGEST_STEP = 30, 4.0
+
+
+def logistic_fit(rows: DataFrame, x: str = "m", label: str = "label", penalise_scaled: bool = False) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression of ``label`` (0 or 1) on ``x`` with an L2 penalty of 1 on the slope.
+
+    Rows become counts per (x, label), written once. Each Newton step is one aggregate over them that returns five sums; x is
+    standardised meanwhile, and the penalty is on the slope of the standardised x (``penalise_scaled``) or of x itself. Rows with a
+    null are left out; without any row both numbers are 0.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    counts = rows.groupBy(F.col(x).cast("double").alias("x"), F.col(label).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    counts = counts.dropna().checkpoint()
+    n = F.col("n")
+    size, mean, square = counts.agg(F.sum("n"), F.sum(n * F.col("x")) / F.sum("n"), F.sum(n * F.col("x") * F.col("x")) / F.sum("n")).first()
+    if not size:
+        return 0.0, 0.0
+    spread = max(square - mean * mean, 0.0) ** 0.5 or 1.0
+    penalty = 1.0 if penalise_scaled else 1.0 / spread**2
+    z = (F.col("x") - mean) / spread
+    a = b = 0.0
+    for _ in range(STEPS):
+        p = 1 / (1 + F.exp(-(a + b * z)))
+        miss, sharp = n * (p - F.col("y")), n * p * (1 - p)
+        sums = [miss, miss * z, sharp, sharp * z, sharp * z * z]
+        ga, gb, haa, hab, hbb = counts.agg(*[F.sum(v) for v in sums]).first()
+        gb, hbb = gb + penalty * b, hbb + penalty
+        # a whole sample of one label flattens the curve: the step stays defined
+        flat = haa * hbb - hab * hab + 1e-12
+        da, db = (hbb * ga - hab * gb) / flat, (haa * gb - hab * ga) / flat
+        short = min(1.0, LONGEST_STEP / max((da * da + db * db) ** 0.5, 1e-300))
+        a, b = a - short * da, b - short * db
+        if abs(da) + abs(db) < 1e-12:
+            break
+    return a - b * mean / spread, b / spread
+
+
 def logistic_population(
     head: DataFrame,
     random: DataFrame,
@@ -104,27 +143,16 @@ def logistic_population(
 ) -> DataFrame:
     """Expected magnitude and counts of positive sites in a whole corpus.
 
-    A logistic regression of the indicator on the magnitude (L2 penalty 1) is fitted on head and random
-    sample, or on the random sample alone (``conservative``). Its predictions fill the buckets of the
+    A logistic regression of the indicator on the magnitude (:func:`logistic_fit`) is fitted on head and random
+    sample, or on the random sample alone (``conservative``). Its predictions fill the buckets (midpoint, count) of the
     unseen rest; the head's own values are added as they are.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     cols = [F.col(magnitude).cast("double").alias("m"), F.col(variable).cast("double").alias("label")]
     sample = random.select(*cols)
     known = head.select(*cols)
-    train = sample if conservative else sample.unionByName(known)
-    size = train.count()
-    assemble = VectorAssembler(inputCols=["m"], outputCol="features")
-    model = LogisticRegression(
-        regParam=1.0 / max(size, 1), elasticNetParam=0.0, standardization=scale, maxIter=1000
-    ).fit(assemble.transform(train))
-    scored = model.transform(assemble.transform(buckets.withColumn("m", F.col("midpoint").cast("double"))))
-    rest = bucket_estimate(
-        scored.withColumn("_p", vector_to_array("probability")[1]).select("midpoint", "count", "_p"), "_p"
-    )
+    intercept, slope = logistic_fit(sample if conservative else sample.unionByName(known), penalise_scaled=scale)
+    p = 1 / (1 + F.exp(-(intercept + slope * F.col("midpoint"))))
+    rest = bucket_estimate(buckets.select("midpoint", "count", p.alias("_p")), "_p")
     seen = known.agg(
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("m"))), F.lit(0.0)).alias("magnitude"),
         F.sum("label").alias("positive"),
@@ -138,17 +166,17 @@ def logistic_population(
 def bootstrap_rates(
     sites: DataFrame,
     indicators: Sequence[str],
-    key: str,
     replicates: int,
     alpha: float = 0.05,
     seed: int = 0,
 ) -> DataFrame:
     """(variable, mean, sd, lower, upper) of resampled indicator rates.
 
-    Weights are summed per (replicate, variable), so only sums leave a task.
+    Rows are counted per (variable, value) first; a replicate draws for those two counts.
     """
-    rows = long_indicators(sites, indicators, [key])
-    drawn = inequality.resample(rows, F.col(key), replicates, seed)
+    counts = long_indicators(sites, indicators, []).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    key = F.concat_ws("|", "variable", F.col("value").cast("string"))
+    drawn = inequality.draw_counts(counts, "n", key, replicates, seed)
     rates = drawn.groupBy("replicate", "variable").agg(
         (F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("rate")
     )

@@ -1,8 +1,12 @@
 """Forward fill and counts against a plain loop over the definition."""
 
 import datetime as dt
+import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpusaudit.operators import inequality, population, temporal
 
 
@@ -74,14 +78,62 @@ def test_bootstrap_brackets_the_estimate(spark):
     rng = random.Random(3)
     values = [rng.paretovariate(2) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
-    row = inequality.bootstrap_gini(df, "v", df.id, replicates=60, seed=1).first()
+    row = inequality.bootstrap_gini(df, "v", replicates=60, seed=1).first()
     point = gini_by_definition(values)
     assert row.gini_lower <= row.gini_mean <= row.gini_upper
     assert row.gini_lower - 0.05 < point < row.gini_upper + 0.05
-    again = inequality.bootstrap_gini(df.repartition(3), "v", df.id, replicates=60, seed=1).first()
+    again = inequality.bootstrap_gini(df.repartition(3), "v", replicates=60, seed=1).first()
     assert abs(again.gini_mean - row.gini_mean) < 1e-9
 
 
+@pytest.mark.parametrize("count", [1, 3, inequality.EXACT_COUNT, inequality.EXACT_COUNT + 1, 400, 10**9])
+def test_drawn_counts_are_poisson(spark, count):
+    """Mean and variance of the draws are the count; every tally has its own numbers."""
+    tallies = spark.createDataFrame([("a", count), ("b", count)], "k string, c bigint")
+    drawn = inequality.draw_counts(tallies, "c", F.col("k"), 4000, 3).groupBy("replicate").pivot("k", ["a", "b"]).sum("_w").fillna(0).collect()
+    for got in ([r.a for r in drawn], [r.b for r in drawn]):
+        got += [0] * (4000 - len(got))
+        mean = sum(got) / 4000
+        assert abs(mean - count) < 5 * (count / 4000) ** 0.5
+        assert sum((g - mean) ** 2 for g in got) / 4000 == pytest.approx(count, rel=0.15)
+    assert [r.a for r in drawn] != [r.b for r in drawn]
+
+
+def test_bootstrap_work_grows_with_values_not_rows(spark):
+    """The plan counts equal values before it draws: rows and replicates never meet."""
+    df = spark.range(100_000).selectExpr("cast(id % 7 as double) v")
+    drawn = inequality.draw_counts(inequality.tally(df, "v"), "_c", F.col("_x").cast("string"), 100, 1)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline") < plan.index("Aggregate") and drawn.count() <= 700
+
+
+def test_logistic_fit_is_the_minimum(spark):
+    """At the fitted numbers every small move raises the penalised loss, whatever the scale of x."""
+    rng = random.Random(6)
+    for unit, scaled in ((1.0, False), (1e4, False), (1e4, True)):
+        rows = [(unit * rng.gauss(3, 1), None) for _ in range(300)]
+        rows = [(x, int(rng.random() < 1 / (1 + math.exp(3 - x / unit)))) for x, _ in rows]
+        a, b = population.logistic_fit(spark.createDataFrame([*rows, (None, 1), (1.0, None)], "m double, label int"), penalise_scaled=scaled)
+        mean = sum(x for x, _ in rows) / 300
+        spread = (sum((x - mean) ** 2 for x, _ in rows) / 300) ** 0.5 if scaled else 1.0
+
+        def loss(a, b):
+            return sum(math.log1p(math.exp(-(a + b * x) if y else a + b * x)) for x, y in rows) + (b * spread) ** 2 / 2
+
+        least = loss(a, b)
+        for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3 / unit), (0, -1e-3 / unit)):
+            assert loss(a + da, b + db) > least
+
+
+def test_logistic_fit_of_odd_samples(spark):
+    made = lambda rows: population.logistic_fit(spark.createDataFrame(rows, "m double, label int"))
+    assert made([]) == (0.0, 0.0)
+    a, b = made([(5.0, 1), (5.0, 0), (5.0, 0), (5.0, 0)])
+    assert a + 5 * b == pytest.approx(-math.log(3)) and b == pytest.approx(0)
+    a, b = made([(1.0, 1), (2.0, 1)])
+    assert 1 / (1 + math.exp(-(a + 1.5 * b))) > 0.99
+
+
 def test_logistic_population(spark):
     rng = random.Random(4)
     rows = [(float(m), int(rng.random() < (0.9 if m > 50 else 0.1))) for m in range(100) for _ in range(5)]
