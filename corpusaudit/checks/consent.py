@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.checks.registry import query, table
 from corpusaudit.operators import temporal
+from corpusaudit.session import written
 
 START, END = "2024-01-03", "2024-01-28"
 STATUS = {"view": "none", "click": "some", "purchase": "all", "signup": "some", "error": "no_robots"}
@@ -245,13 +246,18 @@ grid AS (SELECT service, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS
 parts AS (SELECT service, period, random, head FROM grid LEFT JOIN sums_by_day USING (service, period))"""
 
 
-def members(spark, sf_dir):
-    rows = sites(spark, sf_dir).select(
-        "url",
-        F.when(F.col("user_id") % 3 == 0, "head").otherwise("rand").alias("split"),
-        F.array(F.concat(F.lit("kind"), F.col("user_id") % 4)).alias("services"),
+def split_urls(spark, sf_dir):
+    """(url, user_id, start_date, split, services)"""
+    return sites(spark, sf_dir).withColumns(
+        {
+            "split": F.when(F.col("user_id") % 3 == 0, "head").otherwise("rand"),
+            "services": F.array(F.concat(F.lit("kind"), F.col("user_id") % 4)),
+        }
     )
-    return temporal.services_with_all(rows)
+
+
+def members(spark, sf_dir):
+    return temporal.services_with_all(split_urls(spark, sf_dir).select("url", "split", "services"))
 
 
 @query(
@@ -266,11 +272,11 @@ def split_service_counts(spark, sf_dir):
 
 
 def estimate(spark, sf_dir):
-    member, weight = members(spark, sf_dir), tokens(spark, sf_dir)
-    by_split = temporal.split_counts(intervals(spark, sf_dir), member, weight, END, "day")
-    head = member.filter("split = 'head' AND service = 'all'").join(weight, "url").agg(F.sum("tokens")).scalar()
-    fractions = temporal.token_fractions(weight, member, head + 900000000)
-    return temporal.restriction_estimate(by_split, fractions, "GPTBot", ["all", "some"], "day")
+    urls = written(split_urls(spark, sf_dir).join(tokens(spark, sf_dir), "url", "left"), "split-urls")
+    snaps = snapshots(spark, sf_dir).filter("agent = 'GPTBot'")
+    spans = temporal.status_intervals(snaps, urls, START, END, "day", tie="event_id", carry=("split", "services", "tokens"))
+    total = temporal.head_tokens(urls) + 900000000
+    return temporal.restriction_estimate(spans, urls, total, ["all", "some"], END, "day")
 
 
 @query(

@@ -470,9 +470,9 @@ def corpus_estimate_job(spark, sf_dir):
     tokens = consent.tokens(spark, sf_dir)
     every = tokens.withColumn("corpus", F.lit("c4"))
     facts = consent.snapshots(spark, sf_dir).withColumnRenamed("ts", "snap_date")
-    sites = consent.sites(spark, sf_dir)
-    services = sites.select("url", F.array(F.concat(F.lit("kind"), F.col("user_id") % 4)).alias("services"))
-    out = consent_plan.corpus_estimate(facts, sites, services, every, "c4", "GPTBot", settings)
+    services = F.array(F.concat(F.lit("kind"), F.col("user_id") % 4))
+    sites = consent.sites(spark, sf_dir).withColumn("services", services)
+    out = consent_plan.corpus_estimate(facts, sites, every, "c4", "GPTBot", settings)
     parts = ("random", "head", "rand_portion", "head_portion", "full_corpus")
     return out.select("service", F.col("period").cast("string").alias("period"), *[F.round(c, 6).alias(c) for c in parts])
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions import text as tx
 from corpusaudit.functions import windows
+from corpusaudit.session import written
 
 MESSAGE_TYPE = "struct<idx:int,from:string,text:string,parent_idx:int,score:double>"
 MESSAGES_TYPE = f"array<{MESSAGE_TYPE}>"
@@ -384,35 +385,37 @@ def tree_rows(
     role: str,
     body: str,
     dataset: str,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Flat rows of message trees, one message per row, with the parent as an index.
 
     A message is kept when it opens its tree or answers an earlier message of it. Messages without
     such a parent are dropped; a reply to a dropped message attaches to the last kept one before
-    it. Trees of one message are dropped.
+    it. Trees of one message are dropped, and rows without a tree.
+
+    The ids are written once and numbered in one ordered pass over range partitions, so a tree may be of any size and depth; parents are
+    then looked up by id. The given rows are read twice: for their ids, and at the end for their texts.
     """
-    links = rows.select(
+    ids = rows.select(
         F.col(tree).alias("dialog"),
         F.col(message).alias("_id"),
         F.col(parent).alias("_parent"),
         F.col(order).alias("_ord"),
     )
+    links = written(ids.filter("dialog IS NOT NULL"), "links")
     opens = links.groupBy("dialog").agg(F.min("_ord").alias("_open"), F.count("*").alias("_size"))
     known = links.select("dialog", F.col("_id").alias("_parent"), F.col("_ord").alias("_at"))
     answers = F.coalesce(F.col("_at") < F.col("_ord"), F.lit(False))
     linked = (
         links.join(opens.filter("_size > 1"), "dialog")
         .join(known, ["dialog", "_parent"], "left")
-        .withColumn("_one", ((F.col("_ord") == F.col("_open")) | answers).cast("int"))
+        .select("dialog", "_id", "_parent", "_ord", "_open", ((F.col("_ord") == F.col("_open")) | answers).cast("int").alias("_one"))
     )
-    indexed = windows.running_total(
-        linked, ["dialog"], ["_ord"], F.floor(F.col("_ord") / block), "_one", "_n"
-    ).withColumn("idx", F.col("_n") - 1)
-    places = indexed.select("dialog", F.col("_id").alias("_parent"), F.col("idx").alias("_pidx"))
-    several = indexed.groupBy("dialog").agg(F.sum("_one").alias("_k")).filter("_k > 1").select("dialog")
+    numbered = windows.prefix_sum(linked, ["dialog"], [F.asc("_ord")], "_one", "_before")
+    numbered = written(numbered.withColumn("idx", F.col("_before") + F.col("_one") - 1).drop("_before"), "numbered")
+    places = numbered.select("dialog", F.col("_id").alias("_parent"), F.col("idx").alias("_pidx"))
+    several = numbered.filter("_one = 1 AND idx > 0").select("dialog").distinct()
     placed = (
-        indexed.filter("_one = 1")
+        numbered.filter("_one = 1")
         .join(places, ["dialog", "_parent"], "left")
         .join(several, "dialog", "left_semi")
         .select(
@@ -500,8 +503,11 @@ def merge_speaker_runs(
     ).select("dialog", "run", "round", "from", "text")
 
 
-def fold_rows(messages: DataFrame, dataset: Column) -> DataFrame:
-    """One row per dialog from one row per message (a dialog must fit into one row)."""
+def fold_rows(messages: DataFrame, dataset: Column | None = None) -> DataFrame:
+    """One row per dialog from one row per message (a dialog must fit into one row).
+
+    Without ``dataset`` the first message's column of that name counts.
+    """
     packed = F.struct(
         F.col("idx").cast("int").alias("idx"),
         F.col("from"),
@@ -511,8 +517,11 @@ def fold_rows(messages: DataFrame, dataset: Column) -> DataFrame:
     )
     return (
         messages.groupBy("dialog")
-        .agg(F.array_sort(F.collect_list(packed)).alias("messages"))
-        .select("dialog", dataset.alias("dataset"), "messages")
+        .agg(
+            F.array_sort(F.collect_list(packed)).alias("messages"),
+            *([F.min_by("dataset", "idx").alias("dataset")] if dataset is None else []),
+        )
+        .select("dialog", "dataset" if dataset is None else dataset.alias("dataset"), "messages")
     )
 
 

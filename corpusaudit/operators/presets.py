@@ -122,10 +122,7 @@ def _open_assistant(rows: DataFrame) -> DataFrame:
     flat = dg.tree_rows(
         rows, "message_tree_id", "message_id", "parent_id", "ord", "role", "text", "lang"
     )
-    roots = flat.filter("idx = 0").select("dialog", "dataset")
-    return dg.fold_rows(flat, F.lit(None).cast("string")).drop("dataset").join(roots, "dialog").select(
-        "dataset", "messages"
-    )
+    return dg.fold_rows(flat).select("dataset", "messages")
 
 
 def _tiny_stories(lines: DataFrame) -> DataFrame:

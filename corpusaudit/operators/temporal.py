@@ -94,9 +94,11 @@ def status_intervals(
     tie: str | None = None,
     default: str = "no_robots",
     labels: Sequence[str] | None = LABELS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, from, until, status): periods ``from <= p < until`` in which a status is the last known.
+    """(keys, carry, from, until, status): periods ``from <= p < until`` in which a status is the last known.
 
+    ``carry`` names columns of ``sites`` to hand on.
     A site's periods start with the first one that begins at or after its start date; before the
     first snapshot the status is the default. Snapshots are reduced to one per period before the
     join with the sites; the window then sees at most one row per period and keeps the join's
@@ -108,7 +110,7 @@ def status_intervals(
     stop = (last + step).cast("date")
     reduced = last_per_period(snapshots, keys, status, ts, unit, tie, labels)
     located = (
-        reduced.join(sites.select("url", "start_date"), "url")
+        reduced.join(sites.select("url", "start_date", *carry), "url")
         .withColumn("_p0", _first_period(F.col("start_date"), first, unit))
         .filter(F.col("_p0") <= last)
     )
@@ -120,7 +122,7 @@ def status_intervals(
     return (
         located.withColumn("_next", following)
         .withColumn("_opens", F.row_number().over(w) == 1)
-        .select(*keys, F.inline(F.when(F.col("_opens"), F.array(lead_in, own)).otherwise(F.array(own))))
+        .select(*keys, *carry, F.inline(F.when(F.col("_opens"), F.array(lead_in, own)).otherwise(F.array(own))))
         .filter(F.col("from") < F.col("until"))
     )
 
@@ -409,25 +411,31 @@ def split_counts(
     return interval_counts(weighted, ["split", "service", "agent", "status"], end, unit, "tokens")
 
 
+def service_list(services: Column) -> Column:
+    """The services of a URL by their column-safe names, and 'all'."""
+    cleaned = F.transform(F.coalesce(services, F.array().cast("array<string>")), lambda s: F.translate(s, "/-", "__"))
+    return F.array_distinct(F.array_append(cleaned, F.lit("all")))
+
+
 def services_with_all(sites: DataFrame, services: str = "services") -> DataFrame:
     """(url, service) for each listed service and once for 'all'."""
-    cleaned = F.transform(F.coalesce(F.col(services), F.array().cast("array<string>")), lambda s: F.translate(s, "/-", "__"))
     return sites.select(
-        *[c for c in sites.columns if c != services],
-        F.explode(F.array_append(cleaned, F.lit("all"))).alias("service"),
+        *[c for c in sites.columns if c != services], F.explode(service_list(F.col(services))).alias("service")
     )
 
 
-def token_fractions(tokens: DataFrame, members: DataFrame, total_tokens: Column) -> DataFrame:
+def token_fractions(urls: DataFrame, total_tokens: Column) -> DataFrame:
     """(service, head_frac, rand_frac): part of the head's and of the remaining tokens in a service.
 
-    For service 'all' the fractions are those of head and rest in the whole corpus.
+    ``urls`` is (url, split, services, tokens), one row per URL. For service 'all' the fractions are those of head and rest in
+    the whole corpus.
     """
-    sums = members.join(tokens.select("url", "tokens"), "url").groupBy("service").agg(
+    tokens = F.coalesce("tokens", F.lit(0))
+    sums = urls.select("split", tokens.alias("tokens"), F.explode(service_list(F.col("services"))).alias("service")).groupBy("service").agg(
         F.sum(F.when(F.col("split") == "head", F.col("tokens")).otherwise(0)).alias("_h"),
         F.sum(F.when(F.col("split") == "rand", F.col("tokens")).otherwise(0)).alias("_r"),
     )
-    head = sums.filter("service = 'all'").select("_h").scalar()
+    head = head_tokens(urls)
     rest = total_tokens - head
     whole = F.col("service") == "all"
     return sums.select(
@@ -437,50 +445,59 @@ def token_fractions(tokens: DataFrame, members: DataFrame, total_tokens: Column)
     )
 
 
+def head_tokens(urls: DataFrame) -> Column:
+    return urls.filter("split = 'head'").agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+
+
 def restriction_estimate(
-    counts: DataFrame,
-    fractions: DataFrame,
-    agent: str,
+    intervals: DataFrame,
+    urls: DataFrame,
+    total_tokens: Column,
     restrictive: Sequence[str],
+    end: str,
     unit: str = "month",
 ) -> DataFrame:
-    """Restricted part of a corpus per (service, period), from head and random counts.
+    """Restricted part of a corpus per (service, period), from status intervals of head and random URLs.
 
-    ``random`` and ``head`` are restricted token fractions of the samples, the portions weigh them
-    by :func:`token_fractions`, and ``full_corpus`` adds the portions.
+    ``intervals`` carry split, services and tokens of ``urls`` (one row per URL). One aggregate over their change points yields the
+    tokens of head and random sample and the restricted part of both; running totals give every period. ``random`` and ``head`` are
+    restricted fractions, the portions weigh them by :func:`token_fractions`, and ``full_corpus`` adds the portions.
+    Periods are those between the first and the last of the random sample; one without URLs has no values.
     """
+    step = F.expr(f"interval 1 {unit}")
+    last = F.date_trunc(unit, F.lit(end)).cast("date")
     restricted = F.col("status").isin(list(restrictive))
-
-    def part(split: str, condition: Column | None = None) -> Column:
-        here = F.col("split") == split
-        return F.sum(F.when(here if condition is None else here & condition, F.col("tokens")).otherwise(0))
-
-    chosen = counts.filter(F.col("agent") == agent)
-    per_period = chosen.groupBy("service", "period").agg(
-        part("rand", restricted).alias("_rr"),
-        part("rand").alias("_ra"),
-        part("head", restricted).alias("_hr"),
-        part("head").alias("_ha"),
-        F.count_if(F.col("split") == "rand").alias("_rn"),
+    change = lambda p, d: F.struct(p.alias("period"), F.lit(d).alias("_d"))
+    changes = intervals.select(
+        "split",
+        restricted.alias("_hit"),
+        F.coalesce("tokens", F.lit(0)).cast("bigint").alias("_w"),
+        F.explode(service_list(F.col("services"))).alias("service"),
+        F.array(change(F.col("from"), 1), change(F.col("until"), -1)).alias("_ends"),
+    ).select("split", "_hit", "_w", "service", F.inline("_ends"))
+
+    def part(split: str, measure: Column, only: Column = F.lit(True)) -> Column:
+        return F.sum(F.when((F.col("split") == split) & only, F.col("_d") * measure).otherwise(0))
+
+    deltas = changes.filter(F.col("period") <= last).groupBy("service", "period").agg(
+        part("rand", F.col("_w"), F.col("_hit")).alias("_rr"),
+        part("rand", F.col("_w")).alias("_ra"),
+        part("head", F.col("_w"), F.col("_hit")).alias("_hr"),
+        part("head", F.col("_w")).alias("_ha"),
+        part("rand", F.lit(1)).alias("_rn"),
     )
-    step = F.expr(f"interval 1 {unit}")
     series = W.partitionBy("service")
-    sampled = F.when(F.col("_rn") > 0, F.col("period"))
-    # periods missing inside the span of the random sample get a row without values
-    upto = F.coalesce(F.lead("period").over(series.orderBy("period")), (F.col("period") + step).cast("date"))
+    so_far = series.orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    until = F.coalesce((F.lead("period").over(series.orderBy("period")) - step).cast("date"), last)
+    totals = deltas.select("service", "period", until.alias("_until"), *[F.sum(c).over(so_far).alias(c) for c in ("_rr", "_ra", "_hr", "_ha", "_rn")])
+    sampled = F.col("_rn") > 0
     spanned = (
-        per_period.withColumn("_a", F.min(sampled).over(series))
-        .withColumn("_b", F.max(sampled).over(series))
-        .withColumn("_upto", upto)
+        totals.withColumn("_a", F.min(F.when(sampled, F.col("period"))).over(series))
+        .withColumn("_b", F.max(F.when(sampled, F.col("_until"))).over(series))
+        .withColumn("period", F.explode(F.sequence("period", "_until", step)))
         .filter(F.col("period").between(F.col("_a"), F.col("_b")))
-        .withColumn("_p", F.explode(F.sequence("period", (F.col("_upto") - step).cast("date"), step)))
     )
-    seen = F.col("_p") == F.col("period")
-    joined = spanned.select(
-        "service",
-        F.col("_p").alias("period"),
-        *[F.when(seen, F.col(c)).alias(c) for c in ("_rr", "_ra", "_hr", "_ha")],
-    ).join(fractions, "service")
+    joined = spanned.join(token_fractions(urls, total_tokens), "service")
     random, head = F.try_divide(F.col("_rr"), F.col("_ra")), F.try_divide(F.col("_hr"), F.col("_ha"))
     return joined.select(
         "service",

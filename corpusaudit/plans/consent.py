@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.functions import urls
 from corpusaudit.operators import domains, robots, temporal
+from corpusaudit.session import written
 
 
 @dataclass(frozen=True)
@@ -54,33 +55,39 @@ def period_table(
     )
 
 
-def head_and_random(
-    tokens: DataFrame, all_tokens: DataFrame, services: DataFrame, corpus: str, k: int
+def corpus_urls(
+    sites: DataFrame, all_tokens: DataFrame, corpus: str, k: int
 ) -> DataFrame:
-    """(url, split, service): the corpus' top URLs, and those in no corpus' top list."""
-    head = domains.top_urls(tokens, k).select("url", F.lit("head").alias("split"))
-    rand = domains.outside_top(all_tokens, k).select("url", F.lit("rand").alias("split"))
-    known = services.select("url", "services")
-    return temporal.services_with_all(head.unionByName(rand).join(known, "url"))
+    """(url, split, tokens, start_date, services): a corpus' top URLs, and those in no corpus' top list.
+
+    ``sites`` is (url, start_date, services). Written once; the estimate reads it for its intervals and for its fractions.
+    """
+    # k URLs per corpus; Spark broadcasts them while they are small
+    tops = domains.top_urls(all_tokens, k, keys=["corpus"]).select("url", "corpus", F.lit(True).alias("_top"))
+    marked = all_tokens.join(tops, ["url", "corpus"], "left").groupBy("url").agg(
+        F.max(F.when(F.col("corpus") == corpus, F.col("tokens"))).alias("tokens"),
+        F.bool_or(F.col("_top").isNotNull() & (F.col("corpus") == corpus)).alias("_head"),
+        F.bool_or(F.col("_top").isNotNull()).alias("_any"),
+    )
+    split = F.when(F.col("_head"), "head").when(~F.col("_any"), "rand")
+    chosen = marked.select("url", split.alias("split"), "tokens").filter("split IS NOT NULL")
+    return written(chosen.join(sites.select("url", "start_date", "services"), "url"), "corpus-urls")
 
 
 def corpus_estimate(
     facts: DataFrame,
     sites: DataFrame,
-    services: DataFrame,
     all_tokens: DataFrame,
     corpus: str,
     agent: str,
     settings: ConsentSettings,
     restrictive: tuple[str, ...] = ("all",),
 ) -> DataFrame:
-    """Restricted part of a corpus per (service, period)."""
-    tokens = domains.corpus_url_tokens(all_tokens, corpus)
-    members = head_and_random(tokens, all_tokens, services, corpus, settings.head_size)
-    wanted = facts.filter(F.col("agent") == agent).join(members.select("url").distinct(), "url", "left_semi")
+    """Restricted part of a corpus per (service, period): facts are read once, for the URLs of head and random sample only."""
+    members = corpus_urls(sites, all_tokens, corpus, settings.head_size)
+    wanted = facts.filter(F.col("agent") == agent)
     intervals = temporal.status_intervals(
-        wanted, sites, settings.start, settings.end, settings.unit, ts="snap_date"
+        wanted, members, settings.start, settings.end, settings.unit, ts="snap_date", carry=("split", "services", "tokens")
     )
-    counts = temporal.split_counts(intervals, members, tokens, settings.end, settings.unit)
-    fractions = temporal.token_fractions(tokens, members, F.lit(dims.CORPUS_TOKENS[corpus]))
-    return temporal.restriction_estimate(counts, fractions, agent, list(restrictive), settings.unit)
+    total = F.lit(dims.CORPUS_TOKENS[corpus])
+    return temporal.restriction_estimate(intervals, members, total, list(restrictive), settings.end, settings.unit)

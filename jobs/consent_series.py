@@ -28,7 +28,7 @@ def main(snapshots, sites, tokens, out, start, end):
     for corpus in columns:
         weights = domains.corpus_url_tokens(every, corpus)
         writers.write_parquet(consent.period_table(facts, site_table, settings, weights), f"{out}/periods/{corpus}")
-        estimate = consent.corpus_estimate(facts, site_table, site_table, every, corpus, dims.ALL_AGENTS, settings)
+        estimate = consent.corpus_estimate(facts, site_table, every, corpus, dims.ALL_AGENTS, settings)
         writers.write_csv(estimate, f"{out}/estimates/{corpus}")
 
 
