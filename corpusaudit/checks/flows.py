@@ -362,10 +362,14 @@ def nested_statistics(spark, sf_dir):
 
 
 @query(
-    f"""WITH {terms.VERDICTS}, {consent.SNAPSHOTS}, v AS (SELECT url, count(*) AS n FROM merged GROUP BY url),
-    r AS (SELECT url, count(*) AS n FROM (SELECT DISTINCT url, ts::DATE, agent FROM snaps) GROUP BY url)
-    SELECT s.url, r.n AS robots, coalesce(v.n, 0) AS terms, 'kind' || (user_id % 4) AS purpose
-    FROM sites s LEFT JOIN v ON s.url = v.url LEFT JOIN r ON s.url = r.url"""
+    f"""WITH {terms.VERDICTS}, {consent.SNAPSHOTS},
+    daily AS (SELECT url, ts::DATE AS date, agent, arg_max(status, (ts, event_id)) AS status FROM snaps GROUP BY ALL),
+    ranked AS (SELECT url, tokens, row_number() OVER (ORDER BY tokens DESC, url) AS rank FROM tokens)
+    SELECT url, 'purposes' AS part, 'kind' || (user_id % 4) AS entry FROM sites
+    UNION ALL SELECT url, 'modalities', 'Text' FROM sites
+    UNION ALL SELECT url, 'ranks', 'c4|' || rank || '|' || tokens FROM ranked
+    UNION ALL SELECT url, 'robots', date || '|' || agent || '|' || status FROM daily
+    UNION ALL SELECT url, 'terms', date || '|' || verdict FROM merged"""
 )
 def url_profiles(spark, sf_dir):
     from corpusaudit.operators import tos
@@ -383,15 +387,19 @@ def url_profiles(spark, sf_dir):
         sites.select("url", F.array(F.concat(F.lit("kind"), F.col("user_id") % 4)).alias("purposes")),
         sites.select("url", F.array(F.lit("Text")).alias("modalities")),
         daily,
-        tos.time_verdicts(terms.verdicts(spark, sf_dir)),
-    )
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    return profiles.select(
-        "url",
-        size("robots").alias("robots"),
-        F.greatest(size("terms"), F.lit(0)).alias("terms"),
-        F.get("purposes", F.lit(0)).alias("purpose"),
+        tos.time_verdicts(terms.verdicts(spark, sf_dir, terms.WITH_TERMS)),
     )
+    entry = lambda part, text: F.struct(F.lit(part).alias("part"), text.alias("entry"))
+    joined = lambda part, *cols: F.transform(part, lambda x: entry(part, F.concat_ws("|", *[x[c].cast("string") for c in cols])))
+    lists = [
+        F.transform("purposes", lambda x: entry("purposes", x)),
+        F.transform("modalities", lambda x: entry("modalities", x)),
+        joined("ranks", "corpus", "rank", "tokens"),
+        joined("robots", "date", "agent", "status"),
+        joined("terms", "date", "verdict"),
+    ]
+    none = F.slice(F.array(entry("", F.lit(""))), 1, 0)
+    return profiles.select("url", F.inline(F.concat(*[F.coalesce(part, none) for part in lists])))
 
 
 @query(

@@ -124,19 +124,102 @@ def named_tables(spark, sf_dir):
     return read.select("o_orderkey", "priority", "kind")
 
 
-def encoded_texts(spark, docs):
-    """Whole texts in a one-byte character set, written as base64 lines, read and decoded."""
-    folder = shared_folder(spark, "encoded")
-    latin = F.base64(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
-    writers.write_json_lines(docs.select("doc_id", latin.alias("bytes")), folder)
-    read = readers.read_json_lines(spark, folder, "doc_id bigint, bytes string")
-    return read.select("doc_id", readers.decoded(F.unbase64("bytes"), "ISO-8859-1").alias("text"))
+#: Character sets by the last digit of the id; the third has characters of its own in every text.
+CHARSETS = ("UTF-8", "ISO-8859-1", "windows-1252", "UTF-16LE", "UTF-16BE")
+
+
+def in_charset(text, number):
+    """Text that a character set can hold."""
+    western = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
+    return F.when(number == 1, western).when(number == 2, F.concat(F.lit("€ „"), western)).otherwise(text)
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 200), '[^\\x00-\\xFF]', '?', 'g') AS text FROM documents")
+@query(
+    r"""SELECT doc_id, length(t)::BIGINT AS size, sha256(t) AS digest FROM (
+    SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN regexp_replace(text, '[^\x00-\xFF]', '?', 'g') WHEN 2 THEN '€ „' || regexp_replace(text, '[^\x00-\xFF]', '?', 'g')
+        ELSE text END AS t FROM documents)""".replace("\\\\", "\\")
+)
 def encoded_files(spark, sf_dir):
-    """Records in a one-byte character set, kept as base64 lines, decoded to text; the result shows the start of each."""
-    return encoded_texts(spark, table(spark, sf_dir, "documents")).select("doc_id", F.substring("text", 1, 200).alias("text"))
+    """Whole texts in many small files of five character sets, read as bytes, recognised and decoded."""
+    folder = shared_folder(spark, "encoded")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for number, charset in enumerate(CHARSETS):
+        part = docs.filter(F.col("doc_id") % 5 == number)
+        text = in_charset(F.col("text"), F.lit(number)).alias("text")
+        if charset == "windows-1252":
+            # the sink has no such set: its characters at 0x80 to 0x9F go to those places first
+            text, charset = F.translate(text, readers.CP1252, readers.C1).alias("text"), "ISO-8859-1"
+        lines = part.select("doc_id", text).write.option("encoding", charset).option("lineSep", "\n").option("maxRecordsPerFile", 20)
+        lines.json(f"{folder}/{number}")
+    read = readers.read_encoded(spark, f"{folder}/*/*.json")
+    rows = read.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    found = rows.select(F.from_json("line", "doc_id bigint, text string").alias("r")).select("r.*")
+    return found.select("doc_id", F.length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("digest"))
+
+
+@query(
+    """SELECT page_id, (TIMESTAMP '2020-01-01 00:00:00' + INTERVAL 1 MINUTE * page_id)::VARCHAR AS ts, sha256(html) AS digest FROM pages
+    WHERE page_id % 3 <> 0"""
+)
+def snapshot_tree(spark, sf_dir):
+    """Pages as one file per URL key and time, in a tree; the files of the wanted months are read back whole."""
+    folder = shared_folder(spark, "snapshots")
+    at = F.timestamp_add("MINUTE", F.col("page_id"), F.lit("2020-01-01").cast("timestamp"))
+    # a third of the snapshots is of another year, and not opened
+    at = F.when(F.col("page_id") % 3 == 0, F.timestamp_add("YEAR", F.lit(-2), at)).otherwise(at)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.date_format(at, "yyyyMMddHHmmss").alias("time"), "html")
+    pages.withColumn("key", F.concat(F.lit("site_"), "page_id")).select("key", "time", "html").write.partitionBy("key", "time").text(folder)
+    read = readers.read_snapshots(spark, folder, "20200101000000", pattern=r"/key=([^/]+)/time=(\d{14})/part-[^/]*$")
+    page = F.replace("url_key", F.lit("site_"), F.lit("")).cast("bigint").alias("page_id")
+    # the text sink ends every record with a line break
+    html = F.substring("html", F.lit(1), F.length("html") - 1)
+    return read.select(page, F.col("ts").cast("string").alias("ts"), F.sha2(html, 256).alias("digest"))
+
+
+@query(
+    """SELECT n_name AS nation, r_name AS region, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers,
+    (SELECT string_agg(s_name, '|' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey) AS names
+    FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def json_documents(spark, sf_dir):
+    """One JSON document of many lines per nation, half of them compressed, read back with its nested records."""
+    folder = shared_folder(spark, "documents")
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("balance")))).alias("suppliers")
+    )
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = nations.join(suppliers, "n_nationkey", "left")
+    body = F.struct(F.col("n_name").alias("nation"), F.struct(F.col("r_name").alias("region")).alias("place"), "suppliers")
+    rows = nations.select("n_nationkey", F.to_json(body, {"pretty": "true"}).alias("value"))
+    for rest, codec in ((0, "none"), (1, "gzip")):
+        part = rows.filter(F.col("n_nationkey") % 2 == rest).select("value")
+        part.write.option("maxRecordsPerFile", 1).option("compression", codec).text(f"{folder}/{codec}")
+    schema = "nation string, place struct<region: string>, suppliers array<struct<name: string, balance: double>>"
+    read = readers.read_json(spark, f"{folder}/*/*", schema)
+    names = F.col("suppliers.name")
+    return read.select(
+        "nation", "place.region", F.coalesce(F.size("suppliers"), F.lit(0)).cast("bigint").alias("suppliers"), F.array_join(names, "|").alias("names")
+    )
+
+
+@query("SELECT DISTINCT 'set-' || source AS uid, source AS dataset_name FROM documents")
+def summary_documents(spark, sf_dir):
+    """Summaries in the one-document-per-file layout, a template among them."""
+    folder = shared_folder(spark, "summaries")
+    rows = table(spark, sf_dir, "documents").select("source").distinct()
+    records = summary_records(rows, F.concat(F.lit("set-"), "source"), **{"Dataset Name": F.col("source")})
+    records.write.option("maxRecordsPerFile", 1).text(f"{folder}/sets")
+    read = readers.read_summaries(spark, f"{folder}/sets", pattern="*.txt")
+    return readers.catalog_columns(read).select("uid", "dataset_name")
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url <> ''")
+def url_list_of_table(spark, sf_dir):
+    """URLs from the first column of a CSV file, quoted where they hold commas or quotes."""
+    folder = shared_folder(spark, "urls") + ".csv"
+    rows = table(spark, sf_dir, "pages").groupBy("url").agg(F.count("*").alias("pages"))
+    writers.write_csv(rows, folder)
+    return readers.read_url_list(spark, folder)
 
 
 @query("SELECT o_orderkey, true AS small FROM orders")

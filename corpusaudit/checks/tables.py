@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.checks import catalogs, consent
 from corpusaudit.checks.registry import query, table
+from corpusaudit.operators import quality
 from corpusaudit.operators import reports as rp
 
 
@@ -508,10 +509,78 @@ def spelling_variants(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT o_orderpriority AS name, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)
-    SELECT name, arg_max(n, y) AS last_value FROM s GROUP BY name"""
+    SELECT name, arg_max(n, y) AS last_value, row_number() OVER (ORDER BY arg_max(n, y) DESC, name) AS place FROM s GROUP BY name"""
 )
 def last_point_order(spark, sf_dir):
+    """Names in the order of their last point; the place is taken from the order of the rows."""
     series = table(spark, sf_dir, "orders").groupBy(
         F.col("o_orderpriority").alias("name"), F.year("o_orderdate").alias("y")
     ).agg(F.count("*").alias("n"))
-    return rp.by_last_point(series, "name", "y", "n")
+    ordered = rp.by_last_point(series, "name", "y", "n")
+    # five names in one sorted partition: their numbers follow its order
+    return ordered.coalesce(1).select("name", "last_value", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+EXPANDED = """
+raw AS (SELECT doc_id,
+    CASE doc_id % 6 WHEN 0 THEN '[''News, press (all)'', "Editor''s pick"]' WHEN 1 THEN lang WHEN 2 THEN '[]' WHEN 3 THEN NULL
+      WHEN 4 THEN ' [ ''x y'' , ''z'' ] ' ELSE 'Science (see also: maths) and art' END AS a,
+    CASE doc_id % 5 WHEN 0 THEN '["chat", "search (web)", "chat"]' WHEN 1 THEN source ELSE 'chat' END AS b,
+    CASE doc_id % 4 WHEN 0 THEN '[EU, UK, US]' ELSE 'EU' END AS c FROM documents),
+items AS (SELECT doc_id, a, b, c,
+    CASE doc_id % 6 WHEN 0 THEN ['News, press', 'Editor''s pick'] WHEN 1 THEN [a] WHEN 2 THEN [] WHEN 3 THEN [NULL]
+      WHEN 4 THEN ['x y', 'z'] ELSE ['Scienceand art'] END AS la,
+    CASE doc_id % 5 WHEN 0 THEN ['chat', 'search', 'chat'] ELSE [b] END AS lb,
+    CASE doc_id % 4 WHEN 0 THEN ['EU', 'UK', 'US'] ELSE ['EU'] END AS lc FROM raw),
+one AS (SELECT doc_id, unnest(la) AS a, lb, lc FROM items),
+two AS (SELECT doc_id, a, unnest(lb) AS b, lc FROM one),
+expanded AS (SELECT doc_id, a, b, unnest(lc) AS c FROM two
+    UNION ALL SELECT doc_id, a, b, c FROM raw WHERE doc_id % 6 NOT IN (0, 2, 4) AND doc_id % 5 <> 0)"""
+
+
+def listed(spark, sf_dir):
+    """Documents with three columns of list literals, plain labels, empty lists and NULLs."""
+    d = F.col("doc_id")
+    a = (
+        F.when(d % 6 == 0, """['News, press (all)', "Editor's pick"]""").when(d % 6 == 1, F.col("lang")).when(d % 6 == 2, "[]")
+        .when(d % 6 == 4, " [ 'x y' , 'z' ] ").when(d % 6 == 5, "Science (see also: maths) and art")
+    )
+    b = F.when(d % 5 == 0, '["chat", "search (web)", "chat"]').when(d % 5 == 1, F.col("source")).otherwise("chat")
+    c = F.when(d % 4 == 0, "[EU, UK, US]").otherwise("EU")
+    return table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+@query(f"WITH {EXPANDED} SELECT doc_id, a, b, c FROM expanded")
+def expanded_lists(spark, sf_dir):
+    """Every combination of three list columns; rows without a list in the first two come twice, as published."""
+    return rp.expand_lists(listed(spark, sf_dir), ["a", "b", "c"], plain_again=["a", "b"])
+
+
+@query(
+    f"""WITH {EXPANDED} SELECT 'a' AS "column", a AS item, count(*) AS count FROM expanded GROUP BY a
+    UNION ALL SELECT 'b', b, count(*) FROM expanded GROUP BY b UNION ALL SELECT 'c', c, count(*) FROM expanded GROUP BY c"""
+)
+def expanded_list_counts(spark, sf_dir):
+    """The counts of the expanded rows, without expanding them."""
+    return rp.expanded_counts(listed(spark, sf_dir), ["a", "b", "c"], plain_again=["a", "b"])
+
+
+@query(
+    """SELECT 'unknown lang' AS rule, doc_id::VARCHAR AS key, lang AS detail FROM documents WHERE lang NOT IN ('en', 'de')
+    UNION ALL SELECT 'unknown tags', doc_id::VARCHAR, lang FROM documents WHERE lang NOT IN ('en', 'de')
+    UNION ALL SELECT 'extra column', doc_id::VARCHAR, 'note' FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT 'extra column', doc_id::VARCHAR, 'odd.name' FROM documents"""
+)
+def column_rules(spark, sf_dir):
+    """Values outside a dictionary, in a plain and in a list column, and values in columns the layout does not have."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.array("lang", F.lit("en")).alias("tags"),
+        F.when(F.col("doc_id") % 3 == 0, "x").alias("note"), F.lit(1).alias("odd.name"), F.lit(None).cast("string").alias("empty"),
+    )
+    known = dims.literal_table(spark, [("en",), ("de",), (None,)], "member string")
+    found = [
+        quality.allowed_values(docs, "doc_id", "lang", known),
+        quality.allowed_values(docs, "doc_id", "tags", known),
+        quality.extra_columns(docs, "doc_id", ["lang", "tags"]),
+    ]
+    return quality.union_all(found).select("rule", F.col("doc_id").cast("string").alias("key"), "detail")

@@ -12,15 +12,19 @@ from corpusaudit.functions import urls
 from corpusaudit.operators import sites as st
 from corpusaudit.operators import tos
 
-# Three policies per snapshot; codes by remainder, some of them missing.
-VERDICTS = """
+# Three policies per snapshot; codes by remainder, some of them missing. Some sites have no terms pages.
+WITH_TERMS = "user_id % 9 <> 4"
+
+
+def _verdicts_sql(chosen: str) -> str:
+    return f"""
 verdicts AS (
   SELECT 'site' || user_id AS url, ts::DATE AS date, 'page' || (event_id % 3) AS subpage, policy,
     CASE policy WHEN 'ai_scraping' THEN 1 + (event_id % 5)
          WHEN 'license' THEN CASE WHEN event_id % 7 = 0 THEN NULL ELSE 1 + (event_id // 5) % 3 END
          ELSE CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 + (event_id // 7) % 4 END END AS verdict
   FROM events CROSS JOIN (VALUES ('ai_scraping'), ('license'), ('compete')) p(policy)
-  WHERE user_id % 9 <> 4 AND NOT (policy = 'license' AND event_id % 13 = 0)
+  WHERE {chosen} AND NOT (policy = 'license' AND event_id % 13 = 0)
 ),
 dates AS (
   SELECT url, date,
@@ -44,7 +48,10 @@ merged AS (
 )"""
 
 
-def verdicts(spark, sf_dir):
+ALL_VERDICTS, VERDICTS = _verdicts_sql("true"), _verdicts_sql(WITH_TERMS)
+
+
+def verdicts(spark, sf_dir, chosen="true"):
     e = F.col("event_id")
     entries = F.array(
         F.struct(F.lit("ai_scraping").alias("policy"), (1 + e % 5).alias("verdict")),
@@ -59,7 +66,7 @@ def verdicts(spark, sf_dir):
     )
     return (
         table(spark, sf_dir, "events")
-        .filter("user_id % 9 <> 4")
+        .filter(chosen)
         .select(
             F.concat(F.lit("site"), "user_id").alias("url"),
             F.to_date("ts").alias("date"),
@@ -71,7 +78,7 @@ def verdicts(spark, sf_dir):
     )
 
 
-@query(f"WITH {VERDICTS} SELECT url, date::VARCHAR AS date, verdict FROM merged")
+@query(f"WITH {ALL_VERDICTS} SELECT url, date::VARCHAR AS date, verdict FROM merged")
 def tos_verdict_merge(spark, sf_dir):
     return consent.text_period(tos.time_verdicts(verdicts(spark, sf_dir)), "date")
 
@@ -85,7 +92,7 @@ everyone AS (
 
 def all_verdicts(spark, sf_dir):
     sites = consent.sites(spark, sf_dir)
-    return tos.add_sites_without_terms(tos.time_verdicts(verdicts(spark, sf_dir)), sites, sites)
+    return tos.add_sites_without_terms(tos.time_verdicts(verdicts(spark, sf_dir, WITH_TERMS)), sites, sites)
 
 
 @query(f"WITH {NO_TERMS} SELECT url, date::VARCHAR AS date, verdict FROM everyone")
@@ -125,7 +132,7 @@ def contingency_pct(spark, sf_dir):
     snaps = consent.snapshots(spark, sf_dir)
     latest = temporal.latest_statuses(snaps, ["url"], "ts", "status", "event_id")
     joined = tos.robots_and_terms(
-        consent.sites(spark, sf_dir), latest, tos.latest_verdicts(tos.time_verdicts(verdicts(spark, sf_dir)))
+        consent.sites(spark, sf_dir), latest, tos.latest_verdicts(tos.time_verdicts(verdicts(spark, sf_dir, WITH_TERMS)))
     ).join(consent.tokens(spark, sf_dir), "url", "left")
     return reports.contingency(joined, "robots", "terms", "tokens")
 

@@ -55,6 +55,11 @@ def drop_parentheses(col: Column) -> Column:
     return F.regexp_replace(col, r"\s*\([^)]*\)", "")
 
 
+def without_parentheses(col: Column) -> Column:
+    """Remove (remarks) with the white space around them, and white space at the ends."""
+    return strip(F.regexp_replace(col, r"\s*\(.*?\)\s*", ""))
+
+
 def first_line(col: Column) -> Column:
     return F.get(F.split(col, "\n"), F.lit(0))
 
@@ -91,16 +96,27 @@ def lookup(col: Column, mapping: Mapping[str, str], default: Column | None = Non
     return out.otherwise(fallback)
 
 
+def is_list_literal(col: Column) -> Column:
+    return strip(col).rlike(r"(?s)^\[.*\]$")
+
+
 def list_literal(col: Column) -> Column:
-    """``['a', 'b']`` written as text becomes an array; any other text becomes a one-item array."""
-    inner = F.regexp_replace(strip(col), r"^\[|\]$", "")
-    items = F.transform(
-        F.split(inner, ","), lambda x: F.regexp_replace(strip(x), "^['\"]|['\"]$", "")
-    )
-    return F.when(strip(col).rlike(r"^\[.*\]$"), F.filter(items, lambda x: x != "")).otherwise(
-        F.array(col)
+    """``['a', 'b']`` written as text becomes an array; any other text becomes a one-item array.
+
+    Items may be in single or double quotes, which then may hold commas and escaped quotes, or bare. An empty list has no items; a NULL
+    becomes an array of one NULL.
+    """
+    found = F.regexp_extract_all(
+        F.regexp_replace(strip(col), r"^\[|\]$", ""), F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,'"\s][^,]*"""), F.lit(0)
     )
 
+    def unquoted(item: Column) -> Column:
+        bare = F.regexp_replace(item, r"""^(['"])(.*)\1$""", "$2")
+        return F.regexp_replace(bare, r"""\\(['"\\])""", "$1")
+
+    items = F.filter(F.transform(found, lambda x: unquoted(strip(x))), lambda x: x != "")
+    return F.when(is_list_literal(col), items).otherwise(F.array(col))
+
 
 def split_label(col: Column, index: int, sep: str = " | ") -> Column:
     """One field of a ``a | b`` label."""

@@ -139,8 +139,11 @@ def allowed_values(
     return _found(unknown.distinct(), f"unknown {column}", key, F.col("_value"))
 
 
-def extra_columns(df: DataFrame, expected: Sequence[str]) -> list[str]:
-    return sorted(set(df.columns) - set(expected))
+def extra_columns(df: DataFrame, key: str, expected: Sequence[str]) -> DataFrame:
+    """Rows with a value in a column that the layout does not have, one violation per such column."""
+    extra = sorted(set(df.columns) - set(expected) - {key})
+    hits = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in extra]).cast("array<string>"))
+    return df.select(F.lit("extra column").alias("rule"), F.col(key), F.explode(hits).alias("detail"))
 
 
 def unused_filter_ids(ids: DataFrame, dialogs: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ keys would appear they are dropped, as in the tables these reports reproduce.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusaudit.functions import text as tx
 from corpusaudit.functions import windows
 from corpusaudit.session import ensure_checkpoint_dir
 
@@ -175,6 +177,48 @@ def extremes(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column],
     return first.unionByName(last).distinct()
 
 
+def expand_lists(df: DataFrame, columns: Sequence[str], plain_again: Sequence[str] = ()) -> DataFrame:
+    """Every combination of the items of several list-literal columns, one row each, without remarks in parentheses.
+
+    Any text that is no list is its own item; a NULL stays one NULL; a row with an empty list has no combination. The lists are expanded
+    one after the other inside the row, so nothing is shuffled. Rows of which no column of ``plain_again`` is a list come once more, as they
+    are (the published table counts them twice).
+    """
+    out = df
+    for c in columns:
+        items = F.transform(tx.list_literal(F.col(c)), tx.without_parentheses)
+        out = out.withColumn(c, F.explode(items))
+    if not plain_again:
+        return out
+    listed = [F.coalesce(tx.is_list_literal(F.col(c)), F.lit(False)) for c in plain_again]
+    return out.unionByName(df.filter(~F.greatest(*listed, F.lit(False))))
+
+
+def expanded_counts(df: DataFrame, columns: Sequence[str], plain_again: Sequence[str] = ()) -> DataFrame:
+    """(column, item, count): how often each item stands in the rows of :func:`expand_lists`.
+
+    The combinations are not built: an item counts as often as the other lists of its row have combinations. One scan, one aggregate.
+    """
+    lists = {c: F.transform(tx.list_literal(F.col(c)), tx.without_parentheses) for c in columns}
+    rows = df.select(*[v.alias(c) for c, v in lists.items()], F.struct(*[F.col(c) for c in columns]).alias("_raw"))
+    size = {c: F.size(c).cast("bigint") for c in columns}
+
+    def entry(name: str, item: Column, n: Column) -> Column:
+        return F.struct(F.lit(name).alias("column"), item.alias("item"), n.alias("n"))
+
+    def weighted(name: str) -> Column:
+        others = reduce(lambda a, b: a * b, [size[o] for o in columns if o != name], F.lit(1).cast("bigint"))
+        return F.transform(name, lambda x: entry(name, x, others))
+
+    entries = [weighted(c) for c in columns]
+    if plain_again:
+        plain = ~F.greatest(*[F.coalesce(tx.is_list_literal(F.col(f"_raw.{c}")), F.lit(False)) for c in plain_again], F.lit(False))
+        again = F.array(*[entry(c, F.col(f"_raw.{c}"), F.lit(1).cast("bigint")) for c in columns])
+        entries.append(F.when(plain, again).otherwise(F.slice(again, 1, 0)))
+    counted = rows.select(F.inline(F.concat(*entries))).filter("n > 0")
+    return counted.groupBy("column", "item").agg(F.sum("n").alias("count"))
+
+
 def in_order(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
     """Rows sorted by a fixed order of labels, unknown ones last."""
     position = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(column))
@@ -354,12 +398,10 @@ def flag_requirements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def key_statistics(df: DataFrame, lists: Sequence[str], approximate: bool = False) -> DataFrame:
+def key_statistics(df: DataFrame, lists: Sequence[str]) -> DataFrame:
     """(field, distinct values) over exploded list columns."""
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("items")) for c in lists])
     rows = df.select(F.inline(fields)).select("field", F.explode("items").alias("item"))
-    if approximate:
-        return rows.groupBy("field").agg(F.approx_count_distinct("item").alias("values"))
     return rows.distinct().groupBy("field").agg(F.count("*").alias("values"))
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
 from corpusaudit.functions import text as tx
+from corpusaudit.session import written
 
 # Line kinds of the format.
 AGENT_LINE = "(?i)^user-agent:"
@@ -303,9 +303,9 @@ def agent_statistics(judged: DataFrame) -> DataFrame:
             *[F.count_if(F.col("_star") == s).alias(f"star_{s}") for s in statuses],
         )
     )
-    # the row of * holds the totals over all files; a window over the rows of agents hands it on, so files are parsed once
-    every = W.partitionBy(F.lit(0))
-    totals = F.max(F.when(F.col("agent") == "*", F.struct(*[F.col(f"own_{s}") for s in statuses]))).over(every)
+    # the row of * holds the totals over all files; agents may be any number of strings, so it is read back as one value
+    counts = written(counts, "agents")
+    totals = counts.filter("agent = '*'").select(F.struct(*[F.col(f"own_{s}") for s in statuses])).scalar()
     counts = counts.withColumn("_totals", totals)
     whole = F.col("agent").isin("*", dims.ALL_AGENTS)
     return counts.select(
@@ -333,10 +333,12 @@ def statistics_percent(stats: DataFrame) -> DataFrame:
 
 
 def top_agents(stats: DataFrame, n: int, always: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` most observed agents together with some that are always listed."""
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("observed"), "agent"))
-    ranked = stats.withColumn("_place", place)
-    return ranked.filter((F.col("_place") <= n) | F.col("agent").isin(list(always))).drop("_place")
+    """The ``n`` most observed agents together with some that are always listed.
+
+    Every task keeps its ``n`` best, and only those meet.
+    """
+    top = stats.orderBy(F.desc("observed"), "agent").limit(n)
+    return top.unionByName(stats.filter(F.col("agent").isin(list(always)))).distinct()
 
 
 def first_spellings(snapshots: DataFrame, keys: Sequence[str], body: str, grouping: str = "leading") -> DataFrame:

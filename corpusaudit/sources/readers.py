@@ -1,12 +1,9 @@
-"""Readers: catalogs, dictionaries, JSON, CSV, text lists, zipped and snapshot files."""
+"""Readers: catalogs, dictionaries, JSON, CSV, text lists, encoded and snapshot files."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +11,6 @@ from pyspark.sql import types as T
 from corpusaudit import schemas
 from corpusaudit.functions import dates
 from corpusaudit.functions import text as tx
-from corpusaudit.session import ship_with_tasks
-
-ship_with_tasks(__name__)
 
 # Files of a catalog folder that describe the layout, not datasets.
 TEMPLATE_FILES = "_template"
@@ -149,68 +143,75 @@ def read_named_tables(
     )
 
 
-def read_zipped_json(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Rows of the JSON and JSON-lines members of zip archives, plus ``member``.
+# What windows-1252 has at 0x80 to 0x9F; the five unused places stay as they are.
+CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+C1 = "".join(map(chr, range(0x80, 0xA0)))
+
+#: Bytes that are looked at for a pattern of zeros.
+LOOK = 200
+
 
-    An archive is unpacked member by member inside one task and handed on in small batches.
+def charset_of(content: Column) -> Column:
+    """The character set of a text's bytes: by its byte-order mark, by zeros at every other place, or by being valid UTF-8.
+
+    Anything else has one byte per character: windows-1252, which is ISO-8859-1 where no bytes 0x80 to 0x9F occur. No bytes are UTF-8.
     """
-    raw = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def lines(archive: zipfile.ZipFile, name: str) -> Iterator[str]:
-        with archive.open(name) as handle:
-            if name.endswith(".jsonl"):
-                yield from (line for line in io.TextIOWrapper(handle, "utf-8") if line.strip())
-            else:
-                yield handle.read().decode("utf-8")
-
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if not name.endswith((".json", ".jsonl")):
-                            continue
-                        batch: list[str] = []
-                        for line in lines(archive, name):
-                            batch.append(line)
-                            if len(batch) == 1000:
-                                yield pd.DataFrame({"member": name, "json": batch})
-                                batch = []
-                        if batch:
-                            yield pd.DataFrame({"member": name, "json": batch})
-
-    texts = raw.mapInPandas(members, "member string, json string")
-    return texts.select("member", F.from_json("json", schema).alias("_r")).select("member", "_r.*")
-
-
-def decoded(content: Column, charset: str) -> Column:
-    """Text of bytes in a given character set."""
-    return F.decode(content, charset)
-
-
-def read_encoded(spark: SparkSession, glob: str, charset: str = "ISO-8859-1") -> DataFrame:
-    """(path, text) of files in a given character set."""
+    marked = lambda *bom: F.startswith(content, F.lit(bytes(bom)))
+    start = F.hex(F.substring(content, 1, LOOK))
+    zeros = lambda first: F.size(F.filter(F.regexp_extract_all(start, F.lit("...."), F.lit(0)), lambda p: F.substring(p, first, 2) == "00"))
+    pairs = F.length(start) / 4
     return (
-        spark.read.format("binaryFile")
-        .load(glob)
-        .select("path", decoded(F.col("content"), charset).alias("text"))
+        F.when(marked(0xEF, 0xBB, 0xBF), "UTF-8")
+        .when(marked(0xFF, 0xFE) | marked(0xFE, 0xFF), "UTF-16")
+        .when((zeros(3) > 0.5 * pairs) & (zeros(1) == 0), "UTF-16LE")
+        .when((zeros(1) > 0.5 * pairs) & (zeros(3) == 0), "UTF-16BE")
+        .when(F.is_valid_utf8(content.cast("string")), "UTF-8")
+        .otherwise("windows-1252")
     )
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """(url_key, ts, html) from ``<url key>/<yyyyMMddHHmmss>.html`` trees."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.html")
-        .load(folder)
-    )
-    parts = F.split("path", "/")
-    return files.select(
-        F.element_at(parts, -2).alias("url_key"),
-        dates.snapshot_time(F.element_at(parts, -1)).alias("ts"),
-        F.decode("content", "UTF-8").alias("html"),
-    )
+def decoded(content: Column, charset: Column | str) -> Column:
+    """Text of bytes in a character set, without a byte-order mark."""
+    charset = F.lit(charset) if isinstance(charset, str) else charset
+    wide = [F.when(charset == c, F.decode(content, c)) for c in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "ISO-8859-1")]
+    western = F.translate(F.decode(content, "ISO-8859-1"), C1, CP1252)
+    return F.regexp_replace(F.coalesce(*wide, F.when(charset == "windows-1252", western)), "^\ufeff", "")
+
+
+def read_encoded(spark: SparkSession, glob: str | Sequence[str], charset: str | None = None) -> DataFrame:
+    """(path, charset, text) of files of any character set, or of a given one.
+
+    Small files share a task up to the size of a split; empty files have no row.
+    """
+    content = F.col("content")
+    named = charset_of(content) if charset is None else F.lit(charset)
+    files = spark.read.format("binaryFile").load(glob).select("path", "content", named.alias("charset"))
+    return files.select("path", "charset", decoded(content, F.col("charset")).alias("text"))
+
+
+#: (folder of the URL)/(14 digits of the time).html
+SNAPSHOT_TREE = r"/([^/]+)/(\d{14})[^/]*\.html$"
+
+
+def read_snapshots(
+    spark: SparkSession, folder: str, since: str | None = None, until: str | None = None, pattern: str = SNAPSHOT_TREE
+) -> DataFrame:
+    """(url_key, ts, charset, html) from trees of snapshot files whose paths match ``pattern`` with key and time.
+
+    ``since`` and ``until`` bound the time (14 digits, ``until`` exclusive). They and the pattern apply to the path, so the files of other
+    paths are not opened; those that are share tasks by their size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    path = F.col("_metadata.file_path")
+    stamp = F.regexp_extract(path, pattern, 2)
+    files = files.filter(path.rlike(pattern))
+    if since:
+        files = files.filter(stamp >= since)
+    if until:
+        files = files.filter(stamp < until)
+    key = F.url_decode(F.replace(F.regexp_extract(path, pattern, 1), F.lit("+"), F.lit("%2B")))
+    found = files.select(key.alias("url_key"), dates.snapshot_time(stamp).alias("ts"), "content", charset_of(F.col("content")).alias("charset"))
+    return found.select("url_key", "ts", "charset", decoded(F.col("content"), F.col("charset")).alias("html"))
 
 
 def read_url_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,17 +110,26 @@ def statistics_per_url(statuses: DataFrame) -> DataFrame:
 def url_profiles(
     urls: DataFrame, ranks: DataFrame, purposes: DataFrame, modalities: DataFrame, robots: DataFrame, terms: DataFrame
 ) -> DataFrame:
-    """Nested profile per URL: ranks by corpus, purposes, modalities, robots and terms history.
+    """Nested profile per URL of ``urls``: ranks by corpus, purposes, modalities, robots and terms history.
 
-    ``purposes`` and ``modalities`` have one row per URL; ``ranks`` has one per corpus; ``robots`` and
-    ``terms`` have one per date.
+    ``purposes`` and ``modalities`` have one row per URL; ``ranks`` has one per corpus; ``robots`` and ``terms`` have one per date. The
+    tables become one, tagged by the column that is filled, and meet in one aggregate: one shuffle by URL, sorting
+    inside a URL only. Parts a URL has no rows of are NULL.
     """
-    rank_list = ranks.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("corpus", "rank", "tokens"))).alias("ranks"))
-    robots_list = robots.groupBy("url").agg(
-        F.array_sort(F.collect_list(F.struct("date", "agent", "status"))).alias("robots")
+    entries = {
+        "ranks": (ranks, ("corpus", "rank", "tokens")),
+        "robots": (robots, ("date", "agent", "status")),
+        "terms": (terms, ("date", "verdict")),
+    }
+    parts = [urls.select("url", F.lit(True).alias("_listed"))]
+    parts += [df.select("url", F.struct(*cols).alias(name)) for name, (df, cols) in entries.items()]
+    parts += [purposes.select("url", "purposes"), modalities.select("url", "modalities")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    gathered = {name: F.array_sort(F.collect_list(name)) for name in entries}
+    profile = rows.groupBy("url").agg(
+        F.bool_or("_listed").alias("_listed"),
+        *[F.nullif(v, F.array().cast(rows.select(F.array(name)).schema[0].dataType)).alias(name) for name, v in gathered.items()],
+        F.first("purposes", True).alias("purposes"),
+        F.first("modalities", True).alias("modalities"),
     )
-    terms_list = terms.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("date", "verdict"))).alias("terms"))
-    out = urls.select("url").distinct()
-    for part in (rank_list, purposes, modalities, robots_list, terms_list):
-        out = out.join(part, "url", "left")
-    return out
+    return profile.filter("_listed").select("url", "ranks", "purposes", "modalities", "robots", "terms")

@@ -1,7 +1,8 @@
 """Readers and sinks on small folders."""
 
 import json
-import zipfile
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -102,14 +103,9 @@ def test_small_files(spark, tmp_path):
 
 
 def test_binary_sources(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("x.json", json.dumps({"q": "a"}))
-        z.writestr("y.jsonl", '{"q": "b"}\n{"q": "c"}\n')
-        z.writestr("skip.md", "no")
-    got = {(r.member, r.q) for r in readers.read_zipped_json(spark, str(tmp_path / "*.zip"), "q string").collect()}
-    assert got == {("x.json", "a"), ("y.jsonl", "b"), ("y.jsonl", "c")}
     (tmp_path / "l.txt").write_bytes("é".encode("latin-1"))
     assert readers.read_encoded(spark, str(tmp_path / "l.txt")).first().text == "é"
+    assert readers.read_encoded(spark, str(tmp_path / "l.txt"), "ISO-8859-1").first().charset == "ISO-8859-1"
     site = tmp_path / "snap" / "x_org_"
     site.mkdir(parents=True)
     (site / "20200102030405.html").write_text("<p>hi</p>")
@@ -117,54 +113,37 @@ def test_binary_sources(spark, tmp_path):
     assert row.url_key == "x_org_" and row.ts.isoformat() == "2020-01-02T03:04:05"
 
 
-def test_sinks(spark, tmp_path):
-    rows = readers.catalog_columns(readers.read_summaries(spark, summaries(tmp_path)))
-    writers.write_composition_card(rows, str(tmp_path / "card"))
-    text = [r.value for r in spark.read.text(str(tmp_path / "card" / "card")).collect()]
-    assert text[0] == "### Collections" and any(line.startswith("English  2 (100.00 %)") for line in text)
-    writers.write_bibliography(rows, str(tmp_path / "bib"))
-    assert [r.item for r in readers.read_items(spark, str(tmp_path / "bib")).collect()] == ["@misc{a}"]
-    writers.write_chunks(spark.range(10).coalesce(1), str(tmp_path / "chunks"), 4)
-    assert len(list((tmp_path / "chunks").glob("*.json"))) == 3
-
-
-def test_multimodal_table(spark, tmp_path):
-    text = readers.read_summaries(spark, summaries(tmp_path))
-    speech = spark.createDataFrame(
-        [("s1", "Sp", "Unclear", None, ["en-US"], None, ["ASR"], [("CC0", None)], None, ["web"], None, ["Lab"], None, ["US"], "2010")],
-        schemas.SPEECH_SUMMARY)
-    video = spark.createDataFrame(
-        [("v1", "Vi", "Vid", "12.5", None, "2019", None, ["yt"], ["Lab"], ["FR"], ["T"], [("Mystery", None)])], schemas.VIDEO_SUMMARY)
-    terms = spark.createDataFrame([("Sp", "Source Closed")], "collection string, terms string")
-    out = multimodal.multimodal_table(multimodal.unify(text, speech, video), dims.license_table(spark), terms)
-    got = {r.uid: (r.license_terms, r.hours, r.year_category) for r in out.collect()}
-    assert got["s1"] == ("Commercial | Restricted", None, "<2013")
-    assert got["u2"] == ("NC/Acad | Unspecified", None, "2020")
-    assert got["v1"][1:] == (12.5, "2019")
-    tokens = out.filter("uid = 'u1'").select(F.col("total_tokens")).first()[0]
-    assert tokens == 10 * 2.0 * 12.0
-
-
-def test_written_files_hold_one_record_per_line(spark):
-    rows = spark.range(100).select(F.concat(F.lit("d\n"), "id").alias("uid"), F.lit("InstAr").alias("collection"))
-    folder = intake.written_summaries(spark, rows, F.col("uid"), Collection=F.col("collection"))
-    written = [list(json.loads(r.value)) for r in spark.read.text(folder).collect()]
-    assert sorted(written) == sorted([f"d\n{i}"] for i in range(100))
-    read = readers.catalog_columns(readers.read_summaries(spark, folder, pattern="*.txt", lines=True))
-    assert {(r.uid, r.collection) for r in read.collect()} == {(f"d\n{i}", "InstAr") for i in range(100)}
-
-
-def test_written_dictionaries_hold_one_member_per_line(spark):
-    pairs = spark.range(100).select((F.col("id") % 3).cast("string").alias("lang"), F.concat(F.lit("m"), "id").alias("source"))
-    folder = intake.written_dictionary(spark, pairs)
-    written = [json.loads(r.value) for r in spark.read.text(folder).collect()]
-    assert len(written) == 100 and all(len(members) == 1 for line in written for members in line.values())
-    read = readers.read_dictionaries(spark, folder, pattern="*.txt", lines=True).select("group", "member")
-    assert {tuple(r) for r in read.collect()} == {(str(i % 3), f"m{i}") for i in range(100)}
-
-
-def test_encoded_texts_are_whole(spark):
-    texts = {1: "é" * 5000 + "\u4e2d\nend", 2: "", 3: None, 4: "x" * 201}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in intake.encoded_texts(spark, docs).collect()}
-    assert got == texts | {1: "é" * 5000 + "?\nend"}
+def test_character_sets(spark, tmp_path):
+    said = {"UTF-8": "naïve 日本 €", "utf-8-sig": "naïve 日本", "ISO-8859-1": "caf\xe9 \xdf", "cp1252": "„caf\xe9“ – €", "UTF-16": "caf\xe9 日", "UTF-16LE": "plain caf\xe9", "UTF-16BE": "plain caf\xe9"}
+    for charset, text in said.items():
+        (tmp_path / f"{charset}.txt").write_bytes(text.encode(charset))
+    (tmp_path / "none.txt").write_bytes(b"")
+    files = readers.read_encoded(spark, str(tmp_path / "*.txt"))
+    found = {r.path.rsplit("/", 1)[1][:-4]: r for r in files.collect()}
+    assert {k: r.text for k, r in found.items()} == said
+    assert found["cp1252"].charset == "windows-1252" and found["UTF-16LE"].charset == "UTF-16LE"
+    assert readers.CP1252.encode("cp1252", "replace") == bytes(b if bytes([b]).decode("cp1252", "ignore") else 63 for b in range(0x80, 0xA0))
+
+
+def test_snapshot_trees_open_only_what_is_asked_for(spark, tmp_path):
+    keys = ["a_org", "b_org_x y", *[f"site{i}" for i in range(18)]]
+    for key in keys:
+        (tmp_path / key).mkdir()
+        for year in (2018, 2019, 2020):
+            (tmp_path / key / f"{year}0102030405.html").write_text(f"<p>{key} {year}</p>")
+    (tmp_path / "a_org" / "20200102030405.html.part").write_text("no")
+    (tmp_path / "a_org" / "readme.html").write_text("no")
+    everything = readers.read_snapshots(spark, str(tmp_path))
+    assert everything.count() == 60 and everything.rdd.getNumPartitions() <= 12
+    some = readers.read_snapshots(spark, str(tmp_path), "20190101000000", "20200101000000")
+    assert {(r.url_key, r.html) for r in some.collect()} == {(k, f"<p>{k} 2019</p>") for k in keys}
+    # files of other times are too long to be read at all
+    for key in keys:
+        (tmp_path / key / "20180102030405.html").write_text("x" * 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 500)
+    try:
+        assert len(readers.read_snapshots(spark, str(tmp_path), "20190101000000", "20200101000000").collect()) == 20
+        with pytest.raises(Exception, match="(?i)length"):
+            readers.read_snapshots(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
