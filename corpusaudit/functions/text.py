@@ -21,6 +21,8 @@ SPACES = (
 )
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]+"
+NO_WORD = r"[^\p{L}\p{N}_]+"
+LETTER = r"[a-z0-9_\p{L}\p{N}]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -132,17 +134,29 @@ def fold_case(col: Column) -> Column:
     return F.replace(F.lower(col), F.lit("\u017f"), F.lit("s"))
 
 
-def has_whole_word(folded: Column, keywords: Iterable[str]) -> Column:
+def _heads(keywords: Iterable[str]) -> tuple[list[str], list[str], list[str]]:
+    """Keywords that are one word, phrases, and the first words of the phrases."""
+    wanted = list(dict.fromkeys(k.lower() for k in keywords))
+    single = [k for k in wanted if re.fullmatch("[a-z0-9_]+", k)]
+    phrases = [k for k in wanted if k not in single]
+    return single, phrases, [re.match("[a-z0-9_]*", p)[0] for p in phrases]
+
+
+def has_whole_word(folded: Column, keywords: Iterable[str], asked: Iterable[str] | None = None) -> Column:
     """Does a case-folded text contain any keyword between word boundaries?
 
-    A substring search rules out most keywords; the boundary is checked only where one occurs.
+    The text's words are looked up in the keywords that are one word; a phrase is searched only in texts with its first word. With
+    ``asked``, all keywords of several such questions on one text, its words are cut and looked up once for all of them.
     """
-    letter = r"[a-z0-9_\p{L}\p{N}]"
-    out = F.lit(False)
-    for word in dict.fromkeys(k.lower() for k in keywords):
-        bounded = f"(?<!{letter}){re.escape(word)}(?!{letter})"
-        out = out | (F.contains(folded, F.lit(word)) & folded.rlike(bounded))
-    return out
+    single, phrases, heads = _heads(keywords)
+    every = [single, heads] if asked is None else _heads(asked)[::2]
+    text_array = lambda some: F.array(*[F.lit(k) for k in some]).cast("array<string>")
+    words = F.array_intersect(F.split(folded, NO_WORD), text_array(dict.fromkeys(k for part in every for k in part)))
+    spoken = F.lit(False)
+    for phrase in phrases:
+        bounded = f"(?<!{LETTER}){re.escape(phrase)}(?!{LETTER})"
+        spoken = spoken | (F.contains(folded, F.lit(phrase)) & folded.rlike(bounded))
+    return F.arrays_overlap(words, text_array(single)) | (F.arrays_overlap(words, text_array(heads)) & spoken)
 
 
 def slug(col: Column) -> Column:

@@ -25,7 +25,8 @@ VERDICT_LABELS = tuple(
 
 def mentions_topic(body: Column, topic: str) -> Column:
     """Does the text contain a keyword of the topic as a whole word, in any case?"""
-    return F.coalesce(tx.has_whole_word(tx.fold_case(body), dims.TOPIC_KEYWORDS[topic]), F.lit(False))
+    every = [k for words in dims.TOPIC_KEYWORDS.values() for k in words]
+    return F.coalesce(tx.has_whole_word(tx.fold_case(body), dims.TOPIC_KEYWORDS[topic], every), F.lit(False))
 
 
 def without_privacy_pages(pages: DataFrame, domain: str, is_privacy: Column) -> DataFrame:
