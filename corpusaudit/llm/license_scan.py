@@ -1,11 +1,12 @@
 """License notices in documents: fixed phrases, and an exact set-similarity join with notice templates.
 
-Columns only. A text block (line) matches a template when it holds at least a given share of the template's words.
-The join is a prefix-filter join: template words are ordered by how many documents hold them, rarest first; a block
-with enough of a template's n words must hold one of the first n - needed + 1 (prefix filter). Blocks without any
-such word end there. The others are joined with the prefix index by word; a pair goes on when the block has enough words
-(length filter) and enough of both sides is left behind their first common word (positional filter), and is then
-counted exactly.
+Columns only. A template of n words is found where some stretch of at most 2n consecutive words holds at least a given share of them,
+whatever lines it is wrapped over and whatever stands between. Text blocks are windows of 3m words that start every m
+words, m being the size of the largest template, so every such stretch lies in a block. The join is a prefix-filter join: template
+words are ordered by how many documents hold them, rarest first; a block with enough of a template's words must hold
+one of its first n - needed + 1 (prefix filter). Documents and blocks without any such word end there. The others are joined
+with the prefix index by word; a pair goes on when the block has enough words (length filter) and enough of both sides is left
+behind their first common word (positional filter), and is then counted exactly, stretch by stretch.
 """
 
 from __future__ import annotations
@@ -39,10 +40,29 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC"),
     ("cc-by-sa", "Licensed under CC BY-SA"),
     ("cc-by-nd", "Licensed under CC BY-ND"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike License"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution NoDerivatives License"),
     ("cc0", "dedicated to the public domain under CC0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("boost", "Distributed under the Boost Software License"),
+    ("epl", "made available under the terms of the Eclipse Public License"),
+    ("cddl", "subject to the terms of the Common Development and Distribution License"),
+    ("artistic", "you can redistribute it and or modify it under the terms of the Artistic License"),
+    ("odbl", "made available under the Open Database License"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License"),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("bsl", "Use of this software is governed by the Business Source License"),
 )
 
+#: A stretch of words that may hold a template's words, as a multiple of their number.
+STRETCH = 2
+
 #: Word characters and what stands between words.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -95,10 +115,19 @@ def ordered_templates(docs: DataFrame, templates, threshold: float, text: str =
     return out, rank
 
 
+def windows(words: Column, step: int) -> Column:
+    """Blocks of (STRETCH + 1) * step words, one every ``step`` words; any STRETCH * step words in a row lie in one."""
+    last = F.greatest(F.lit(0), F.ceil(F.size(words) / step) - STRETCH - 1).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("block"), F.slice(words, k * step + 1, (STRETCH + 1) * step).alias("words"))
+    )
+
+
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every (block, template) pair with containment of at least ``threshold``.
+    """Every (block, template) pair with a stretch of the block that holds at least ``threshold`` of the template.
 
-    Columns: the keys, block (line number from 0), block_text, label, containment. Null texts have no blocks.
+    Columns: the keys, block (number from 0, see :func:`windows`), words, label, containment (of its best stretch). A notice may be found
+    in several overlapping blocks. Null and empty texts have a block without words, which matches nothing.
     """
     spark = docs.sparkSession
     found, rank = ordered_templates(docs, templates, threshold, text)
@@ -111,21 +140,33 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9,
     index = F.broadcast(spark.createDataFrame(index, "rank int, template int, label string, at int, size int, needed int, ranks array<int>"))
     by_rank = sorted(rank, key=rank.get)
     first_words = sorted({r for t in found for r in t["ranks"][: t["prefix"]]})
-    blocks = docs.select(*[col(k) for k in keys], F.posexplode(F.split(col(text), "\n")).alias("block", "block_text"))
     rare = F.array(*[F.lit(by_rank[r]) for r in first_words])
-    blocks = blocks.withColumn("_words", ascii_words(F.col("block_text"))).filter(F.arrays_overlap("_words", rare))
+    rows = docs.select(*[col(k) for k in keys], ascii_words(col(text)).alias("_all")).filter(F.arrays_overlap("_all", rare))
+    cut = F.filter(windows(F.col("_all"), max(len(t["ranks"]) for t in found)), lambda b: F.arrays_overlap(b["words"], rare))
+    blocks = rows.select(*[col(k) for k in keys], F.inline(cut))
     rank_of = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    known = F.array_intersect("_words", F.array(*[F.lit(w) for w in by_rank]))
-    ranked = F.array_sort(F.transform(known, lambda w: F.element_at(rank_of, w)))
-    tokens = blocks.withColumn("_ranks", ranked).select("*", F.posexplode("_ranks").alias("_at", "rank"))
+    # places of template words, and their distinct ranks
+    places = F.transform("words", lambda w, i: F.struct(i.alias("place"), F.element_at(rank_of, w).alias("rank")))
+    blocks = blocks.withColumn("_places", F.filter(places, lambda p: p["rank"].isNotNull()))
+    blocks = blocks.withColumn("_ranks", F.array_sort(F.array_distinct("_places.rank")))
+    tokens = blocks.select("*", F.posexplode("_ranks").alias("_at", "rank"))
     pairs = tokens.join(index, "rank").filter(F.size("_ranks") >= F.col("needed"))
     # of the prefix words at which a pair meets, the first common one speaks for it
     before = F.array_intersect(F.slice("_ranks", 1, F.col("_at")), F.slice("ranks", 1, F.col("at")))
     pairs = pairs.filter(F.size(before) == 0)
     pairs = pairs.filter(F.least(F.col("size") - F.col("at"), F.size("_ranks") - F.col("_at")) >= F.col("needed"))
-    pairs = pairs.withColumn("_common", F.size(F.array_intersect("_ranks", "ranks"))).filter(F.col("_common") >= F.col("needed"))
+    pairs = pairs.filter(F.size(F.array_intersect("_ranks", "ranks")) >= F.col("needed"))
+    # a best stretch can begin with a word of the template
+    own = F.filter("_places", lambda p: F.array_contains(F.col("ranks"), p["rank"]))
+    pairs = pairs.withColumn("_places", own)
+
+    def held(first: Column) -> Column:
+        inside = F.filter("_places", lambda p: p["place"].between(first["place"], first["place"] + STRETCH * F.col("size") - 1))
+        return F.size(F.array_distinct(F.transform(inside, lambda p: p["rank"])))
+
+    pairs = pairs.withColumn("_common", F.array_max(F.transform("_places", held))).filter(F.col("_common") >= F.col("needed"))
     containment = (F.col("_common") / F.col("size")).alias("containment")
-    return pairs.select(*[col(k) for k in keys], "block", "block_text", "label", containment)
+    return pairs.select(*[col(k) for k in keys], "block", "words", "label", containment)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,7 +174,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, key: str
 
     Base columns: places where a phrase's words stand next to each other, words counted from 0. ``labels`` adds the
     templates' labels; ``score`` is 1 with a base phrase, else the best containment found, else 0. Null texts count
-    as empty. Rows that repeat key and text get the same answer each.
+    as empty: no words, no labels, score 0. Rows that repeat key and text get the same answer each; null keys are keys like any other. Very
+    long texts are scanned whole, and words that are far apart in them make no notice. An empty table gives no rows. Extra columns are
+    not read.
     """
     value = F.coalesce(col(text), F.lit(""))
     rows = docs.select(col(key).alias("key"), F.xxhash64(value).alias("version"), value.alias("text"))

@@ -110,7 +110,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """Base phrases by word position; templates by the share of their words in a line, pair by pair."""
+    """Base phrases by word position; templates by the share of their n words in the best 2n consecutive words, pair by pair."""
     sets = ", ".join(
         f"('{label}', {license_scan.template_words(notice)!r})" for label, notice in license_scan.TEMPLATES
     )
@@ -129,12 +129,11 @@ def _license_sql() -> str:
                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
         FROM places GROUP BY 1
     ),
-    lines AS (SELECT doc_id, list_distinct({PLAIN_WORDS.format('line')}) AS w
-              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-    near AS (
-        SELECT doc_id, label, len(list_intersect(w, t)) / len(t) AS c FROM lines, templates
-        WHERE len(list_intersect(w, t)) >= ceil(0.9 * len(t) - 1e-9)
+    starts AS (
+        SELECT d.doc_id, label, t, list_intersect(list_slice(d.w, i, i + {license_scan.STRETCH} * len(t) - 1), t) AS held
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) d JOIN templates ON list_contains(t, d.w[i])
     ),
+    near AS (SELECT doc_id, label, max(len(held) / len(t)) AS c FROM starts WHERE len(held) >= ceil(0.9 * len(t) - 1e-9) GROUP BY ALL),
     named AS (SELECT doc_id, label FROM near UNION SELECT doc_id, label FROM places),
     all_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY 1),
     best AS (SELECT doc_id, max(c) AS c FROM near GROUP BY 1)
