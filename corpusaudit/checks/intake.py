@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusaudit import dims
+from corpusaudit import dims, schemas
 from corpusaudit.checks.catalogs import CATALOG, FEEDS, catalog, criteria, custom_classes
 from corpusaudit.checks.conversations import STRIPPED
 from corpusaudit.checks.registry import query, table
 from corpusaudit.operators import catalog as ct
 from corpusaudit.operators import licenses as lic
-from corpusaudit.plans import corpus_prep
+from corpusaudit.plans import corpus_prep, multimodal
 from corpusaudit.session import shared_folder
 from corpusaudit.sources import readers, writers
 
@@ -284,3 +284,55 @@ def prepared_corpus(spark, sf_dir):
     out = shared_folder(spark, "corpus")
     corpus_prep.write_corpus(dialogs, out, "supervised")
     return readers.read_json_lines(spark, out, "dataset string, inputs string, targets string")
+
+
+#: Licenses by the remainder of the id; the third has a model's terms beside its own license.
+SPOKEN = (("MIT License",), ("CC BY-NC 4.0",), ("OpenAI", "MIT License"), ("Unspecified",), ("Academic Research Purposes Only",))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lang, source, doc_id % 5 AS k, doc_id % 3 AS m, n_chars, 2010 + (doc_id % 12) AS y,
+        CASE WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN 'Video ' || doc_id ELSE 'Set ' || (doc_id % 7) END AS collection FROM documents),
+    t AS (SELECT *, CASE k WHEN 0 THEN 'Commercial' WHEN 2 THEN 'Commercial' WHEN 3 THEN 'Unspecified' ELSE 'NC/Acad' END AS license_type,
+        CASE collection WHEN 'Set 0' THEN 'Unrestricted' WHEN 'Set 1' THEN 'Restricted' WHEN 'Set 2' THEN 'Restricted' ELSE 'Unspecified' END AS terms FROM d)
+    SELECT 'u' || doc_id AS uid, CASE m WHEN 0 THEN 'Text' WHEN 1 THEN 'Speech' ELSE 'Video' END AS modality, collection,
+      CASE WHEN m = 2 THEN NULL ELSE lang END AS languages, license_type, license_type || ' | ' || terms AS license_terms,
+      CASE WHEN m = 1 AND y = 2015 THEN 'Unknown' WHEN y < 2013 THEN '<2013' ELSE y::VARCHAR END AS year_category,
+      CASE WHEN m = 0 AND doc_id % 2 = 0 THEN source || '|Synthetic' ELSE source END AS sources,
+      CASE WHEN m = 0 THEN (3.0 * 2 * n_chars)::DOUBLE END AS total_tokens,
+      CASE WHEN m = 1 AND doc_id % 2 = 0 THEN NULL WHEN m > 0 THEN doc_id / 4 END AS hours FROM t"""
+)
+def multimodal_summaries(spark, sf_dir):
+    """Text, speech and video summaries written as files, read with their layouts, united, classified and labelled."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    names = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in SPOKEN]), (d % 5 + 1).cast("int"))
+    shared = {
+        "Collection": F.when((d % 3 == 2) & (d % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit("Set "), d % 7)),
+        "Licenses": F.transform(names, lambda n: F.struct(n.alias("License"), F.lit("").alias("License URL"))),
+    }
+    year = (2010 + d % 12).cast("string")
+    dates = F.struct(F.concat(year, F.lit("-05-01")).alias("HF Date"), F.lit("2024-01-01").alias("GitHub Date"))
+    metrics = F.struct(F.lit(3).alias("Num Dialogs"), F.lit(2.0).alias("Mean Dialog Turns"), F.col("n_chars").cast("double").alias("Mean Inputs Length"), F.lit(0.0).alias("Mean Targets Length"))
+    own = {
+        0: {
+            "Languages": F.array("lang"), "Text Sources": F.array("source", F.lit("Unsure")), "Text Metrics": metrics, "Inferred Metadata": dates,
+            "Model Generated": F.when(d % 2 == 0, F.array(F.lit("A Model"))).otherwise(F.array(F.lit("Templates"))),
+        },
+        1: {
+            "Languages (ISO)": F.array("lang"), "Source Category": F.array("source"),
+            "Hours": F.when(d % 2 == 0, "Unclear").otherwise((d / 4).cast("string")), "Year Released": F.when(d % 12 == 5, "").otherwise(year),
+        },
+        2: {"Dataset Name": F.concat(F.lit("Video "), "doc_id"), "Video Sources": F.array("source"), "Video Hours": (d / 4).cast("string"), "Year Released": year},
+    }
+    layouts = (schemas.TEXT_SUMMARY, schemas.SPEECH_SUMMARY, schemas.VIDEO_SUMMARY)
+    parts = [
+        readers.read_summaries(spark, written_summaries(spark, docs.filter(d % 3 == m), F.concat(F.lit("u"), "doc_id"), **shared, **own[m]), layout, "*.txt", True)
+        for m, layout in enumerate(layouts)
+    ]
+    terms = dims.literal_table(spark, [("Set 0", "Unrestricted"), ("Set 1", "Source Closed"), ("Set 2", "Model Closed")], "collection string, terms string")
+    made = multimodal.multimodal_table(multimodal.unify(*parts), dims.license_table(spark), terms)
+    return made.select(
+        "uid", "modality", "collection", F.array_join("languages", "|").alias("languages"), "license_type", "license_terms", "year_category",
+        F.array_join("source_category", "|").alias("sources"), F.col("total_tokens").cast("double").alias("total_tokens"), "hours",
+    )

@@ -149,20 +149,6 @@ def judge_rules(disallow: Column, allow: Column) -> Column:
     return tx.let(F.struct(plain(disallow).alias("denied"), plain(allow).alias("granted")), verdict)
 
 
-def judge_rule_table(rules: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
-    """Judgement per (keys, agent) of rules that are already rows (agent, directive, value, ord)."""
-    listed = rules.groupBy(*keys, "agent").agg(
-        F.array_sort(F.collect_list(F.struct(order, "directive", "value"))).alias("_rules")
-    )
-
-    def paths(name: str) -> Column:
-        return F.transform(
-            F.filter("_rules", lambda r: F.lower(r["directive"]) == name), lambda r: r["value"]
-        )
-
-    return listed.select(*keys, "agent", judge_rules(paths("disallow"), paths("allow")).alias("status"))
-
-
 def judgements(body: Column, grouping: str = "leading") -> Column:
     """Map from lower-case agent to judgement, for the agents the file mentions."""
     groups = rule_groups(body, grouping)

@@ -252,34 +252,6 @@ def nearest_period(events: DataFrame, series: DataFrame, date: str, values: Sequ
 # --- counts --------------------------------------------------------------------------------------
 
 
-def period_counts(filled: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """(period, agent, status, count, tokens) of a filled table; unknown URLs weigh 0 tokens."""
-    rows = filled
-    weight = F.lit(0).cast("bigint")
-    if tokens is not None:
-        rows = rows.join(tokens.select("url", "tokens"), "url", "left")
-        weight = F.coalesce(F.col("tokens"), F.lit(0))
-    return rows.groupBy("period", "agent", "status").agg(
-        F.count("*").alias("count"), F.sum(weight).alias("tokens")
-    )
-
-
-def with_combined_agent(
-    filled: DataFrame, order: Sequence[str] = tuple(dims.STRICTNESS)
-) -> DataFrame:
-    """The filled table plus, per URL and period, the strictest status over all agents.
-
-    The agents of a URL and period are a short fixed list, so they are gathered in one row and
-    written out again with the combined one; the input is read once.
-    """
-    entry = F.struct(F.col("agent"), F.col("status"))
-    gathered = filled.groupBy("url", "period").agg(
-        F.collect_list(entry).alias("_own"), robots.strictest(F.col("status"), order).alias("_all")
-    )
-    combined = F.struct(F.lit(dims.COMBINED_AGENT).alias("agent"), F.col("_all").alias("status"))
-    return gathered.select("url", "period", F.inline(F.array_append("_own", combined)))
-
-
 def combined_intervals(intervals: DataFrame, order: Sequence[str] = tuple(dims.STRICTNESS)) -> DataFrame:
     """(url, agent, from, until, status): the strictest status over a URL's agents, as intervals.
 
@@ -335,7 +307,7 @@ def period_counts_from_changes(
     tokens: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """The counts of :func:`period_counts` over :func:`fill_periods`, without the filled table."""
+    """(period, agent, status, count, tokens) of :func:`fill_periods`, without the filled table; unknown URLs weigh 0 tokens."""
     intervals = status_intervals(snapshots, sites, start, end, unit, **options)
     if tokens is not None:
         intervals = intervals.join(tokens.select("url", "tokens"), "url", "left")
@@ -365,18 +337,6 @@ def restricted_share(counts: DataFrame, restrictive: Sequence[str] = ("all",)) -
     )
 
 
-def transitions(filled: DataFrame, unit: str = "month") -> DataFrame:
-    """(period, agent, before, after, urls): changes from the previous period, unchanged ones included."""
-    w = W.partitionBy("url", "agent").orderBy("period")
-    return (
-        filled.withColumn("before", F.lag("status").over(w))
-        .withColumn("_at", F.lag("period").over(w))
-        .filter(F.col("_at") == (F.col("period") - F.expr(f"interval 1 {unit}")).cast("date"))
-        .groupBy("period", "agent", "before", F.col("status").alias("after"))
-        .agg(F.count("*").alias("urls"))
-    )
-
-
 def latest_statuses(snapshots: DataFrame, keys: Sequence[str], ts: str, status: str, tie: str | None = None) -> DataFrame:
     order = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
     return snapshots.groupBy(*keys).agg(F.max_by(status, order).alias("status"))

@@ -104,22 +104,6 @@ def latest_verdicts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("url").agg(F.max_by("verdict", "date").alias("verdict"))
 
 
-def fill_verdicts(verdicts: DataFrame, sites: DataFrame, start: str, end: str, unit: str = "month") -> DataFrame:
-    """(url, period, status): the last verdict known at the end of each period."""
-    return temporal.fill_periods(
-        verdicts,
-        sites,
-        start,
-        end,
-        unit,
-        keys=("url",),
-        ts="date",
-        status="verdict",
-        default=dims.NO_TERMS,
-        labels=VERDICT_LABELS,
-    )
-
-
 def period_counts_from_changes(
     verdicts: DataFrame, members: DataFrame, sites: DataFrame, tokens: DataFrame, start: str, end: str, unit: str = "month"
 ) -> DataFrame:
@@ -141,16 +125,6 @@ def period_counts_from_changes(
     return temporal.interval_counts(weighted, ["status"], end, unit, "tokens")
 
 
-def period_counts(filled: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(period, status, count, tokens) of the URLs in a set."""
-    return (
-        filled.join(members.select("url").distinct(), "url", "left_semi")
-        .join(tokens.select("url", "tokens"), "url", "left")
-        .groupBy("period", "status")
-        .agg(F.count("*").alias("count"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
-    )
-
-
 def robots_and_terms(
     catalog: DataFrame, robots_latest: DataFrame, terms_latest: DataFrame
 ) -> DataFrame:

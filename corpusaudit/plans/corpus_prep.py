@@ -11,7 +11,8 @@ from corpusaudit import dims
 from corpusaudit.operators import catalog as ct
 from corpusaudit.operators import dialogs as dg
 from corpusaudit.operators import licenses as lic
-from corpusaudit.operators import presets, quality
+from corpusaudit.operators import presets
+from corpusaudit.session import written
 from corpusaudit.sources import readers, writers
 
 
@@ -46,7 +47,9 @@ def prepare_collection(
             raise ValueError(f"{name}: the rows have no column {preset.column!r} to select by")
         accepted = ids.select(F.col("filter_id").alias(preset.column)).distinct()
         rows = raw.join(accepted, preset.column, "left_semi")
-    dialogs, unknown = dg.root_to_uid(presets.normalise_collection(name, rows), ids)
+    # read for the dialogs and for the unknown ids: normalised once
+    normalised = written(presets.normalise_collection(name, rows), "normalised")
+    dialogs, unknown = dg.root_to_uid(normalised, ids)
     if limit:
         # the key is the content, so the same dialogs are drawn on every run
         key = F.sha2(F.to_json("messages"), 256)
@@ -64,7 +67,3 @@ def write_corpus(
         writers.write_json_lines(dialogs, out, partition_by=partition_by)
     else:
         raise ValueError("form must be 'messages' or 'supervised'")
-
-
-def check_dialogs(dialogs: DataFrame) -> DataFrame:
-    return quality.nested_message_violations(dialogs, "dataset")

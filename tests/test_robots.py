@@ -52,13 +52,6 @@ def test_agents_inherit_star(spark):
     assert got == {"GOOD": "none", "Other": "all", "*": "all", "*All Agents*": "some"}
 
 
-def test_rule_table_judgement(spark):
-    rules = [("c", "*", "Disallow", "/", 0), ("c", "Bot", "Disallow", "", 0), ("d", "*", "Allow", "/", 0)]
-    df = spark.createDataFrame(rules, "case string, agent string, directive string, value string, ord int")
-    got = {(r.case, r.agent): r.status for r in robots.judge_rule_table(df, ["case"]).collect()}
-    assert got == {("c", "*"): "all", ("c", "Bot"): "none", ("d", "*"): "none"}
-
-
 def test_many_rules(spark):
     body = "User-agent: *\n" + "\n".join(f"Disallow: /p{i}" for i in range(1000))
     many = "\n".join(f"User-agent: bot{i}\nDisallow: /" for i in range(300))

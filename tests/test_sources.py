@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.checks import intake
 from corpusaudit.operators import catalog as ct
+from corpusaudit.operators import quality
 from corpusaudit.plans import corpus_prep, multimodal
 from corpusaudit import dims, schemas
 from corpusaudit.sources import readers, writers
@@ -55,7 +56,7 @@ def test_prepare_collection(spark, tmp_path):
         [("q1", "a1", "f1"), ("q2", "a2", "f3"), ("q3", "a3", "f2")], "inputs string, targets string, task_name string")
     dialogs, unknown = corpus_prep.prepare_collection("Flan Collection (P3)", raw, selected)
     assert dialogs.count() == 2 and {r.dataset for r in dialogs.collect()} == {"u1"} and unknown.count() == 0
-    assert corpus_prep.check_dialogs(dialogs).count() == 0
+    assert quality.nested_message_violations(dialogs, "dataset").count() == 0
     limited, _ = corpus_prep.prepare_collection("Flan Collection (P3)", raw, selected, limit=1)
     assert limited.count() == 1
     out = str(tmp_path / "out")

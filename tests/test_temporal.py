@@ -39,11 +39,15 @@ def test_fill_and_counts_by_definition(spark):
     assert got == want
     key = lambda df: sorted((r.period, r.agent, r.status, r["count"], r.tokens) for r in df.collect())
     tokens = spark.createDataFrame([(f"u{u}", 10 * u) for u in range(9)], "url string, tokens bigint")
-    direct = temporal.period_counts(filled, tokens)
-    assert key(direct) == key(temporal.period_counts_from_changes(sdf, sites, start, end, tokens=tokens))
-    both = temporal.with_combined_agent(filled)
-    assert both.filter("agent = 'Combined Agent'").count() == len({(u, p) for u, _, p in want})
-    moves = temporal.transitions(filled)
+    counted = {}
+    for (url, agent, p), status in want.items():
+        n, t = counted.get((p, agent, status), (0, 0))
+        counted[p, agent, status] = (n + 1, t + (10 * int(url[1:]) if int(url[1:]) < 9 else 0))
+    assert key(temporal.period_counts_from_changes(sdf, sites, start, end, tokens=tokens)) == sorted((*k, *v) for k, v in counted.items())
+    spans = temporal.status_intervals(sdf, sites, start, end)
+    both = temporal.counts_with_combined_agent(spans, tokens, end)
+    assert sum(r["count"] for r in both.filter("agent = 'Combined Agent'").collect()) == len({(u, p) for u, _, p in want})
+    moves = temporal.transitions_from_changes(spans, end)
     changed = sum(1 for (u, a, p), s in want.items() if (u, a, prev(p)) in want)
     assert sum(r.urls for r in moves.collect()) == changed
 
