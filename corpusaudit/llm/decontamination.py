@@ -4,8 +4,8 @@ Patterns are the benchmark items' windows of ``window`` consecutive words (short
 blocks of two words says how far the search may jump; a block that ends a window leads to a bucket, divided
 by the window's first block; the windows there are compared word for word.
 
-Items reach the tasks as broadcast blocks of a bounded number of words. A larger benchmark takes one pass over
-the documents per block, with the table written to the shared folder in between.
+Items reach the tasks as broadcast blocks of a bounded number of words. The documents are read once, whatever the size of the benchmark:
+a task searches a batch of texts for one block after the other and holds the tables of one block at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.llm.common import col, field, kept, map_rows, plain_words
+from corpusaudit.llm.common import col, field, map_rows, plain_words
 from corpusaudit.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -72,6 +72,13 @@ def searchers(items: list[tuple], window: int) -> list[WuManber]:
     return [WuManber(p, n) for n, p in sorted(by_length.items())]
 
 
+def let_go(block) -> list[tuple]:
+    """The rows of a broadcast block; the worker does not keep them, as it would every value it has opened."""
+    rows = block.value
+    vars(block).pop("_value", None)
+    return rows
+
+
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -96,57 +103,50 @@ def find_passages(
     ``hits`` are the merged [start, end) word ranges inside an occurrence of a window, ``items`` the distinct
     ids of the items with an occurring window. Null texts have no words; an item without an id marks words but
     is not listed; items without words match nothing; without items nothing is hit. Rows stay rows,
-    repeated ones too.
+    repeated ones too; very long texts are searched whole; an empty table gives no rows.
+
+    Items are dealt to blocks of about ``block_words`` words, by the hash of item and text; each block is collected and broadcast, and lies
+    on the workers' disks until its turn. Only an item longer than a block makes a larger one.
     """
     spark = docs.sparkSession
-    wanted = benchmark.select(col(item).alias("item"), col(item_text).alias("text")).filter("text IS NOT NULL")
+    wanted = benchmark.select(col(item).alias("item"), col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
     # an upper bound: every word takes at least one character and a separator
     total = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 2
-    blocks = max(1, -(-total // block_words))
-    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    number = max(1, -(-total // block_words))
+    # dealt by item and text, so that copies of one text do not pile up in a block
+    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(number)))
+    blocks = []
+    for at in range(number):
+        rows = dealt.filter(F.col("block") == at).select("item", "text").collect()
+        blocks.append(spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows]))
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     arrow_items = pa.list_(pa.from_numpy_dtype("int64") if dict(benchmark.dtypes)[item] != "string" else pa.string())
     item_kind = "string" if dict(benchmark.dtypes)[item] == "string" else "bigint"
     fields = [field("n_words", "bigint"), field("hits", "array<struct<start:bigint,end:bigint>>"), field("items", f"array<{item_kind}>")]
 
-    def search(block):
-        def start():
-            tables = searchers(block.value, window)
+    def start():
+        only = searchers(blocks[0].value, window) if len(blocks) == 1 else None
 
-            def work(texts, hits, items):
-                counts, all_hits, all_items = [], [], []
-                for value, old, known in zip(texts, hits, items):
+        def work(texts):
+            spans: list[list] = [[] for _ in texts]
+            items: list[set] = [set() for _ in texts]
+            counts = [0] * len(texts)
+            for block in blocks:
+                tables = only if only is not None else searchers(let_go(block), window)
+                for i, value in enumerate(texts):
                     words = plain_words(value or "")
-                    spans = [(s["start"], s["end"]) for s in old]
-                    met = set(known)
+                    counts[i] = len(words)
                     for table in tables:
                         for first, of in table.occurrences(words):
-                            spans.append((first, first + table.length))
-                            met |= of
-                    counts.append(len(words))
-                    all_hits.append([{"start": a, "end": b} for a, b in merged(spans)])
-                    all_items.append(sorted(met - {None}))
-                return [pa.array(counts, pa.int64()), pa.array(all_hits, arrow_spans), pa.array(all_items, arrow_items)]
-
-            return work
-
-        return start
-
-    found = None
-    for number in range(blocks):
-        rows = dealt.filter(F.col("block") == number).select("item", "text").collect()
-        block = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
-        if found is None:
-            source = docs.select(
-                F.struct(*[col(c) for c in docs.columns]).alias("doc"),
-                col(text).alias("text"),
-                F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("hits"),
-                F.expr(f"CAST(array() AS array<{item_kind}>)").alias("items"),
-            )
-        else:
-            source = kept(found, "passages").select("row.doc", "row.text", "hits", "items")
-        found = map_rows(source, ["text", "hits", "items"], search(block), fields)
-    return found.select(F.col("row.doc").alias("row"), *[f.name for f in fields])
+                            spans[i].append((first, first + table.length))
+                            items[i] |= of
+            hits = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans]
+            found = [sorted(i - {None}) for i in items]
+            return [pa.array(counts, pa.int64()), pa.array(hits, arrow_spans), pa.array(found, arrow_items)]
+
+        return work
+
+    return map_rows(docs, [text], start, fields)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = 10) -> DataFrame:

@@ -1,9 +1,13 @@
 """Best-fit packing of token pieces into sequences of fixed length.
 
 Texts become token pieces in the scan; only (length, checksum) rows go on, are dealt evenly over
-tasks, and each task packs its share as a stream: at most ``open_bins`` sequences are open, a bitset keyed
+tasks, and each task packs its share as a stream, however long: at most ``open_bins`` sequences are open, a bitset keyed
 by free space finds the tightest one that fits in one step, and when a piece fits none and all bins
 are taken the fullest closes. Memory is bounded by the number of open bins; no task waits for another.
+
+The stream is taken in short runs, each longest first: a run's long pieces open fewer bins than may be open, and its short
+pieces find all their gaps. (Measured on 68,000 pieces with 1,024 bins: 0.04 % above the least number of sequences; in random
+order 0.8 %, in one run longest first 13 %, because gaps then close before short pieces come.)
 """
 
 from __future__ import annotations
@@ -25,13 +29,18 @@ from corpusaudit.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 _TASK_SHIFT = 40
+#: Open bins of a task, and pieces of a run: a run opens about half as many bins as it has pieces.
+OPEN_BINS, RUN_PIECES = 1024, 2000
+#: Pieces of a task: at least so many, unless there are fewer in all, and at most so many.
+LEAST_PIECES, MOST_PIECES = 25_000, 2_000_000
 
 
 class BestFit:
     """Bounded-space online best fit.
 
     ``place(length)`` returns (bin number, offset). Bins are numbered as they open. The bitset has bit f
-    set when some open bin has f free places; among bins with equal space the youngest is taken.
+    set when some open bin has f free places; among bins with equal space the youngest is taken. ``closed`` counts the bins
+    that closed with free places.
     """
 
     def __init__(self, capacity: int, open_bins: int):
@@ -40,6 +49,7 @@ class BestFit:
         self.spaces = 0
         self.open = 0
         self.made = 0
+        self.closed = 0
 
     def _take(self, free: int) -> int:
         bins = self.by_free[free]
@@ -58,6 +68,7 @@ class BestFit:
         else:
             if self.open >= self.limit:
                 self._take((self.spaces & -self.spaces).bit_length() - 1)
+                self.closed += 1
             number, free = self.made, self.capacity
             self.made += 1
         left = free - length
@@ -110,24 +121,37 @@ def token_pieces(
     return made.select("row", F.posexplode("pieces").alias("piece", "_p")).select("row", "piece", "_p.*")
 
 
-def assign(pieces: DataFrame, capacity: int = 2048, open_bins: int = 16_384, per_task: int = 25_000) -> DataFrame:
+def place_runs(bins: BestFit, lengths: list[int], run: int = RUN_PIECES) -> list[tuple[int, int]]:
+    """Places of a stream's pieces: runs of ``run`` pieces, each longest first."""
+    placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+    for first in range(0, len(lengths), run):
+        some = range(first, min(first + run, len(lengths)))
+        for i in sorted(some, key=lengths.__getitem__, reverse=True):
+            placed[i] = bins.place(lengths[i])
+    return placed
+
+
+def assign(
+    pieces: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS, least: int = LEAST_PIECES, most: int = MOST_PIECES
+) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (any table with a ``length`` of at most ``capacity``).
 
-    Every task packs about ``per_task`` pieces, fed longest first: short pieces then meet all the gaps, and a task
-    wastes about one sequence, or one in ten thousand (in random order it is one in a hundred). Pieces are dealt round
-    robin, so no key can overload a task.
+    There are as many tasks as shuffle partitions, unless a task then had fewer than ``least`` or more than ``most`` pieces. Pieces are dealt
+    round robin, so no key can overload a task, and come in an order that is the same when a lost task runs again.
     """
-    tasks = max(1, -(-pieces.count() // per_task))
+    spark = pieces.sparkSession
+    n = pieces.count()
+    tasks = max(1, min(-(-n // least), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // most))))
     at = pieces.columns.index("length")
     mixed = F.xxhash64(*[col(n) for n, k in pieces.dtypes if not k.startswith(("array", "map"))])
-    dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), mixed)
+    dealt = pieces.repartition(tasks).sortWithinPartitions(mixed, "length")
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << _TASK_SHIFT
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(at).to_pylist()]
+            placed = place_runs(bins, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([base + p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())],
                 names=names,

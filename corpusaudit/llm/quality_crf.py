@@ -120,6 +120,66 @@ def padded(counts: np.ndarray, width: int = 512) -> list[tuple[np.ndarray, np.nd
     return groups
 
 
+#: Lines from which on a chain is taken in blocks.
+LONG_CHAIN = 256
+
+
+def passed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Product of 2 x 2 matrices (or of rows of two) in the log domain, over all leading places."""
+    return np.logaddexp(left[..., 0, None] + right[..., 0, :], left[..., 1, None] + right[..., 1, :])
+
+
+def line_by_line(node: np.ndarray, here: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of documents x lines, one step per line for all documents."""
+    longest = node.shape[1]
+    forward, backward = np.empty_like(node), np.zeros_like(node)
+    forward[:, 0] = node[:, 0]
+    for t in range(1, longest):
+        step = forward[:, t - 1]
+        forward[:, t] = np.where(here[:, t, None], passed(step, moves) + node[:, t], step)
+    for t in range(longest - 2, -1, -1):
+        moved = passed(backward[:, t + 1] + node[:, t + 1], moves.T)
+        backward[:, t] = np.where(here[:, t + 1, None], moved, 0)
+    return forward, backward
+
+
+def in_blocks(node: np.ndarray, here: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for long chains: a chain of n lines takes some 5 sqrt(n) steps instead of 2 n.
+
+    The step into a line is a 2 x 2 matrix. Blocks of consecutive steps are multiplied for all blocks at once, messages go from
+    block to block, and then through all blocks at once.
+    """
+    docs, longest = here.shape
+    size = max(1, int(np.sqrt(longest / 2)))
+    blocks = -(-(longest - 1) // size)
+    into = np.full((docs, blocks * size, 2, 2), -np.inf)
+    # where a document has no line, nothing changes
+    into[..., 0, 0] = into[..., 1, 1] = 0
+    into[:, : longest - 1] = np.where(here[:, 1:, None, None], moves + node[:, 1:, None, :], into[:, : longest - 1])
+    into = into.reshape(docs, blocks, size, 2, 2)
+    whole = into[:, :, 0]
+    for i in range(1, size):
+        whole = passed(whole, into[:, :, i][:, :, None])
+    enters, leaves = np.empty((docs, blocks, 2)), np.zeros((docs, blocks, 2))
+    enters[:, 0] = node[:, 0]
+    for i in range(1, blocks):
+        enters[:, i] = passed(enters[:, i - 1], whole[:, i - 1])
+    turned = whole.swapaxes(-1, -2)
+    for i in range(blocks - 2, -1, -1):
+        leaves[:, i] = passed(leaves[:, i + 1], turned[:, i + 1])
+    forward, backward = np.empty((docs, blocks, size, 2)), np.empty((docs, blocks, size, 2))
+    step = enters
+    for i in range(size):
+        forward[:, :, i] = step = passed(step, into[:, :, i])
+    step = leaves
+    for i in range(size - 1, -1, -1):
+        # the message behind a step, then the one before it
+        backward[:, :, i] = step
+        step = passed(step, into[:, :, i].swapaxes(-1, -2))
+    ahead, behind = forward.reshape(docs, -1, 2)[:, : longest - 1], backward.reshape(docs, -1, 2)[:, : longest - 1]
+    return np.concatenate([node[:, :1], ahead], axis=1), np.concatenate([step[:, :1], behind], axis=1)
+
+
 def marginals(potential: np.ndarray, moves: np.ndarray, counts: np.ndarray, groups=None, pairs: bool = False):
     """P(line is good) by forward-backward; with ``pairs`` also the expected moves, each document weighing 1 / lines."""
     good = np.empty(len(potential))
@@ -129,17 +189,7 @@ def marginals(potential: np.ndarray, moves: np.ndarray, counts: np.ndarray, grou
         here = grid >= 0
         node = np.zeros((docs, longest, 2))
         node[:, :, 1] = np.where(here, potential[grid], 0)
-        forward = np.empty_like(node)
-        backward = np.zeros_like(node)
-        forward[:, 0] = node[:, 0]
-        for t in range(1, longest):
-            step = forward[:, t - 1]
-            moved = np.logaddexp(step[:, [0]] + moves[0], step[:, [1]] + moves[1]) + node[:, t]
-            forward[:, t] = np.where(here[:, t, None], moved, step)
-        for t in range(longest - 2, -1, -1):
-            ahead = backward[:, t + 1] + node[:, t + 1]
-            moved = np.logaddexp(ahead[:, [0]] + moves[:, 0], ahead[:, [1]] + moves[:, 1])
-            backward[:, t] = np.where(here[:, t + 1, None], moved, 0)
+        forward, backward = (in_blocks if longest > LONG_CHAIN else line_by_line)(node, here, moves)
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         p = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None])
         good[grid[here]] = p[here]
@@ -335,7 +385,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
     """Every row (struct ``row``) with score (0 to 1), predicted (1 from the threshold on) and line_good (marginals).
 
     Null texts count as empty: one empty line, scored like any other. Without a model (no labels) every
-    score is 0.5. Scores depend on the text alone.
+    score is 0.5. Scores depend on the text alone. Very long texts are scored whole, in memory that grows with their lines. An empty table gives no rows.
     """
 
     def start():
@@ -354,7 +404,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
 
 
 def document_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, held_out, score, predicted."""
+    """One row per document: key, held_out, score, predicted.
+
+    Rows are documents: repeated rows stay and get equal scores. See :func:`train` and :func:`score` for nulls, empty and very long texts.
+    """
     docs = docs.select(col(key), col(text))
     made = score(docs, train(docs, labels, key, text), text)
     return made.select(F.col("row").getField(key).alias(key), "score", "predicted").select(

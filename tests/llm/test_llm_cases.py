@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import textwrap
+import time
 import tracemalloc
 
 import numpy as np
@@ -310,9 +311,36 @@ def test_best_fit():
     assert [bins.place(n) for n in (6, 7, 3, 4, 5, 8)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0)]
     # two open bins (5 and 8): neither fits, the fuller one closes
     assert bins.place(9) == (4, 0) and bins.place(2) == (2, 5)
+    assert bins.closed == 1
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
+def test_bounded_bins_close_and_still_fill():
+    """Far more pieces than may be open: bins close, and sequences stay within 1 % of the least number."""
+    rng = random.Random(5)
+    lengths = [n for _ in range(60_000) for _, n in packing.cut(min(40_000, int(rng.lognormvariate(6.5, 1.0)) + 1), 2048)]
+    bins = packing.BestFit(2048, packing.OPEN_BINS)
+    placed = packing.place_runs(bins, lengths)
+    assert bins.closed > 100 and bins.open <= packing.OPEN_BINS
+    assert bins.made <= 1.01 * -(-sum(lengths) // 2048)
+    filled = {}
+    for (number, offset), n in zip(placed, lengths):
+        filled.setdefault(number, []).append((offset, n))
+    for parts in filled.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0 and sum(parts[-1]) <= 2048
+
+
+def test_tasks_pack_millions_of_pieces(spark):
+    """One task takes a long stream; the bound on open bins holds whatever its length."""
+    pieces = spark.range(300_000).selectExpr("id", "cast(1 + pmod(xxhash64(id), 1500) as bigint) length")
+    made = packing.assign(pieces, least=1_000_000)
+    sums = made.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    row = sums.agg(F.count("*").alias("made"), F.max("end").alias("end"), F.sum("n").alias("n"), F.count_if(F.col("n") != F.col("end")).alias("gaps")).first()
+    assert row.end <= 2048 and row.gaps == 0 and row.made <= 1.01 * row.n / 2048
+    assert made.select(F.shiftright("sequence_id", 40)).distinct().count() == 1
+
+
 def test_ids_are_those_of_the_library():
     library = Tokenizer.from_file(BPE)
     encode = encoding.load(BPE, special=True)
@@ -327,6 +355,27 @@ def test_ids_are_those_of_the_library():
     assert encoding.load(other, True)("Some Words") == Tokenizer.from_file(other).encode("Some Words", add_special_tokens=False).ids
 
 
+def test_files_with_other_merge_orders_go_to_the_library():
+    vocab = {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4}
+    assert encoding.in_merge_order({"vocab": vocab, "merges": ["a b", "b c"]}, set())
+    assert encoding.in_merge_order({"vocab": vocab | {"<x>": 5}, "merges": [["a", "b"], ["b", "c"]]}, {"<x>"})
+    assert not encoding.in_merge_order({"vocab": vocab, "merges": ["b c", "a b"]}, set())
+    assert not encoding.in_merge_order({"vocab": vocab | {"ca": 5}, "merges": ["a b", "b c"]}, set())
+
+
+def test_other_merge_orders_keep_the_ids_of_the_library(tmp_path):
+    """A plain byte-level file whose ids are not in the order of its merges."""
+    import json
+
+    with open(BPE, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    library, encode = Tokenizer.from_file(str(tmp_path / "other.json")), encoding.load(str(tmp_path / "other.json"), special=True)
+    for text in ("the other merges", "naïve 日本"):
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_white_space_keeps_its_ids(spark):
     library = Tokenizer.from_file(BPE)
     texts = [f"a{c * 1_000_001}{end}" for c, end in ((" ", "b"), ("\n", ""), ("\t", "<|endoftext|>"), ("\u00a0", "b"), (" \n", "b"))]
@@ -421,6 +470,30 @@ def test_copy_group_cases(spark, docs, no_docs):
 # -- quality -------------------------------------------------------------------------------------------
 
 
+def test_long_chains_in_blocks_are_line_by_line():
+    rng = np.random.default_rng(3)
+    for docs, longest in ((1, 2), (3, 7), (2, 300), (4, 1001)):
+        node = np.zeros((docs, longest, 2))
+        counts = rng.integers(1, longest + 1, docs)
+        counts[0] = longest
+        here = np.arange(longest)[None, :] < counts[:, None]
+        node[:, :, 1] = np.where(here, rng.normal(0, 4, (docs, longest)), 0)
+        moves = rng.normal(0, 2, (2, 2))
+        for got, want in zip(quality_crf.in_blocks(node, here, moves), quality_crf.line_by_line(node, here, moves)):
+            assert np.allclose(got[here], want[here], rtol=1e-9, atol=1e-9)
+
+
+def test_a_document_of_very_many_lines():
+    """A hundred thousand lines in well under the time that a step per line takes."""
+    rng = np.random.default_rng(4)
+    potential, moves = rng.normal(0, 2, 100_000), rng.normal(0, 1, (2, 2))
+    start = time.process_time()
+    good = quality_crf.marginals(potential, moves, np.array([100_000]))
+    assert time.process_time() - start < 1 and ((good > 0) & (good < 1)).all()
+    # far from its ends a chain does not feel them
+    assert np.allclose(good[200:300], quality_crf.marginals(potential[:500], moves, np.array([500]))[200:300])
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     counts = np.array([1, 4, 3])
