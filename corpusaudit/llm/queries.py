@@ -49,8 +49,8 @@ def load_queries() -> dict[str, Query]:
 
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every document under a unigram vocabulary of 32,000."""
-    return unigram.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """Pieces of every document under a unigram vocabulary of 32,000: the pieces and scores of a file of merges."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), as_unigram=True)
 
 
 @query(

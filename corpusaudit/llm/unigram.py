@@ -5,6 +5,8 @@ the number of pieces of the best path, nothing else. Ties are decided as the uni
 the one whose last piece starts first wins, and a character outside the vocabulary is taken on its own only if that
 is strictly better. Scores are added exactly, as integers.
 
+The file's own text rules (character map, white space, a mark before the first or behind the last word) are applied by its library.
+
 When no piece holds a word start after another character, the best path is the best paths of the words in turn, so
 words are solved once and remembered up to a fixed number.
 """
@@ -12,12 +14,14 @@ words are solved once and remembered up to a fixed number.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field as default
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
 from corpusaudit.llm.common import col, field, map_rows, worker_state
@@ -31,6 +35,10 @@ MEMORY_WORDS = 400_000
 MEMORY_CHARS = 48
 #: Fixed values of the format: kinds of pieces that take part, and the penalty of unknown characters.
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
+#: Fixed value of the format: the kind of a unigram file.
+UNIGRAM = 1
+#: Fixed value of the format: what a user's piece gets below its length in bytes times the best score.
+USER_BONUS = 0.1
 UNKNOWN_PENALTY = 10
 
 
@@ -42,6 +50,8 @@ class Unigram:
     scale: int = 1
     bytes_known: bool = False
     prefix: bool = True
+    #: the text's rules, when they are more than the prefix: the whole line with its marks
+    line: Callable[[str], str] | None = None
     known: dict[str, tuple[int, int]] = default(default_factory=dict)
 
     def __post_init__(self):
@@ -86,7 +96,9 @@ class Unigram:
         """(score, pieces) of a text."""
         if not text:
             return 0, 0
-        line = (START if self.prefix else "") + text.replace(" ", START)
+        line = self.line(text) if self.line else (START if self.prefix else "") + text.replace(" ", START)
+        if not line:
+            return 0, 0
         if not self.by_word:
             return self.viterbi(line)
         score = pieces = 0
@@ -111,28 +123,40 @@ def exact(scores: list[float]) -> tuple[list[int], int]:
     return [n * (scale // d) for n, d in ratios], scale
 
 
-def read_model(path: str) -> Unigram:
-    """The vocabulary and scores of a sentencepiece file, used as a unigram vocabulary as they are."""
+def read_model(path: str, as_unigram: bool = False) -> Unigram:
+    """The vocabulary, scores and text rules of a sentencepiece file.
+
+    A file of another kind (merges) is refused, unless its pieces and scores are to be used ``as_unigram`` vocabulary as they are. A
+    user-defined piece has the score its library gives it: its bytes times the best score, less a tenth.
+    """
     model = model_file.ModelProto()
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
+    if model.trainer_spec.model_type != UNIGRAM and not as_unigram:
+        raise ValueError(f"{path} is no unigram file")
     spec = model.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only files without text normalisation are supported")
     normal = [p for p in model.pieces if p.type in (NORMAL, USER_DEFINED)]
-    scores, scale = exact([p.score for p in normal])
+    top = max((p.score for p in normal if p.type == NORMAL), default=0.0)
+    scores, scale = exact([p.score if p.type == NORMAL else len(p.piece.encode()) * top - USER_BONUS for p in normal])
     bytes_known = sum(p.type == BYTE for p in model.pieces) == 256
-    return Unigram(dict(zip((p.piece for p in normal), scores)), scale, bytes_known, spec.add_dummy_prefix)
+    plain = not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces)
+    plain &= not any(p.type == USER_DEFINED for p in normal)
+    line = None if plain else SentencePieceProcessor(model_proto=model.SerializeToString()).Normalize
+    made = Unigram(dict(zip((p.piece for p in normal), scores)), scale, bytes_known, spec.add_dummy_prefix, line)
+    # unknown characters count from the worst score of a normal piece
+    made.unknown = min((s for p, s in zip(normal, scores) if p.type == NORMAL), default=0) - UNKNOWN_PENALTY * scale
+    return made
 
 
-def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", as_unigram: bool = False) -> DataFrame:
     """One row per input row: key, n_tokens, score (of the best path). Null and empty texts have no tokens.
 
-    Row by row, so repeated rows are counted alike and nothing is shuffled; other columns are not read.
+    Row by row, so repeated rows are counted alike and nothing is shuffled; very long texts are counted whole; an empty table gives no
+    rows; null keys stay null; other columns are not read.
     """
 
     def start():
-        vocabulary = worker_state(("unigram", model), lambda: read_model(model))
+        vocabulary = worker_state(("unigram", model, as_unigram), lambda: read_model(model, as_unigram))
 
         def work(texts):
             made = [vocabulary.count(t or "") for t in texts]

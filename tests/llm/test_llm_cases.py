@@ -94,7 +94,7 @@ def test_unigram_matches_brute_force_with_ties():
 
 def test_unigram_counts_as_the_tokenizers_do(spark):
     """The same pieces and scores in both tokenizer libraries, as a unigram model."""
-    vocabulary = unigram.read_model(PIECES)
+    vocabulary = unigram.read_model(PIECES, as_unigram=True)
     model = model_file.ModelProto()
     with open(PIECES, "rb") as file:
         model.ParseFromString(file.read())
@@ -114,11 +114,42 @@ def test_unigram_counts_as_the_tokenizers_do(spark):
         assert mild.count(text)[1] == len(flipped.encode(text))
 
 
+def test_unigram_files_with_text_rules(tmp_path):
+    """Character maps, white space rules and user-defined pieces, as the library counts them."""
+    model = model_file.ModelProto()
+    with open(PIECES, "rb") as file:
+        model.ParseFromString(file.read())
+    with pytest.raises(ValueError):
+        unigram.read_model(PIECES)
+    model.trainer_spec.model_type = 1
+    # whole numbers, so that the library's sums in single precision are exact
+    for p in model.pieces:
+        p.score = max(p.score, -4_000) - 1
+    rules = model_file.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    texts = ["plain  words ", " ﬁne Ａ\u3000b　ｃ", "", "   ", "x\ty\n\nz", "Zwölf 漢字 😀!!", "a​b", "12 ½ ①", "zzqz wörds Bögen Bogen zzq"]
+    for case in range(5):
+        made = model_file.ModelProto()
+        made.CopyFrom(model)
+        for own in ["wörd", "zzq", "Bögen"] if case == 4 else []:
+            made.pieces.add(piece=own, score=0, type=4)
+        spec = made.normalizer_spec
+        if case in (0, 3):
+            spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+        spec.remove_extra_whitespaces = case in (0, 1)
+        made.trainer_spec.treat_whitespace_as_suffix = case == 2
+        path = tmp_path / f"{case}.model"
+        path.write_bytes(made.SerializeToString())
+        vocabulary, library = unigram.read_model(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+        for text in texts:
+            assert vocabulary.count(text)[1] == len(library.encode(text)), (case, text)
+
+
 def test_unigram_long_and_missing(spark, docs, no_docs):
-    got = {(r[0], r[1]) for r in unigram.token_counts(docs, PIECES).collect()}
+    got = {(r[0], r[1]) for r in unigram.token_counts(docs, PIECES, as_unigram=True).collect()}
     assert {(2, 0), (3, 0), (None, 0)} <= got and len(got) >= 8
-    assert unigram.token_counts(docs, PIECES).count() == len(TEXTS)
-    assert unigram.token_counts(no_docs, PIECES).collect() == []
+    assert unigram.token_counts(docs, PIECES, as_unigram=True).count() == len(TEXTS)
+    assert unigram.token_counts(no_docs, PIECES, as_unigram=True).collect() == []
     small = unigram.Unigram({"▁": -1, "a": -1}, bytes_known=False)
     assert small.count("axxa a") == (small.count("a")[0] + small.unknown * 2 - 1 - 2, 6)
 
