@@ -102,7 +102,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, first_id: int = FIRST
     A conversation's sequence is the ids of its rows by position. The first row starts with <s>. The mask is 1 on the ids of
     assistant texts and 0 on all else: +1 and -1 where they start and end, added up. Rows go by turn, null turns first, ties by
     role and text. Rows without a conversation id form one conversation. However long a conversation is, it passes
-    through its task as a stream.
+    through its task as a stream. Null roles and texts count as empty; repeated rows are turns of their own; an empty table gives no rows; extra
+    columns are not read.
     """
     made = encoded_turns(turns, tokenizer, first_id).repartition("conv_id")
     made = made.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "ids", "text_start", "text_end")

@@ -196,7 +196,8 @@ def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per input row: key, keep_id, group_size, kept, text_sha256.
 
     Rows with the same key and text (repeated rows) are listed as often as they occur and one of them is kept.
-    The groups come from the comparison of complete texts; rows are told their group by SHA-256.
+    The groups come from the comparison of complete texts, however long; rows are told their group by SHA-256. Null texts count as empty ones;
+    a null key is kept only where a group has no other; an empty table gives no rows; extra columns are not read.
     """
     groups = distinct_texts(docs.select(col(key), col(text)), key, text)
     light = groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", F.col("copies").alias("group_size"))

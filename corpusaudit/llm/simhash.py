@@ -261,7 +261,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget
 
     component_id is the smallest key reachable over links of at most ``budget`` (0 to 2) differing bits; null
     keys are never the smallest unless a component has no other. Texts without words share
-    fingerprint zero and are linked like any other. Repeated rows come back as often as they occur.
+    fingerprint zero and are linked like any other. Repeated rows come back as often as they occur. Null texts have no words; very long
+    texts are read whole; an empty table gives no rows; extra columns are not read.
     """
     prints = kept(fingerprints(docs, key, text), "fingerprints")
     least = prints.groupBy("fp").agg(F.min(key).alias("_least")).join(classes(prints, budget), "fp")

@@ -159,7 +159,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, key:
     A word goes when a window of ``window`` words that covers it also starts in a document with a
     smaller key; windows are judged on the input. Kept words are joined by one blank. Null texts have no words. A null
     key is larger than any other and never a source. Rows that share a key are one document to the others and
-    none to each other. Documents shorter than the window stay as they are.
+    none to each other. Documents shorter than the window stay as they are. Very long texts are compared whole; an empty table gives no
+    rows; extra columns are not read.
     """
     if window < anchor:
         raise ValueError("the window must hold at least one anchor")
@@ -178,12 +179,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, key:
                         removed[-1][1] = max(removed[-1][1], b)
                     else:
                         removed.append([a, b])
-                for a, b in reversed(removed):
+                left, at = [], 0
+                for a, b in [*removed, [n, n]]:
+                    left += words[at:a]
+                    at = b
                     gone += b - a
-                    del words[a:b]
                 out[0].append(n)
                 out[1].append(gone)
-                out[2].append(b" ".join(words).decode())
+                out[2].append(b" ".join(left).decode())
                 out[3].append([{"start": a, "end": b} for a, b in removed])
             return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), ranges))]
 

@@ -40,7 +40,8 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     Input: page_id, url, html. Payloads are equal when length, SHA-1 and SHA-256 are; a null payload is empty. Of equal
     payloads of at least ``min_bytes`` the largest page_id is the response; rows that repeat that id are responses too,
-    rows without an id never are unless no row has one. Extra columns are not read.
+    rows without an id never are unless no row has one. Extra columns are not read; very long payloads are
+    hashed and kept whole, as one string; an empty table gives no records.
     """
     payload = F.coalesce(col("html"), F.lit(""))
     rows = pages.select(col("page_id").alias("page_id"), col("url").alias("url"), payload.alias("payload")).withColumns(
