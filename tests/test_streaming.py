@@ -1,7 +1,9 @@
 """Streams: restart without double counting, late rows, bookkeeping."""
 
 import datetime as dt
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -94,6 +96,23 @@ def test_page_text():
     assert html.html_to_text(None) == "" and html.html_to_text("") == ""
 
 
+def test_pages_of_a_large_batch_are_not_held_as_texts_at_once(spark):
+    pages = [f"<p>{n}</p>" + "words " * 1600 for n in range(3000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(len(pages))), "html": pages})
+    seen = 0
+    tracemalloc.start()
+    try:
+        for part in html.texts_of(iter([batch]), "text"):
+            seen += part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen == len(pages) and peak < 8e6  # the batch has 29 MB, its texts as many
+    rows = spark.createDataFrame([(None, "u", "<p>a"), (2**60 + 1, None, None), (3, "v", "")], "page_id bigint, url string, html string")
+    found = html.extract_text(rows, "html", ["page_id", "url"])
+    assert {tuple(r) for r in found.collect()} == {(None, "u", "a"), (2**60 + 1, None, ""), (3, "v", "")}
+
+
 def test_streams_over_folders_of_several_files(spark, tmp_path):
     """Every stream query gives the same rows when each table is a folder of four files, one file per batch."""
     from corpusaudit.checks import load_queries
