@@ -168,10 +168,10 @@ def snapshot_tree(spark, sf_dir):
     # a third of the snapshots is of another year, and not opened
     at = F.when(F.col("page_id") % 3 == 0, F.timestamp_add("YEAR", F.lit(-2), at)).otherwise(at)
     pages = table(spark, sf_dir, "pages").select("page_id", F.date_format(at, "yyyyMMddHHmmss").alias("time"), "html")
-    pages.withColumn("key", F.concat(F.lit("site_"), "page_id")).select("key", "time", "html").write.partitionBy("key", "time").text(folder)
+    writers.write_tree(pages.withColumn("key", F.concat(F.lit("site_"), "page_id")), ["key", "time"], "html", folder)
     read = readers.read_snapshots(spark, folder, "20200101000000", pattern=r"/key=([^/]+)/time=(\d{14})/part-[^/]*$")
     page = F.replace("url_key", F.lit("site_"), F.lit("")).cast("bigint").alias("page_id")
-    # the text sink ends every record with a line break
+    # every record ends with a line break
     html = F.substring("html", F.lit(1), F.length("html") - 1)
     return read.select(page, F.col("ts").cast("string").alias("ts"), F.sha2(html, 256).alias("digest"))
 

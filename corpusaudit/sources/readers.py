@@ -189,6 +189,9 @@ def read_encoded(spark: SparkSession, glob: str | Sequence[str], charset: str |
     return files.select("path", "charset", decoded(content, F.col("charset")).alias("text"))
 
 
+#: Tasks per core that list folders.
+LISTERS = 4
+
 #: (folder of the URL)/(14 digits of the time).html
 SNAPSHOT_TREE = r"/([^/]+)/(\d{14})[^/]*\.html$"
 
@@ -199,9 +202,16 @@ def read_snapshots(
     """(url_key, ts, charset, html) from trees of snapshot files whose paths match ``pattern`` with key and time.
 
     ``since`` and ``until`` bound the time (14 digits, ``until`` exclusive). They and the pattern apply to the path, so the files of other
-    paths are not opened; those that are share tasks by their size.
+    paths are not opened; those that are share tasks by their size. Folders are listed by a few tasks per core: by itself Spark starts one
+    per folder, up to thousands, each at a fixed cost far above that of listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), LISTERS * spark.sparkContext.defaultParallelism))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    finally:
+        spark.conf.set(setting, before)
     path = F.col("_metadata.file_path")
     stamp = F.regexp_extract(path, pattern, 2)
     files = files.filter(path.rlike(pattern))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import catalog as ct
+from corpusaudit.session import ship_with_tasks
 
+ship_with_tasks(__name__)
 
 #: How csv files spell NULL; an empty cell is an empty text.
 NULL_CELL = r"\N"
@@ -42,6 +48,37 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
+#: The folder of rows without a value, as Spark names it.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_tree(df: DataFrame, by: Sequence[str], column: str, path: str) -> None:
+    """Text files in folders ``<by>=<value>/..``, a line per row: the tree of Spark's partitioned text sink, for very many small files.
+
+    On a mounted folder (``file:``) that sink starts a process per new folder and file to set its mode, which costs far more than the
+    file. There the tasks write their files themselves: a file per task and folder, renamed when it is whole, so a task can be repeated.
+    """
+    rows = df.select(*[F.nullif(F.col(n).cast("string"), F.lit("")).alias(n) for n in by], F.col(column).cast("string"))
+    if not path.startswith("file:"):
+        rows.write.mode("overwrite").partitionBy(*by).text(path)
+        return
+    root = "/" + path.removeprefix("file:").lstrip("/")
+
+    def run(part: Iterator[Row]) -> None:
+        task = TaskContext.get()
+        for values, group in groupby(part, lambda r: tuple(r[:-1])):
+            folder = os.path.join(root, *[f"{n}={quote(v, safe='') if v is not None else NO_VALUE}" for n, v in zip(by, values)])
+            os.makedirs(folder, exist_ok=True)
+            begun = f"{folder}/_part-{task.partitionId():05d}.{task.taskAttemptId()}"
+            with open(begun, "wb") as out:
+                for row in group:
+                    out.write((row[-1] or b"") + b"\n")
+            os.replace(begun, f"{folder}/part-{task.partitionId():05d}.txt")
+
+    # bytes pass through as they are
+    rows.withColumn(column, F.col(column).cast("binary")).sortWithinPartitions(*by).foreachPartition(run)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:

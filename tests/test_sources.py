@@ -1,6 +1,7 @@
 """Readers and sinks on small folders."""
 
 import json
+from urllib.parse import unquote
 
 import pytest
 
@@ -126,6 +127,38 @@ def test_character_sets(spark, tmp_path):
     assert readers.CP1252.encode("cp1252", "replace") == bytes(b if bytes([b]).decode("cp1252", "ignore") else 63 for b in range(0x80, 0xA0))
 
 
+def test_trees_of_many_small_files(spark, tmp_path):
+    rows = [("a b/c", "1", "x\ny"), ("a b/c", "2", None), ("a b/c", "2", "twice"), ("é=%", "1", ""), (None, "1", "z"), ("", "1", "日本"), ("q", None, "w")]
+    df = spark.createDataFrame(rows, "key string, time string, html string").coalesce(1)
+    writers.write_tree(df, ["key", "time"], "html", f"file:{tmp_path}/own")
+    df.write.partitionBy("key", "time").text(f"file:{tmp_path}/sink")
+
+    def tree(top):
+        files = [f for f in (tmp_path / top).rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+        return sorted((unquote(str(f.parent.relative_to(tmp_path / top))), sorted(f.read_bytes().split(b"\n"))) for f in files)
+
+    assert tree("own") == tree("sink") and len(tree("own")) == 5
+    assert not [f for f in (tmp_path / "own").rglob("*") if f.name.startswith((".", "_"))]  # nothing half written, no checksums
+
+
+def test_snapshot_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"site{n}").mkdir()
+        (tmp_path / f"site{n}" / "20200102030405.html").write_text(f"<p>{n}</p>")
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        read = readers.read_snapshots(spark, str(tmp_path))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    track = spark.sparkContext.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup("listing")]
+    tasks = [track.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) <= readers.LISTERS * spark.sparkContext.defaultParallelism
+    assert read.count() == 200 and spark.conf.get(setting) == before
+
+
 def test_snapshot_trees_open_only_what_is_asked_for(spark, tmp_path):
     keys = ["a_org", "b_org_x y", *[f"site{i}" for i in range(18)]]
     for key in keys:
